@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,3 +45,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession, *packages: str) -> None:
+    """Make package folders importable in the Python workers; each is shipped once per application."""
+    sc = spark.sparkContext
+    for package in packages:
+        name = f"{os.path.basename(package)}-{sc.applicationId}"
+        if any(f.endswith(f"{name}.zip") for f in sc.listFiles):
+            continue
+        target = os.path.join(tempfile.mkdtemp(prefix="code-"), name)
+        archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
+        sc.addPyFile(archive)
