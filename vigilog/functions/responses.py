@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.functions.json import strict_json
 from vigilog.functions.labels import ALERT_LABELS, LOG_LABELS, in_domain
 
 CONTENT_PATH = "$.choices[0].message.content"
@@ -31,13 +32,13 @@ def _text(doc: Column, name: str) -> Column:
 
 
 def _with_content(df: DataFrame) -> DataFrame:
-    envelope = F.try_parse_json("raw_response")
+    envelope = strict_json("raw_response")
     with_envelope = df.withColumn("__envelope", envelope).withColumn(
         "__content", F.try_variant_get("__envelope", CONTENT_PATH, "variant")
     )
     text = F.trim(F.try_variant_get("__content", "$", "string"))
     return with_envelope.withColumn("__text", F.when(_typed(F.col("__content"), "STRING"), text)).withColumn(
-        "__doc", F.try_parse_json("__text")
+        "__doc", strict_json("__text")
     )
 
 

@@ -6,6 +6,7 @@ zero vector): such rows can be neither found nor matched.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -67,26 +68,27 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda token: token != "")
 
 
-def token_buckets(text: str | Column, dim: int = VECTOR_SIZE) -> Column:
-    """One bucket per token: the first 32 bits of its md5, modulo the vector length."""
-    return F.transform(
-        tokens(text),
-        lambda token: (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int"),
-    )
+def token_bucket(token: str, dim: int) -> int:
+    """The first 32 bits of the token's md5, modulo the vector length."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
 def embed_hash(text: str | Column, dim: int = VECTOR_SIZE) -> Column:
-    """Hashed bag of words: token counts per bucket, scaled to unit length. Needs no model."""
+    """Hashed bag of words: token counts per bucket, scaled to unit length. Needs no model.
+
+    Each distinct token of an Arrow batch is hashed once.
+    """
 
     @F.arrow_udf("array<float>")
-    def counted(buckets: pa.Array) -> pa.Array:
-        lengths = np.diff(buckets.offsets.to_numpy())
-        rows = np.repeat(np.arange(len(buckets)), lengths)
-        lists = buckets.flatten().to_numpy(zero_copy_only=False)
-        matrix = np.bincount(rows * dim + lists, minlength=len(buckets) * dim).reshape(len(buckets), dim)
+    def counted(words: pa.Array) -> pa.Array:
+        rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+        coded = words.flatten().dictionary_encode()
+        buckets = np.array([token_bucket(token, dim) for token in coded.dictionary.to_pylist()], np.int64)
+        cells = rows * dim + buckets[coded.indices.to_numpy()]
+        matrix = np.bincount(cells, minlength=len(words) * dim).reshape(len(words), dim)
         return to_lists(*_units(matrix.astype(np.float64)))
 
-    return counted(F.coalesce(token_buckets(text, dim), F.array().cast("array<int>")))
+    return counted(F.coalesce(tokens(text), F.array().cast("array<string>")))
 
 
 def embed_with(load_model: Callable[[], Callable[[list[str]], Iterable]], text: str | Column) -> Column:

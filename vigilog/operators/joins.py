@@ -21,8 +21,9 @@ class Lookup:
     fits: bool
 
 
-def as_lookup(table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> Lookup:
-    """Measure a summary table: at most ``max_rows`` rows are fetched to decide."""
+def as_lookup(table: DataFrame, max_rows: int | None = None) -> Lookup:
+    """Measure a summary table: at most ``max_rows`` rows (MAX_LOOKUP_ROWS) are fetched to decide."""
+    max_rows = MAX_LOOKUP_ROWS if max_rows is None else max_rows
     found = table.limit(max_rows + 1).toArrow()
     if found.num_rows <= max_rows and found.nbytes <= MAX_LOOKUP_BYTES:
         return Lookup(table.sparkSession.createDataFrame(found, schema=table.schema), True)
@@ -44,17 +45,18 @@ def salted_join(
     keys: Sequence[str],
     salt_on: Sequence[str],
     how: str = "inner",
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Inner or left join of ``rows`` with a table unique on ``keys``, splitting the hot keys.
 
-    A key with more than ``hot_rows`` rows is spread over several salts chosen by a hash of
+    A key with more than ``hot_rows`` rows (HOT_KEY_ROWS) is spread over several salts chosen by a hash of
     ``salt_on`` and only its table row is repeated. There are at most ``len(rows) / hot_rows`` such
     keys, which bounds the table of hot keys that is broadcast.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join cannot do a {how} join")
     keys = list(keys)
+    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     hot = F.broadcast(
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))

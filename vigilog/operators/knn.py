@@ -13,6 +13,9 @@ at most about BLOCK_ROWS documents with CHUNK_ROWS queries however full the cell
 block and chunk returns k rows per query, and one ranking per query merges them.
 
 ``scope`` splits the search further: a query only meets documents of its own scope.
+
+Logs repeat themselves. Documents with one and the same vector are ranked when the index is built, and
+a search reads only as many copies as it can return.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ BLOCK_ROWS = 16_384
 CHUNK_ROWS = 16_384
 SCORES_AT_ONCE = 4_000_000
 MAX_PIVOTS = 8_192
+COPIES_RANKED = 64
 ANY_SCOPE = "*"
 
 
@@ -93,6 +97,29 @@ def assign_cells(docs: DataFrame, pivots: Pivots) -> DataFrame:
     return placed.select(*docs.columns, "__near.cell", "__near.cell_distance")
 
 
+def rank_copies(docs: DataFrame) -> DataFrame:
+    """Add ``copy_rank``: place among the documents of the same source with the very same vector.
+
+    Copies score alike and the lower id wins, so a search for k neighbours needs the first k copies
+    only. Places beyond COPIES_RANKED stay null: each task keeps that many rows of a group before the
+    shuffle, so a group of copies of any size ends as a few rows.
+    """
+    same = [F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")]
+    source = [F.coalesce("source", F.lit(""))] if "source" in docs.columns else []
+    narrow = docs.where(F.col("embedding").isNotNull()).select(
+        "doc_id", F.struct(*[c.alias(f"h{i}") for i, c in enumerate((*same, *source))]).alias("__copy")
+    )
+    place = F.row_number().over(Window.partitionBy("__copy").orderBy("doc_id"))
+    ranked = narrow.withColumn("copy_rank", place).where(F.col("copy_rank") <= COPIES_RANKED)
+    return docs.join(ranked.select("doc_id", "copy_rank"), "doc_id", "left")
+
+
+def build_index(docs: DataFrame, count: int, seed: int = 42) -> tuple[DataFrame, Pivots]:
+    """Choose pivots for stored vectors and write the documents with their cells."""
+    pivots = choose_pivots(docs, count, seed)
+    return materialize(assign_cells(rank_copies(docs), pivots), "index"), pivots
+
+
 def _cells_in_reach(
     matrix: np.ndarray, centres: np.ndarray, between: np.ndarray, cells: np.ndarray, sizes, closest, furthest, k: int
 ) -> np.ndarray:
@@ -189,8 +216,11 @@ def _compare(k: int, codes: bool):
         return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
 
     def compare(key, queries: pa.Table, docs: pa.Table) -> pa.Table:
-        docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))
         carried = [c for c in docs.column_names if c != "vector"]
+        if not queries.num_rows or not docs.num_rows:
+            empty = [queries["qid"].slice(0, 0), *docs.select(carried).slice(0, 0).columns, pa.array([], pa.float64())]
+            return pa.table(empty, names=["qid", *carried, "score"])
+        docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))
         left, right = matrices(queries), matrices(docs)
         found = []
         step = max(1, SCORES_AT_ONCE // len(right))
@@ -224,20 +254,24 @@ def search(
     """The k nearest documents of every query: ``qid, doc_id, <carry>, score, rank``.
 
     ``queries`` has ``qid, embedding`` and ``index`` has ``doc_id, embedding, cell, cell_distance``
-    and the carried columns; both may have ``scope``. With ``codes`` both have a ``code`` too, which
+    and the carried columns; both may have ``scope``, and the index a ``copy_rank``. With ``codes`` both have a ``code`` too, which
     is compared instead of the vector, and the score is the number of bits that differ.
     """
     payload = "code" if codes else "embedding"
     cell_keys = ["scope", "cell"] if "scope" in queries.columns else ["cell"]
     unit_keys = [*cell_keys, "block", "chunk"]
     asked = queries.where(F.col("embedding").isNotNull())
+    if "copy_rank" in index.columns and k <= COPIES_RANKED:
+        index = index.where(F.col("copy_rank") <= k)
     docs = index.select(*cell_keys, "cell_distance", "doc_id", *carry, payload)
 
-    sizes = docs.groupBy(*cell_keys).agg(
-        F.count(F.lit(1)).alias("size"),
-        F.min("cell_distance").alias("closest"),
-        F.max("cell_distance").alias("furthest"),
-    )
+    sizes = as_lookup(
+        docs.groupBy(*cell_keys).agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min("cell_distance").alias("closest"),
+            F.max("cell_distance").alias("furthest"),
+        )
+    ).table
     visits = _visit(asked, sizes, pivots, k, probe).select(*cell_keys, "qid", payload)
     load = visits.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("visitors"))
     units = as_lookup(

@@ -47,6 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(stored: DataFrame, key: str) -> DataFrame:
+    """A stored table in fewer splits than there are cores, spread by key before costly work per row.
+
+    Larger tables stay as they are: nothing is shuffled.
+    """
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() > cores else stored.repartition(cores, key)
+
+
 def ship_code(spark: SparkSession, *packages: str) -> None:
     """Make package folders importable in the Python workers; each is shipped once per application."""
     sc = spark.sparkContext

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilog.functions.json import strict_json
 from vigilog.functions.labels import NORMAL_LABEL
 from vigilog.functions.text import has_content, is_log_path, source_of_path, strip
 from vigilog.operators.joins import as_lookup, lookup_join
@@ -79,7 +80,7 @@ def parse_sidecar(numbered: DataFrame, lines_per_file: int | None = LINES_PER_FI
     skipped; of several entries for one line the last wins; an empty list is an empty label.
     """
     kept = numbered if lines_per_file is None else numbered.where(F.col("line_no") <= lines_per_file)
-    entry = F.from_json(F.when(F.try_parse_json("value").isNotNull(), F.col("value")), SIDECAR_SCHEMA)
+    entry = F.from_json(F.when(strict_json("value").isNotNull(), F.col("value")), SIDECAR_SCHEMA)
     labels = F.coalesce(F.col("entry.labels"), F.array().cast("array<string>"))
     return (
         kept.select("rel_path", F.col("line_no").alias("entry_no"), entry.alias("entry"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilog.functions.json import strict_json
+
 # The header of a dataset file.
 DATASET_COLUMNS = ["log_message", "source", "label"]
 DATASET_SCHEMA = "log_message string, source string, label string"
@@ -68,7 +70,7 @@ def read_alerts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def split_alerts(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    valid = F.try_parse_json(value).isNotNull()
+    valid = strict_json(value).isNotNull()
     return (
         lines.where(valid).withColumn("alert", F.trim(F.col(value))).drop(value),
         lines.where(~F.coalesce(valid, F.lit(False))),

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions.vectors import embed_hash, sign_code, to_matrix
-from vigilog.operators.knn import Pivots, assign_cells, choose_pivots
+from vigilog.operators.knn import Pivots, assign_cells, choose_pivots, rank_copies
 from vigilog.session import materialize
 from vigilog.sources.logtree import path_exists
 
 INDEX_SCHEMA = (
     "doc_id bigint, log string, source string, label string, embedding array<float>, code binary, "
-    "cell int, cell_distance double, batch string"
+    "cell int, cell_distance double, copy_rank int, batch string"
 )
 
 
@@ -52,7 +52,7 @@ def append_documents(
         centres = choose_pivots(embedded, pivots, seed)
         rows = [(cell, vector.tolist()) for cell, vector in enumerate(centres.vectors)]
         spark.createDataFrame(rows, "cell int, vector array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
-    placed = assign_cells(embedded, load_pivots(spark, path)).withColumn("code", sign_code("embedding"))
+    placed = assign_cells(rank_copies(embedded), load_pivots(spark, path)).withColumn("code", sign_code("embedding"))
     (
         placed.select([f.split()[0] for f in INDEX_SCHEMA.split(", ")[:-1]])
         .sortWithinPartitions("cell")

@@ -12,7 +12,7 @@ from vigilog.functions import prompts
 from vigilog.functions.event_time import event_time
 from vigilog.functions.responses import read_label_responses
 from vigilog.functions.text import has_letter, is_log_path, relaxation_chain, source_of_path, source_tokens
-from vigilog.functions.vectors import embed_hash, token_buckets, tokens
+from vigilog.functions.vectors import embed_hash, tokens
 from vigilog.operators import counts, metrics, sampling, sinks
 from vigilog.operators import vote as V
 from vigilog.operators.knn import search, search_quantized
@@ -27,6 +27,7 @@ from workload.tables import (
     PIVOTS,
     SEED,
     document_lines,
+    documents,
     document_sides,
     embedding_sides,
     labelled_documents,
@@ -218,7 +219,7 @@ def coverage_missing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
     """Non-zero entries of the document vectors."""
-    vectors = table(spark, folder, "documents").select("doc_id", embed_hash("text").alias("v"))
+    vectors = documents(spark, folder).select("doc_id", embed_hash("text").alias("v"))
     entries = vectors.select("doc_id", F.posexplode("v"))
     return entries.where("col <> 0").select(
         "doc_id", F.col("pos").cast("bigint").alias("bucket"), F.round(F.col("col").cast("double"), 6).alias("weight")
@@ -227,11 +228,11 @@ def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select(
         "doc_id",
         F.size(tokens("text")).cast("bigint").alias("n_tokens"),
-        F.size(F.array_distinct(token_buckets("text"))).cast("bigint").alias("n_buckets"),
+        F.coalesce(F.size(F.filter(embed_hash("text"), lambda weight: weight > 0)), F.lit(0)).cast("bigint").alias("n_buckets"),
     )
 
 
@@ -526,11 +527,11 @@ def status_counts(spark: SparkSession, folder: str) -> DataFrame:
 def model_run(spark: SparkSession, folder: str) -> evaluation.Evaluation:
     rows = sampling.random_split(labelled_documents(spark, folder), "doc_id", EVAL_FRACTION, SEED).where("split = 'eval'")
     rows = rows.select(F.col("doc_id").alias("qid"), "log_message", "source", "label")
-    return evaluation.evaluate_model(rows, text_model, concurrency=4)
+    return evaluation.evaluate_model(rows, text_model)
 
 
 def context_run(spark: SparkSession, folder: str) -> evaluation.Evaluation:
-    return evaluation.evaluate_with_context(*document_sides(spark, folder), context_model, k=K, concurrency=4)
+    return evaluation.evaluate_with_context(*document_sides(spark, folder), context_model, k=K)
 
 
 def knn_run(spark: SparkSession, folder: str) -> evaluation.Evaluation:
@@ -587,7 +588,7 @@ def model_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def alert_results(spark: SparkSession, folder: str) -> DataFrame:
     good, _ = tables.split_alerts(alert_lines(spark, folder))
-    return evaluation.reevaluate_alerts(good, alert_model, "Judge the alert.", "event_id", concurrency=4)
+    return evaluation.reevaluate_alerts(good, alert_model, "Judge the alert.", "event_id", spark.sparkContext.defaultParallelism)
 
 
 @query

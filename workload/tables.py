@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions.vectors import embed_hash, sign_code, unit
-from vigilog.operators.knn import Pivots, assign_cells, choose_pivots
+from vigilog.operators.knn import Pivots, build_index
 from vigilog.operators.sampling import random_split
-from vigilog.session import materialize
+from vigilog.session import materialize, spread
 
 SEED = 42
 PIVOTS = 16
@@ -19,12 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, log_message, source, lang, label``; a document without labels is normal."""
     labels = table(spark, folder, "labels").select("doc_id", "quality", "toxic")
     label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("normal_log")
     return (
-        table(spark, folder, "documents")
+        documents(spark, folder)
         .join(labels, "doc_id", "left")
         .select("doc_id", F.col("text").alias("log_message"), "source", "lang", label.alias("label"))
     )
@@ -46,8 +50,7 @@ def embedding_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     rows = materialize(rows, "units")
     queries = rows.where("split = 'eval'").select(F.col("vec_id").alias("qid"), "embedding", "label")
     docs = rows.where("split = 'train'").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    pivots = choose_pivots(docs, PIVOTS, SEED)
-    return queries, assign_cells(docs, pivots), pivots
+    return queries, *build_index(docs, PIVOTS, SEED)
 
 
 def with_codes(df: DataFrame) -> DataFrame:
@@ -70,5 +73,4 @@ def document_sides(
     rows = materialize(rows, "embedded")
     queries = rows.where("split = 'eval'").select(F.col("doc_id").alias("qid"), "log_message", "source", "label", "embedding")
     docs = rows.where("split = 'train'").select("doc_id", F.col("log_message").alias("log"), "source", "label", "embedding")
-    pivots = choose_pivots(docs, PIVOTS, SEED)
-    return queries, assign_cells(docs, pivots), pivots
+    return queries, *build_index(docs, PIVOTS, SEED)
