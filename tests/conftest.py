@@ -31,6 +31,7 @@ def tiny_limits(monkeypatch):
     monkeypatch.setattr(joins, "HOT_KEY_ROWS", 3)
     monkeypatch.setattr(knn, "BLOCK_ROWS", 7)
     monkeypatch.setattr(knn, "CHUNK_ROWS", 5)
+    monkeypatch.setattr(knn, "BUNDLE_ROWS", 40)
     monkeypatch.setattr(knn, "SCORES_AT_ONCE", 20)
 
 

@@ -36,7 +36,7 @@ def to_lists(matrix: np.ndarray, valid: np.ndarray) -> pa.Array:
     width = matrix.shape[1] if matrix.ndim == 2 else 0
     lengths = np.where(valid, width, 0)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    values = matrix[valid].astype(np.float32).ravel()
+    values = (matrix if valid.all() else matrix[valid]).astype(np.float32, copy=False).ravel()
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.float32()), mask=pa.array(~valid))
 
 
@@ -65,7 +65,7 @@ def unit(vector: str | Column) -> Column:
 def tokens(text: str | Column) -> Column:
     """Lower-case ASCII letter and digit runs of the whole text."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda token: token != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def token_bucket(token: str, dim: int) -> int:
@@ -84,9 +84,11 @@ def embed_hash(text: str | Column, dim: int = VECTOR_SIZE) -> Column:
         rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
         coded = words.flatten().dictionary_encode()
         buckets = np.array([token_bucket(token, dim) for token in coded.dictionary.to_pylist()], np.int64)
-        cells = rows * dim + buckets[coded.indices.to_numpy()]
-        matrix = np.bincount(cells, minlength=len(words) * dim).reshape(len(words), dim)
-        return to_lists(*_units(matrix.astype(np.float64)))
+        cells, counts = np.unique(rows * dim + buckets[coded.indices.to_numpy()], return_counts=True)
+        norms = np.sqrt(np.bincount(cells // dim, counts.astype(np.float64) ** 2, minlength=len(words)))
+        flat = np.zeros(len(words) * dim, np.float32)
+        flat[cells] = counts / norms[cells // dim]
+        return to_lists(flat.reshape(len(words), dim), norms > 0)
 
     return counted(F.coalesce(tokens(text), F.array().cast("array<string>")))
 

@@ -8,9 +8,12 @@ The index is divided into cells around pivots (a seeded sample of its own rows).
   result is exact;
 * with ``probe=n`` its n nearest cells (approximate).
 
-A visited cell is cut into blocks of documents and its queries into chunks, so that a task compares
-at most about BLOCK_ROWS documents with CHUNK_ROWS queries however full the cell is. Each pair of
-block and chunk returns k rows per query, and one ranking per query merges them.
+Cells that lie near each other are packed into areas of about BLOCK_ROWS documents, so that a query is
+sent to an area once and not to each of its small cells. An area (a full cell may make several times
+that size) is cut into blocks of documents and its queries into chunks; a block and a chunk make one
+unit of at most about BLOCK_ROWS by CHUNK_ROWS rows. Units are hashed into bundles of about
+BUNDLE_ROWS rows, the groups Spark hands to a task. A unit returns k rows per query; one ranking per
+query merges them.
 
 ``scope`` splits the search further: a query only meets documents of its own scope.
 
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions.vectors import cosine_score, to_matrix
-from vigilog.operators.joins import as_lookup, lookup_join, salted_join
+from vigilog.operators.joins import Lookup, as_lookup, lookup_join, salted_join
 from vigilog.operators.sampling import order_key
 from vigilog.session import materialize
 
 BLOCK_ROWS = 16_384
-CHUNK_ROWS = 16_384
+CHUNK_ROWS = 8_192
+BUNDLE_ROWS = 32_768
 SCORES_AT_ONCE = 4_000_000
+CANDIDATES_AT_ONCE = 20_000
 MAX_PIVOTS = 8_192
 COPIES_RANKED = 64
 ANY_SCOPE = "*"
@@ -44,9 +49,13 @@ ANY_SCOPE = "*"
 
 @dataclass(frozen=True)
 class Pivots:
-    """Cell centres, in the order of their seeded key; the position is the cell number."""
+    """Cell centres; the position is the cell number. Neighbouring numbers are neighbouring cells.
+
+    ``seniority`` is each pivot's place in seeded order, which decides between equally near cells.
+    """
 
     vectors: np.ndarray
+    seniority: np.ndarray
 
     @property
     def count(self) -> int:
@@ -65,13 +74,25 @@ def choose_pivots(docs: DataFrame, count: int, seed: int = 42, id_col: str = "do
         .toArrow()
         .sort_by([("key", "ascending"), ("id", "ascending")])
     )
-    return Pivots(to_matrix(found["embedding"]))
+    vectors = to_matrix(found["embedding"])
+    tour = _tour(vectors)
+    return Pivots(vectors[tour], tour)
+
 
+def _tour(vectors: np.ndarray) -> np.ndarray:
+    """An order in which each vector is followed by the nearest one not yet taken."""
+    near = vectors @ vectors.T if len(vectors) else np.empty((0, 0))
+    order = np.zeros(len(vectors), np.int64)
+    for place in range(1, len(vectors)):
+        near[:, order[place - 1]] = -np.inf
+        order[place] = near[order[place - 1]].argmax()
+    return order
 
-def _nearest_first(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Rounded scores against the pivots as integers that order by score, then by cell number."""
-    scaled = np.rint((1 + vectors @ pivots.T) / 2 * 1e6).astype(np.int64)
-    return scaled * len(pivots) + np.arange(len(pivots) - 1, -1, -1)
+
+def _nearest_first(vectors: np.ndarray, pivots: Pivots) -> np.ndarray:
+    """Rounded scores against the pivots as integers that order by score, then by seniority."""
+    scaled = np.rint((1 + vectors @ pivots.vectors.T) / 2 * 1e6).astype(np.int64)
+    return scaled * pivots.count + (pivots.count - 1 - pivots.seniority)
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -87,7 +108,7 @@ def assign_cells(docs: DataFrame, pivots: Pivots) -> DataFrame:
         if len(vectors) == 0:
             return pa.array([], pa.struct([("cell", pa.int32()), ("cell_distance", pa.float64())]))
         matrix = to_matrix(vectors)
-        cells = _nearest_first(matrix, centres).argmax(axis=1)
+        cells = _nearest_first(matrix, pivots).argmax(axis=1)
         gap = np.sqrt(np.maximum(2 - 2 * (matrix * centres[cells]).sum(axis=1), 0))
         return pa.StructArray.from_arrays(
             [pa.array(cells.astype(np.int32)), pa.array(gap)], names=["cell", "cell_distance"]
@@ -130,7 +151,10 @@ def _cells_in_reach(
     # the others within its radius
     reach = np.concatenate([to_cell + closest, to_cell + furthest], axis=1)
     amount = np.concatenate([np.ones_like(sizes), sizes - 1])
-    order = reach.argsort(axis=1)
+    # a cell of one document adds nothing by its radius: 2k entries hold k documents if there are so many
+    few = min(2 * k, reach.shape[1])
+    order = np.argpartition(reach, few - 1, axis=1)[:, :few]
+    order = np.take_along_axis(order, np.take_along_axis(reach, order, axis=1).argsort(axis=1), axis=1)
     enough = amount[order].cumsum(axis=1) >= k
     kth = np.take_along_axis(reach, order, axis=1)[np.arange(len(matrix)), enough.argmax(axis=1)]
     kth[~enough.any(axis=1)] = np.inf
@@ -143,101 +167,192 @@ def _cells_in_reach(
     return lower**2 <= kth[:, None] ** 2 + 1e-5  # scores that agree in 6 digits still compete
 
 
-def _cell_chooser(pivots: Pivots, k: int, probe: int | None):
-    """Function from query vectors and the filled cells (number, size, closest, furthest) to a visit mask."""
+VISIT = "struct<areas: array<int>, cells: array<int>>"
+VISIT_ARROW = pa.struct([("areas", pa.list_(pa.int32())), ("cells", pa.list_(pa.int32()))])
+
+
+def _visitor(pivots: Pivots, k: int, probe: int | None):
+    """Function from query vectors and the filled cells, in order, to a mask of the cells to visit."""
     centres = pivots.vectors
     between = _distances(centres, centres) if probe is None else None
 
-    def choose(matrix: np.ndarray, number: np.ndarray, sizes, closest, furthest) -> np.ndarray:
+    def visits(matrix: np.ndarray, number: np.ndarray, sizes, closest, furthest) -> np.ndarray:
         if probe is None:
             return _cells_in_reach(matrix, centres, between, number, sizes, closest, furthest, k)
-        rank = _nearest_first(matrix, centres)[:, number]
+        rank = _nearest_first(matrix, pivots)[:, number]
         nth = min(probe, len(number))
         return rank >= np.partition(rank, len(number) - nth, axis=1)[:, [len(number) - nth]]
 
-    return choose
+    return visits
 
 
-def _visit(queries: DataFrame, sizes: DataFrame, pivots: Pivots, k: int, probe: int | None) -> DataFrame:
-    """Add the cells each query visits, one row per cell."""
-    choose = _cell_chooser(pivots, k, probe)
-    if "scope" not in queries.columns:
-        filled = sizes.select("cell", "size", "closest", "furthest").toArrow()  # one row per pivot
-        known = [filled.column(i).to_numpy() for i in range(4)]
+def _lists(rows: np.ndarray, values: np.ndarray, count: int, known: bool = True) -> pa.Array:
+    """List column of the values that belong to each of ``count`` rows; all null unless known."""
+    if not known:
+        return pa.nulls(count, pa.list_(pa.int32()))
+    offsets = np.concatenate([[0], np.bincount(rows, minlength=count).cumsum()]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(values[rows.argsort(kind="stable")].astype(np.int32)))
 
-        @F.arrow_udf("array<int>")
-        def cells_of(vectors: pa.Array) -> pa.Array:
-            if len(vectors) == 0 or len(known[0]) == 0:
-                return pa.nulls(len(vectors), pa.list_(pa.int32()))
-            mask = choose(to_matrix(vectors), *known)
-            return pa.array([known[0][row] for row in mask], pa.list_(pa.int32()))
 
-        return queries.withColumn("cell", F.explode(cells_of("embedding")))
+CELL_FIELDS = ["cell", "area", "size", "closest", "furthest"]
 
-    @F.arrow_udf("array<int>")
-    def cells_of_scope(vectors: pa.Array, scopes: pa.Array, cells: pa.Array) -> pa.Array:
-        matrix = to_matrix(vectors)
-        names = np.asarray(scopes.to_pylist(), dtype=object)
-        out: list = [None] * len(names)
-        for name in dict.fromkeys(names):
-            rows = np.flatnonzero(names == name)
-            filled = cells[int(rows[0])].values
-            known = [filled.field(i).to_numpy() for i in range(4)]
-            for row, mask in zip(rows, choose(matrix[rows], *known)):
-                out[row] = known[0][mask]
-        return pa.array(out, pa.list_(pa.int32()))
-
-    per_scope = as_lookup(  # at most one entry per pivot in each array
-        sizes.groupBy("scope").agg(F.collect_list(F.struct("cell", "size", "closest", "furthest")).alias("__cells"))
-    )
-    return lookup_join(queries, per_scope, ["scope"], ["qid"]).withColumn(
-        "cell", F.explode(cells_of_scope("embedding", "scope", "__cells"))
-    )
 
+def _visit(queries: DataFrame, cells: Lookup, pivots: Pivots, k: int, probe: int | None) -> DataFrame:
+    """One row per query and ``area`` it visits, with the ``cells`` it may look at (null: all).
 
-def _best(ranks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and integer score of the k best entries of each row; earlier columns win ties."""
-    width = ranks.shape[1]
-    unique = ranks * width + np.arange(width - 1, -1, -1)
-    keep = min(k, width)
-    columns = np.argpartition(unique, width - keep, axis=1)[:, width - keep :]
-    rows = np.repeat(np.arange(len(ranks)), keep)
-    columns = columns.ravel()
-    return rows, columns, ranks[rows, columns]
+    The filled cells of all scopes go along with the function when they were measured small, else
+    each query gets those of its scope by a join.
+    """
+    visits = _visitor(pivots, k, probe)
+    scoped = "scope" in queries.columns
+    if cells.fits:
+        filled = cells.table.toArrow().to_pandas()
+        known = {
+            name: [rows[field].to_numpy() for field in CELL_FIELDS]
+            for name, rows in (filled.groupby("scope") if scoped else [(ANY_SCOPE, filled)])
+        }
+
+        @F.arrow_udf(VISIT)
+        def visited(vectors: pa.Array, scopes: pa.Array) -> pa.Array:
+            return _by_scope(vectors, scopes, lambda name, _row: known.get(name), visits, probe is not None)
+
+        scope = F.col("scope") if scoped else F.lit(ANY_SCOPE)
+        placed = queries.withColumn("__visit", visited("embedding", scope))
+    else:
+
+        @F.arrow_udf(VISIT)
+        def visited_joined(vectors: pa.Array, scopes: pa.Array, own: pa.Array) -> pa.Array:
+            def known(_name: str, row: int) -> list[np.ndarray]:
+                return [own[row].values.field(i).to_numpy() for i in range(len(CELL_FIELDS))]
+
+            return _by_scope(vectors, scopes, known, visits, probe is not None)
+
+        per_scope = cells.table.groupBy("scope").agg(F.collect_list(F.struct(*CELL_FIELDS)).alias("__filled"))  # <= pivots
+        placed = salted_join(queries, per_scope, ["scope"], ["qid"]).withColumn(
+            "__visit", visited_joined("embedding", "scope", "__filled")
+        )
+    return placed.withColumn("area", F.explode("__visit.areas")).withColumn("cells", F.col("__visit.cells"))
+
+
+def _by_scope(vectors: pa.Array, scopes: pa.Array, known, visits, approximate: bool) -> pa.Array:
+    """Areas (and cells) for the queries of one batch, scope by scope; unknown scopes visit nothing."""
+    if len(vectors) == 0:
+        return pa.array([], VISIT_ARROW)
+    matrix = to_matrix(vectors)
+    coded = scopes.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    nothing = np.empty(0, np.int64)
+    areas, cells = [(nothing, nothing)], [(nothing, nothing)]
+    for code, name in enumerate(coded.dictionary.to_pylist()):
+        rows = np.flatnonzero(codes == code)
+        filled = known(name, int(rows[0])) if len(rows) else None
+        if filled is None or not len(filled[0]):
+            continue
+        number, area, *rest = (field[filled[0].argsort()] for field in filled)
+        mask = visits(matrix[rows], number, *rest)
+        first = np.flatnonzero(np.diff(area, prepend=-1))  # areas are runs of cells
+        at, which = np.nonzero(np.logical_or.reduceat(mask, first, axis=1))
+        areas.append((rows[at], area[first][which]))
+        if approximate:
+            at, which = np.nonzero(mask)
+            cells.append((rows[at], number[which]))
+    parts = [tuple(np.concatenate(part) for part in zip(*found)) for found in (areas, cells)]
+    columns = [_lists(*parts[0], len(matrix)), _lists(*parts[1], len(matrix), approximate)]
+    return pa.StructArray.from_arrays(columns, fields=list(VISIT_ARROW))
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # query row, document row, integer rank value (higher is better)
+
+
+def _best_vectors(left: np.ndarray, right: np.ndarray, k: int, allowed: np.ndarray | None) -> Found:
+    """The k best documents per query by score in 6 digits, then by position.
+
+    Single precision finds everything that may be among them: its error is below the margin, which
+    also covers scores that agree in 6 digits. The few candidates are scored in double precision.
+    """
+    width, keep = len(right), min(k, len(right))
+    products = left @ right.T
+    if allowed is not None:
+        products[~allowed] = -np.inf
+    kth = np.partition(products, width - keep, axis=1)[:, [width - keep]]
+    margin = np.float32(2 * left.shape[1] * 2.0**-24 + 4e-6)
+    rows, columns = np.nonzero((products >= kth - margin) & (products > -np.inf))
+    exact = np.empty(len(rows))
+    for start in range(0, len(rows), CANDIDATES_AT_ONCE):
+        part = slice(start, start + CANDIDATES_AT_ONCE)
+        exact[part] = np.einsum("ij,ij->i", left[rows[part]].astype(np.float64), right[columns[part]].astype(np.float64))
+    values = np.rint((1 + exact) / 2 * 1e6).astype(np.int64)
+    order = np.lexsort((columns, -values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return tuple(part[place < keep] for part in (rows, columns, values))
+
+
+def _best_codes(left: np.ndarray, right: np.ndarray, k: int, allowed: np.ndarray | None) -> Found:
+    """The k documents per query with most equal bits, then by position; bits are given as -1 and 1."""
+    width, keep = len(right), min(k, len(right))
+    equal = np.rint((left @ right.T + right.shape[1]) / 2).astype(np.int64)
+    if allowed is not None:
+        equal[~allowed] = -1
+    unique = equal * width + np.arange(width - 1, -1, -1)
+    columns = np.argpartition(unique, width - keep, axis=1)[:, width - keep :].ravel()
+    rows = np.repeat(np.arange(len(left)), keep)
+    values = equal[rows, columns]
+    return tuple(part[values >= 0] for part in (rows, columns, values))
+
+
+def _allowed(visited: pa.ListArray, cells: np.ndarray) -> np.ndarray:
+    """Query by document: does the document lie in a cell the query visits?"""
+    known, cell_of = np.unique(cells, return_inverse=True)
+    flat = visited.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(visited)), np.diff(visited.offsets.to_numpy()))
+    place = np.searchsorted(known, flat).clip(max=len(known) - 1)
+    here = known[place] == flat
+    mask = np.zeros((len(visited), len(known)), bool)
+    mask[rows[here], place[here]] = True
+    return mask[:, cell_of]
 
 
 def _compare(k: int, codes: bool):
-    """Compare one chunk of queries with one block of documents, keeping k rows per query."""
+    """Compare the queries and documents of one bundle, unit by unit, keeping k rows per query and unit."""
+    best = _best_codes if codes else _best_vectors
 
-    def matrices(table: pa.Table) -> np.ndarray:
+    def matrix(table: pa.Table) -> np.ndarray:
         if not codes:
-            return to_matrix(table["vector"])
+            return to_matrix(table["vector"], np.float32)
         packed = np.frombuffer(b"".join(table["vector"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
         return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
 
-    def compare(key, queries: pa.Table, docs: pa.Table) -> pa.Table:
-        carried = [c for c in docs.column_names if c != "vector"]
-        if not queries.num_rows or not docs.num_rows:
-            empty = [queries["qid"].slice(0, 0), *docs.select(carried).slice(0, 0).columns, pa.array([], pa.float64())]
-            return pa.table(empty, names=["qid", *carried, "score"])
-        docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))
-        left, right = matrices(queries), matrices(docs)
-        found = []
-        step = max(1, SCORES_AT_ONCE // len(right))
-        for start in range(0, len(left), step):
-            products = left[start : start + step] @ right.T
-            if codes:
-                ranks = np.rint((products + right.shape[1]) / 2).astype(np.int64)  # equal bits
-            else:
-                ranks = np.rint((1 + products) / 2 * 1e6).astype(np.int64)
-            rows, columns, best = _best(ranks, k)
-            found.append((rows + start, columns, best))
-        rows, columns, best = (np.concatenate(part) for part in zip(*found))
+    def rows_by_unit(table: pa.Table) -> dict[str, np.ndarray]:
+        coded = table["unit"].combine_chunks().dictionary_encode()
+        order = coded.indices.to_numpy().argsort(kind="stable")
+        ends = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).cumsum()
+        return dict(zip(coded.dictionary.to_pylist(), np.split(order, ends[:-1])))
+
+    def compare(_key: tuple, queries: pa.Table, docs: pa.Table) -> pa.Table:
+        carried = [c for c in docs.column_names if c not in ("bundle", "unit", "cell", "vector")]
+        nothing = np.empty(0, np.int64)
+        found: list[Found] = [(nothing, nothing, nothing)]
+        bits = 0
+        if queries.num_rows and docs.num_rows:
+            docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))  # position orders like the id
+            asking, answering = rows_by_unit(queries), rows_by_unit(docs)
+            left, right = matrix(queries), matrix(docs)
+            bits = right.shape[1]
+            visited, cells = queries["cells"].combine_chunks(), docs["cell"].to_numpy()
+            for unit in asking.keys() & answering.keys():
+                mine, theirs = asking[unit], answering[unit]
+                step = max(1, SCORES_AT_ONCE // len(theirs))
+                for start in range(0, len(mine), step):
+                    part = mine[start : start + step]
+                    looked_at = visited.take(pa.array(part))
+                    allowed = None if looked_at.null_count else _allowed(looked_at, cells[theirs])
+                    rows, columns, values = best(left[part], right[theirs], k, allowed)
+                    found.append((part[rows], theirs[columns], values))
+        rows, columns, values = (np.concatenate(part) for part in zip(*found))
+        score = (bits - values).astype(np.float64) if codes else values / 1e6
         hits = docs.select(carried).take(pa.array(columns))
-        score = (right.shape[1] - best).astype(np.float64) if codes else best / 1e6
-        return pa.table(
-            [queries["qid"].take(pa.array(rows)), *hits.columns, pa.array(score)], names=["qid", *carried, "score"]
-        )
+        return pa.table([queries["qid"].take(pa.array(rows)), *hits.columns, pa.array(score)], names=["qid", *carried, "score"])
 
     return compare
 
@@ -258,60 +373,61 @@ def search(
     is compared instead of the vector, and the score is the number of bits that differ.
     """
     payload = "code" if codes else "embedding"
-    cell_keys = ["scope", "cell"] if "scope" in queries.columns else ["cell"]
-    unit_keys = [*cell_keys, "block", "chunk"]
+    scope = ["scope"] if "scope" in queries.columns else []
     asked = queries.where(F.col("embedding").isNotNull())
     if "copy_rank" in index.columns and k <= COPIES_RANKED:
         index = index.where(F.col("copy_rank") <= k)
-    docs = index.select(*cell_keys, "cell_distance", "doc_id", *carry, payload)
+    docs = index.select(*scope, "cell", "cell_distance", "doc_id", *carry, payload)
 
-    sizes = as_lookup(
-        docs.groupBy(*cell_keys).agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min("cell_distance").alias("closest"),
-            F.max("cell_distance").alias("furthest"),
-        )
-    ).table
-    visits = _visit(asked, sizes, pivots, k, probe).select(*cell_keys, "qid", payload)
-    load = visits.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("visitors"))
-    units = as_lookup(
-        load.join(sizes, cell_keys).select(
-            *cell_keys,
+    earlier = Window.partitionBy(*(scope or [F.lit(0)])).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = docs.groupBy(*scope, "cell").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min("cell_distance").alias("closest"),
+        F.max("cell_distance").alias("furthest"),
+    )
+    area = F.floor(F.coalesce(F.sum("size").over(earlier), F.lit(0)) / F.lit(BLOCK_ROWS)).cast("int")
+    lookup = as_lookup(sizes.withColumn("area", area))  # the window runs over at most one row per pivot
+    cells = lookup.table
+    visits = _visit(asked, lookup, pivots, k, probe).select(*scope, "area", "cells", "qid", payload)
+    load = visits.groupBy(*scope, "area").agg(F.count(F.lit(1)).alias("visitors"))
+    areas = as_lookup(
+        load.join(cells.groupBy(*scope, "area").agg(F.sum("size").alias("size")), [*scope, "area"]).select(
+            *scope,
+            "area",
             F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"),
             F.ceil(F.col("visitors") / CHUNK_ROWS).cast("int").alias("chunks"),
+            "size",
+            "visitors",
         )
     )
+    routed = areas.table.agg(F.sum(F.expr("size * chunks + visitors * blocks"))).first()[0] or 0
+    bundles = max(-(-routed // BUNDLE_ROWS), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = areas.table.drop("size", "visitors")
+    unit = F.concat_ws("|", *scope, "area", "block", "chunk")
     left = (
-        lookup_join(visits, units, cell_keys, ["qid"])
+        lookup_join(visits, Lookup(cut, areas.fits), [*scope, "area"], ["qid"])
         .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*unit_keys, "qid", F.col(payload).alias("vector"))
+        .select(unit.alias("unit"), "qid", "cells", F.col(payload).alias("vector"))
     )
     right = (
-        lookup_join(docs, units, cell_keys, ["doc_id"])
+        lookup_join(docs, as_lookup(cells.select(*scope, "cell", "area").join(cut, [*scope, "area"])), [*scope, "cell"], ["doc_id"])
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("vector", F.col(payload))
+        .select(unit.alias("unit"), "doc_id", "cell", *carry, F.col(payload).alias("vector"))
     )
     # fresh column identities: both sides may stem from one table
-    right = right.select(*[F.col(c).alias(c) for c in (*unit_keys, "doc_id", *carry, "vector")])
-    kernel = _narrow(_compare(k, codes), unit_keys)
+    left, right = (
+        side.select(F.pmod(F.xxhash64("unit"), F.lit(bundles)).alias("bundle"), *[F.col(c).alias(c) for c in side.columns])
+        for side in (left, right)
+    )
     types = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *index.schema.fields)}
     schema = ", ".join([f"qid {types['qid']}", f"doc_id {types['doc_id']}"])
     schema += "".join(f", `{c}` {types[c]}" for c in carry) + ", score double"
-    hits = left.groupBy(*unit_keys).cogroup(right.groupBy(*unit_keys)).applyInArrow(kernel, schema)
+    hits = left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(_compare(k, codes), schema)
     return rank_hits(hits, k, F.col("score").asc() if codes else F.col("score").desc())
 
 
-def _narrow(compare, unit_keys: Sequence[str]):
-    """Drop the grouping columns before comparing; a side without rows yields nothing."""
-
-    def kernel(key: tuple, queries: pa.Table, docs: pa.Table) -> pa.Table:
-        return compare(key, queries.drop_columns(list(unit_keys)), docs.drop_columns(list(unit_keys)))
-
-    return kernel
-
-
 def rank_hits(hits: DataFrame, size: int, best_first) -> DataFrame:
     """Keep the ``size`` best hits per query; document ids break ties."""
     order = Window.partitionBy("qid").orderBy(best_first, F.col("doc_id"))

@@ -50,8 +50,8 @@ def append_documents(
     embedded = materialize(docs.withColumn("embedding", embedder("log")), "embedded")
     if not path_exists(spark, f"{path}/pivots/_SUCCESS"):
         centres = choose_pivots(embedded, pivots, seed)
-        rows = [(cell, vector.tolist()) for cell, vector in enumerate(centres.vectors)]
-        spark.createDataFrame(rows, "cell int, vector array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
+        rows = [(cell, int(centres.seniority[cell]), vector.tolist()) for cell, vector in enumerate(centres.vectors)]
+        spark.createDataFrame(rows, "cell int, seniority int, vector array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
     placed = assign_cells(rank_copies(embedded), load_pivots(spark, path)).withColumn("code", sign_code("embedding"))
     (
         placed.select([f.split()[0] for f in INDEX_SCHEMA.split(", ")[:-1]])
@@ -63,7 +63,8 @@ def append_documents(
 
 def load_pivots(spark: SparkSession, path: str) -> Pivots:
     """At most ``MAX_PIVOTS`` vectors."""
-    return Pivots(to_matrix(spark.read.parquet(f"{path}/pivots").orderBy("cell").toArrow()["vector"]))
+    stored = spark.read.parquet(f"{path}/pivots").toArrow().sort_by("cell")
+    return Pivots(to_matrix(stored["vector"]), stored["seniority"].to_numpy().astype("int64"))
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
