@@ -10,6 +10,8 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    import vigilog
+    import workload
     from vigilog.session import configure, ship_code
 
     builder = SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8")
@@ -17,7 +19,7 @@ def spark(tmp_path_factory):
     builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
     session = configure(builder.config("spark.ui.showConsoleProgress", "false")).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    ship_code(session, os.path.join(ROOT, "vigilog"), os.path.join(ROOT, "workload"))
+    ship_code(vigilog, workload)
     yield session
     session.stop()
 

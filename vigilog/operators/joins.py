@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +16,18 @@ HOT_KEY_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Lookup:
-    """A summary table keyed uniquely; ``fits`` says its size was checked and it may be broadcast."""
+    """A summary table keyed uniquely.
+
+    ``fits`` says its size was checked and it may be broadcast; its fetched rows are then at hand.
+    """
 
     table: DataFrame
     fits: bool
+    rows: pa.Table | None = None
+
+    def with_table(self, table: DataFrame) -> Lookup:
+        """A table derived from this one that has no more rows: the same check holds."""
+        return Lookup(table, self.fits)
 
 
 def as_lookup(table: DataFrame, max_rows: int | None = None) -> Lookup:
@@ -26,7 +35,7 @@ def as_lookup(table: DataFrame, max_rows: int | None = None) -> Lookup:
     max_rows = MAX_LOOKUP_ROWS if max_rows is None else max_rows
     found = table.limit(max_rows + 1).toArrow()
     if found.num_rows <= max_rows and found.nbytes <= MAX_LOOKUP_BYTES:
-        return Lookup(table.sparkSession.createDataFrame(found, schema=table.schema), True)
+        return Lookup(table.sparkSession.createDataFrame(found, schema=table.schema), True, found)
     return Lookup(table, False)
 
 

@@ -205,8 +205,8 @@ def _visit(queries: DataFrame, cells: Lookup, pivots: Pivots, k: int, probe: int
     """
     visits = _visitor(pivots, k, probe)
     scoped = "scope" in queries.columns
-    if cells.fits:
-        filled = cells.table.toArrow().to_pandas()
+    if cells.fits or not scoped:  # without scopes: one row per pivot
+        filled = (cells.rows or cells.table.toArrow()).to_pandas()
         known = {
             name: [rows[field].to_numpy() for field in CELL_FIELDS]
             for name, rows in (filled.groupby("scope") if scoped else [(ANY_SCOPE, filled)])
@@ -400,18 +400,19 @@ def search(
             "visitors",
         )
     )
-    routed = areas.table.agg(F.sum(F.expr("size * chunks + visitors * blocks"))).first()[0] or 0
+    routed = _rows_routed(areas)
     bundles = max(-(-routed // BUNDLE_ROWS), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut = areas.table.drop("size", "visitors")
+    cut = areas.with_table(areas.table.drop("size", "visitors"))
     unit = F.concat_ws("|", *scope, "area", "block", "chunk")
     left = (
-        lookup_join(visits, Lookup(cut, areas.fits), [*scope, "area"], ["qid"])
+        lookup_join(visits, cut, [*scope, "area"], ["qid"])
         .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(unit.alias("unit"), "qid", "cells", F.col(payload).alias("vector"))
     )
+    in_area = lookup_join(docs, lookup.with_table(cells.select(*scope, "cell", "area")), [*scope, "cell"], ["doc_id"])
     right = (
-        lookup_join(docs, as_lookup(cells.select(*scope, "cell", "area").join(cut, [*scope, "area"])), [*scope, "cell"], ["doc_id"])
+        lookup_join(in_area, cut, [*scope, "area"], ["doc_id"])
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(unit.alias("unit"), "doc_id", "cell", *carry, F.col(payload).alias("vector"))
@@ -428,6 +429,14 @@ def search(
     return rank_hits(hits, k, F.col("score").asc() if codes else F.col("score").desc())
 
 
+def _rows_routed(areas: Lookup) -> int:
+    """Rows both sides send to the units."""
+    if areas.fits:
+        size, chunks, visitors, blocks = (areas.rows[c].to_numpy() for c in ("size", "chunks", "visitors", "blocks"))
+        return int((size * chunks + visitors * blocks).sum())
+    return areas.table.agg(F.sum(F.expr("size * chunks + visitors * blocks"))).first()[0] or 0
+
+
 def rank_hits(hits: DataFrame, size: int, best_first) -> DataFrame:
     """Keep the ``size`` best hits per query; document ids break ties."""
     order = Window.partitionBy("qid").orderBy(best_first, F.col("doc_id"))

@@ -45,7 +45,7 @@ def with_scopes(queries: DataFrame, index: DataFrame, relax: bool = True) -> tup
     asked = lookup_join(
         queries.withColumn("__source", F.coalesce("source", F.lit(_NULL_SOURCE))), keyed, ["__source"], ["qid"]
     ).drop("__source")
-    wanted = as_lookup(keyed.table.select("scope").distinct())
+    wanted = keyed.with_table(keyed.table.select("scope").distinct())
     terms = F.array_append(F.coalesce(source_tokens("source"), F.array().cast("array<string>")), F.lit(ANY_SCOPE))
     found = lookup_join(index.withColumn("scope", F.explode(terms)), wanted, ["scope"], ["doc_id"])
     return asked, found

@@ -91,8 +91,8 @@ def mark_lowest(
         out = lookup_join(df.select("*", *group_values(groups)), last, names, [id_col], "left")
         end_key, end_id = F.col("__last_key"), F.col("__last_id")
     else:
-        one = last.table.first()
-        end_key, end_id = (F.lit(one[0]), F.lit(one[1])) if one else (F.lit(None).cast("string"), F.lit(None))
+        one = (last.rows or last.table.toArrow()).to_pylist()  # at most one row
+        end_key, end_id = map(F.lit, one[0].values()) if one else (F.lit(None).cast("string"), F.lit(None))
         out = df
     key, row_id = order_key(seed, id_col), F.col(id_col)
     reached = (key < end_key) | ((key == end_key) & (row_id <= end_id))
@@ -156,7 +156,7 @@ def _mark_first(
     for name in known:
         firsts = firsts.where(F.col(name).isNotNull())
     lookup = as_lookup(firsts)
-    groups_found = lookup.table.count()
+    groups_found = lookup.rows.num_rows if lookup.fits else lookup.table.count()
     rows = df.select("*", *[F.col(g).alias(n) for g, n in zip(groups, known)])
     joined = lookup_join(rows, lookup, known, [id_col], "left")
     first = among & (F.col("__first_id") == F.col(id_col))

@@ -49,8 +49,9 @@ def score_with(
                 return None, None, f"{type(failure).__name__}: {failure}", time.monotonic() - began
 
         with ThreadPoolExecutor(concurrency) as pool:
+            each = map if concurrency == 1 else pool.map
             for batch in batches:
-                answers = list(pool.map(one, zip(batch["system_prompt"], batch["user_prompt"])))
+                answers = list(each(one, zip(batch["system_prompt"], batch["user_prompt"])))
                 bodies, statuses, errors, seconds = zip(*answers) if answers else ((), (), (), ())
                 yield batch.assign(
                     raw_response=pd.Series(bodies, batch.index, dtype=object),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
+from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,13 +57,10 @@ def spread(stored: DataFrame, key: str) -> DataFrame:
     return stored if stored.rdd.getNumPartitions() > cores else stored.repartition(cores, key)
 
 
-def ship_code(spark: SparkSession, *packages: str) -> None:
-    """Make package folders importable in the Python workers; each is shipped once per application."""
-    sc = spark.sparkContext
+def ship_code(*packages: ModuleType) -> None:
+    """Send functions of these packages to the Python workers by value.
+
+    Workers then need no copy of the packages; a cluster that has them installed can do without.
+    """
     for package in packages:
-        name = f"{os.path.basename(package)}-{sc.applicationId}"
-        if any(f.endswith(f"{name}.zip") for f in sc.listFiles):
-            continue
-        target = os.path.join(tempfile.mkdtemp(prefix="code-"), name)
-        archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
-        sc.addPyFile(archive)
+        cloudpickle.register_pickle_by_value(package)

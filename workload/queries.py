@@ -527,11 +527,11 @@ def status_counts(spark: SparkSession, folder: str) -> DataFrame:
 def model_run(spark: SparkSession, folder: str) -> evaluation.Evaluation:
     rows = sampling.random_split(labelled_documents(spark, folder), "doc_id", EVAL_FRACTION, SEED).where("split = 'eval'")
     rows = rows.select(F.col("doc_id").alias("qid"), "log_message", "source", "label")
-    return evaluation.evaluate_model(rows, text_model)
+    return evaluation.evaluate_model(rows, text_model, concurrency=1)
 
 
 def context_run(spark: SparkSession, folder: str) -> evaluation.Evaluation:
-    return evaluation.evaluate_with_context(*document_sides(spark, folder), context_model, k=K)
+    return evaluation.evaluate_with_context(*document_sides(spark, folder), context_model, k=K, concurrency=1)
 
 
 def knn_run(spark: SparkSession, folder: str) -> evaluation.Evaluation:
@@ -588,7 +588,7 @@ def model_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def alert_results(spark: SparkSession, folder: str) -> DataFrame:
     good, _ = tables.split_alerts(alert_lines(spark, folder))
-    return evaluation.reevaluate_alerts(good, alert_model, "Judge the alert.", "event_id", spark.sparkContext.defaultParallelism)
+    return evaluation.reevaluate_alerts(good, alert_model, "Judge the alert.", "event_id", spark.sparkContext.defaultParallelism, concurrency=1)
 
 
 @query
