@@ -264,7 +264,7 @@ def _by_scope(vectors: pa.Array, scopes: pa.Array, known, visits, approximate: b
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # query row, document row, integer rank value (higher is better)
 
 
-def _best_vectors(left: np.ndarray, right: np.ndarray, k: int, allowed: np.ndarray | None) -> Found:
+def _best_vectors(left: np.ndarray, right: np.ndarray, k: int) -> Found:
     """The k best documents per query by score in 6 digits, then by position.
 
     Single precision finds everything that may be among them: its error is below the margin, which
@@ -272,45 +272,52 @@ def _best_vectors(left: np.ndarray, right: np.ndarray, k: int, allowed: np.ndarr
     """
     width, keep = len(right), min(k, len(right))
     products = left @ right.T
-    if allowed is not None:
-        products[~allowed] = -np.inf
     kth = np.partition(products, width - keep, axis=1)[:, [width - keep]]
     margin = np.float32(2 * left.shape[1] * 2.0**-24 + 4e-6)
-    rows, columns = np.nonzero((products >= kth - margin) & (products > -np.inf))
+    rows, columns = np.nonzero(products >= kth - margin)
     exact = np.empty(len(rows))
     for start in range(0, len(rows), CANDIDATES_AT_ONCE):
         part = slice(start, start + CANDIDATES_AT_ONCE)
         exact[part] = np.einsum("ij,ij->i", left[rows[part]].astype(np.float64), right[columns[part]].astype(np.float64))
     values = np.rint((1 + exact) / 2 * 1e6).astype(np.int64)
+    return _first_per_row((rows, columns, values), keep)
+
+
+def _first_per_row(found: Found, k: int) -> Found:
+    """The k entries of each row with the highest value, then the lowest column."""
+    rows, columns, values = found
     order = np.lexsort((columns, -values, rows))
-    rows, columns, values = rows[order], columns[order], values[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    return tuple(part[place < keep] for part in (rows, columns, values))
+    place = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
+    return tuple(part[order][place < k] for part in found)
 
 
-def _best_codes(left: np.ndarray, right: np.ndarray, k: int, allowed: np.ndarray | None) -> Found:
+def _best_codes(left: np.ndarray, right: np.ndarray, k: int) -> Found:
     """The k documents per query with most equal bits, then by position; bits are given as -1 and 1."""
     width, keep = len(right), min(k, len(right))
     equal = np.rint((left @ right.T + right.shape[1]) / 2).astype(np.int64)
-    if allowed is not None:
-        equal[~allowed] = -1
     unique = equal * width + np.arange(width - 1, -1, -1)
     columns = np.argpartition(unique, width - keep, axis=1)[:, width - keep :].ravel()
     rows = np.repeat(np.arange(len(left)), keep)
-    values = equal[rows, columns]
-    return tuple(part[values >= 0] for part in (rows, columns, values))
+    return rows, columns, equal[rows, columns]
+
+
+def _groups(rows: np.ndarray, keys: np.ndarray) -> dict[int, np.ndarray]:
+    """The rows of each key, in their order."""
+    order = keys.argsort(kind="stable")
+    known, first = np.unique(keys[order], return_index=True)
+    return dict(zip(known.tolist(), np.split(rows[order], first[1:])))
 
 
-def _allowed(visited: pa.ListArray, cells: np.ndarray) -> np.ndarray:
-    """Query by document: does the document lie in a cell the query visits?"""
-    known, cell_of = np.unique(cells, return_inverse=True)
-    flat = visited.flatten().to_numpy()
-    rows = np.repeat(np.arange(len(visited)), np.diff(visited.offsets.to_numpy()))
-    place = np.searchsorted(known, flat).clip(max=len(known) - 1)
-    here = known[place] == flat
-    mask = np.zeros((len(visited), len(known)), bool)
-    mask[rows[here], place[here]] = True
-    return mask[:, cell_of]
+def _meetings(mine: np.ndarray, theirs: np.ndarray, visited: pa.ListArray, cells: np.ndarray):
+    """Query rows and document rows of one unit that are compared: all, or cell by cell when cells are listed."""
+    if visited.null_count:
+        yield mine, theirs
+        return
+    asked = np.repeat(mine, np.diff(visited.offsets.to_numpy()))
+    asking = _groups(asked, visited.flatten().to_numpy())
+    answering = _groups(theirs, cells[theirs])
+    for cell in asking.keys() & answering.keys():
+        yield asking[cell], answering[cell]
 
 
 def _compare(k: int, codes: bool):
@@ -325,9 +332,9 @@ def _compare(k: int, codes: bool):
 
     def rows_by_unit(table: pa.Table) -> dict[str, np.ndarray]:
         coded = table["unit"].combine_chunks().dictionary_encode()
-        order = coded.indices.to_numpy().argsort(kind="stable")
-        ends = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).cumsum()
-        return dict(zip(coded.dictionary.to_pylist(), np.split(order, ends[:-1])))
+        names = coded.dictionary.to_pylist()
+        grouped = _groups(np.arange(table.num_rows), coded.indices.to_numpy())
+        return {names[code]: rows for code, rows in grouped.items()}
 
     def compare(_key: tuple, queries: pa.Table, docs: pa.Table) -> pa.Table:
         carried = [c for c in docs.column_names if c not in ("bundle", "unit", "cell", "vector")]
@@ -341,15 +348,14 @@ def _compare(k: int, codes: bool):
             bits = right.shape[1]
             visited, cells = queries["cells"].combine_chunks(), docs["cell"].to_numpy()
             for unit in asking.keys() & answering.keys():
-                mine, theirs = asking[unit], answering[unit]
-                step = max(1, SCORES_AT_ONCE // len(theirs))
-                for start in range(0, len(mine), step):
-                    part = mine[start : start + step]
-                    looked_at = visited.take(pa.array(part))
-                    allowed = None if looked_at.null_count else _allowed(looked_at, cells[theirs])
-                    rows, columns, values = best(left[part], right[theirs], k, allowed)
-                    found.append((part[rows], theirs[columns], values))
-        rows, columns, values = (np.concatenate(part) for part in zip(*found))
+                looked_at = visited.take(pa.array(asking[unit]))
+                for mine, theirs in _meetings(asking[unit], answering[unit], looked_at, cells):
+                    step = max(1, SCORES_AT_ONCE // len(theirs))
+                    for start in range(0, len(mine), step):
+                        part = mine[start : start + step]
+                        rows, columns, values = best(left[part], right[theirs], k)
+                        found.append((part[rows], theirs[columns], values))
+        rows, columns, values = _first_per_row(tuple(np.concatenate(part) for part in zip(*found)), k)
         score = (bits - values).astype(np.float64) if codes else values / 1e6
         hits = docs.select(carried).take(pa.array(columns))
         return pa.table([queries["qid"].take(pa.array(rows)), *hits.columns, pa.array(score)], names=["qid", *carried, "score"])
