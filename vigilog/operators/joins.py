@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 MAX_LOOKUP_ROWS = 100_000
 MAX_LOOKUP_BYTES = 64 << 20
-HOT_KEY_ROWS = 1_000_000
+HOT_KEY_ROWS = 200_000
 
 
 @dataclass(frozen=True)

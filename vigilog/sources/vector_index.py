@@ -27,8 +27,9 @@ def create_index(spark: SparkSession, path: str) -> bool:
 
 
 def document(df: DataFrame, id_col: str) -> DataFrame:
-    """Index fields of a labelled log row."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col("log_message").alias("log"), "source", "label")
+    """Index fields of a labelled log row, with its vector if it has one."""
+    vector = ["embedding"] if "embedding" in df.columns else []
+    return df.select(F.col(id_col).alias("doc_id"), F.col("log_message").alias("log"), "source", "label", *vector)
 
 
 def append_documents(
@@ -39,7 +40,7 @@ def append_documents(
     pivots: int = 256,
     seed: int = 42,
 ) -> None:
-    """Embed documents and add them to the index as one batch.
+    """Embed documents, unless they come with a vector, and add them to the index as one batch.
 
     The batch is a folder of its own that a repeated call replaces, so a retried job leaves no
     duplicates. The first batch picks the pivots. Rows are ordered by cell inside each file, which
@@ -47,7 +48,9 @@ def append_documents(
     """
     spark = docs.sparkSession
     create_index(spark, path)
-    embedded = materialize(docs.withColumn("embedding", embedder("log")), "embedded")
+    embedded = docs
+    if "embedding" not in docs.columns:
+        embedded = materialize(docs.withColumn("embedding", embedder("log")), "embedded")
     if not path_exists(spark, f"{path}/pivots/_SUCCESS"):
         centres = choose_pivots(embedded, pivots, seed)
         rows = [(cell, int(centres.seniority[cell]), vector.tolist()) for cell, vector in enumerate(centres.vectors)]

@@ -26,7 +26,10 @@ def classify_batch(
     embedder: Callable[[str], Column] = embed_hash,
     before: str | None = None,
 ) -> DataFrame:
-    """Predict a batch from the index as it stands; ``before`` leaves out the batch of that name."""
+    """Predict a batch from the index as it stands; ``before`` leaves out the batch of that name.
+
+    The rows keep their vectors, so that they can be indexed without embedding them again.
+    """
     spark = rows.sparkSession
     index = load_index(spark, index_path)
     if before is not None:
@@ -36,7 +39,7 @@ def classify_batch(
         "arrivals",
     )
     hits = retrieve(queries, index, load_pivots(spark, index_path), k, probe=probe)
-    return predict(queries.drop("embedding"), hits)
+    return predict(queries, hits)
 
 
 def classify_stream(
@@ -60,9 +63,9 @@ def classify_stream(
         name = f"stream-{number}"
         scored = materialize(classify_batch(batch, index_path, k, probe, embedder, name), "scored")
         alerts = scored.where(F.col("predicted").isNotNull() & is_alert("predicted"))
-        alerts.write.mode("overwrite").parquet(f"{alert_path}/batch={name}")
+        alerts.drop("embedding").write.mode("overwrite").parquet(f"{alert_path}/batch={name}")
         if feedback:
             known = scored.where(F.col("predicted").isNotNull()).drop("label").withColumnRenamed("predicted", "label")
-            append_documents(document(known, "qid"), index_path, name, embedder)
+            append_documents(document(known, "qid"), index_path, name)
 
     return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
