@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from vigilog.functions.event_time import event_time
 from vigilog.functions.labels import in_domain, is_alert, to_binary

@@ -375,8 +375,9 @@ def search(
     """The k nearest documents of every query: ``qid, doc_id, <carry>, score, rank``.
 
     ``queries`` has ``qid, embedding`` and ``index`` has ``doc_id, embedding, cell, cell_distance``
-    and the carried columns; both may have ``scope``, and the index a ``copy_rank``. With ``codes`` both have a ``code`` too, which
-    is compared instead of the vector, and the score is the number of bits that differ.
+    and the carried columns; both may have ``scope``, and the index a ``copy_rank``. With ``codes`` both
+    have a ``code`` too, which is compared instead of the vector; the score is the number of bits that
+    differ.
     """
     payload = "code" if codes else "embedding"
     scope = ["scope"] if "scope" in queries.columns else []
