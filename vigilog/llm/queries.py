@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import host_rules, packing, sharding
-from vigilog.llm.common import table
+from vigilog.llm import host_rules, langid, packing, pii, sharding
+from vigilog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,26 @@ def public_bpe() -> Callable[[], packing.Encode]:
     return packing.byte_bpe(path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@query
+def op2_candidate_trees(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    spans = pii.find_spans(docs, pii.fit_selector(docs))
+    return spans.select(
+        "doc_id",
+        *[f"n_{k}" for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op4_word_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit_languages(docs, ~held_out(3, 1))
+    found = langid.predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
