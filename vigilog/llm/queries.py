@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import host_rules, langid, packing, pii, sharding
+from vigilog.llm import host_rules, langid, neardup, packing, pii, sharding
 from vigilog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op4_word_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op7_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
