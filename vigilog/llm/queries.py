@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import host_rules, langid, maxscore, neardup, packing, pii, sharding
+from vigilog.llm import crf, host_rules, langid, maxscore, neardup, packing, pii, sharding
 from vigilog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,15 @@ def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
+@query
+def op9_line_field(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = crf.fit_quality(docs, table(spark, folder, "labels"), ~held_out(5, 0))
+    scored = crf.score_quality(docs, field)
+    predicted = (F.col("score") >= crf.CUT).cast("int")
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query
 def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents").select("doc_id", "text"), public_bpe())
