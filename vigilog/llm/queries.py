@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import crf, host_rules, langid, maxscore, neardup, packing, pii, sharding
+from vigilog.llm import crf, host_rules, langid, lm_scoring, maxscore, neardup, packing, pii, sharding
 from vigilog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def public_bpe() -> Callable[[], packing.Encode]:
     return packing.byte_bpe(path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@query
+def op1_elias_fano_trie(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm_scoring.score_texts(table(spark, folder, "documents"), ~held_out(7, 2))
+    return scored.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op2_candidate_trees(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
