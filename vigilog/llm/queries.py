@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import crf, host_rules, langid, lm_scoring, maxscore, neardup, packing, pii, sharding
+from vigilog.llm import crf, host_rules, langid, lm_scoring, maxscore, neardup, packing, pii, sentencepiece_lattice, sharding
 from vigilog.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,18 @@ def op5_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op6_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentencepiece_lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentencepiece_lattice.encode(table(spark, folder, "documents"), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.crc32(listed.cast("binary")).alias("ids_crc32"), "round_trip"
+    )
+
+
 @query
 def op7_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
