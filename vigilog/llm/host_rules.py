@@ -12,7 +12,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
-LARGEST_PRIOR = 1e6
+#: Of the prior, in documents: a host of a few documents is never judged by them alone.
+LEAST_PRIOR, LARGEST_PRIOR = 10.0, 1e6
 
 #: Failures beside the base rules that count towards a host's rates.
 RULES = ("short", "repeats", "symbols", "dup_lines", "long_words")
@@ -99,22 +100,22 @@ def rule_failures() -> dict[str, Column]:
 def host_rates(rated: DataFrame, host: str, rules: tuple[str, ...] = RULES) -> DataFrame:
     """One row a host: ``n`` and for each rule its failure rate, shrunk towards the hosts' own spread.
 
-    A beta prior is fitted to the raw rates of all hosts by their mean and variance: where hosts agree,
-    few documents say little about a host; where they differ, its own rate counts more.
+    A beta prior is fitted to the hosts' rates by their mean and variance, hosts weighted by documents: where
+    hosts agree, a host's documents say little about it; where they differ, its own rate counts more.
     """
     hosts = rated.where(F.col(host).isNotNull()).groupBy(host).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"fails_{r}").cast("bigint")).alias(f"f_{r}") for r in rules]
     )
     hosts = materialize(hosts, "hosts")
-    moments = hosts.agg(
-        *[F.avg(F.col(f"f_{r}") / F.col("n")).alias(f"m_{r}") for r in rules],
-        *[F.var_pop(F.col(f"f_{r}") / F.col("n")).alias(f"v_{r}") for r in rules],
-    ).first()
+    totals = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"f_{r}").alias(r) for r in rules]).first()
+    means = {r: (totals[r] or 0) / totals["n"] if totals["n"] else 0.0 for r in rules}
+    off = {r: F.col("n") * F.pow(F.col(f"f_{r}") / F.col("n") - means[r], F.lit(2)) for r in rules}
+    spreads = hosts.agg(*[F.sum(off[r]).alias(r) for r in rules]).first()
     rates = []
     for r in rules:
-        mean, spread = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
-        inside = mean * (1 - mean)
-        strength = min(max(inside / spread - 1, 1.0), LARGEST_PRIOR) if spread > 0 else 1.0
+        mean, spread = means[r], (spreads[r] or 0.0) / (totals["n"] or 1)
+        strength = mean * (1 - mean) / spread - 1 if spread > 0 else LARGEST_PRIOR
+        strength = min(max(strength, LEAST_PRIOR), LARGEST_PRIOR)
         rates.append(((F.col(f"f_{r}") + mean * strength) / (F.col("n") + strength)).alias(f"rate_{r}"))
     return hosts.select(host, "n", *rates)
 
