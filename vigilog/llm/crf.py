@@ -124,10 +124,8 @@ def marginals(field: Field, rows: np.ndarray, firsts: np.ndarray, pairwise: bool
 
 
 def document_means(good: np.ndarray, weights: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """The mean probability of good over each document's lines, weighted by their lengths."""
-    sums = np.concatenate(([0], np.cumsum(good * weights)))
-    total = np.concatenate(([0], np.cumsum(weights)))
-    return (sums[firsts[1:]] - sums[firsts[:-1]]) / np.maximum(total[firsts[1:]] - total[firsts[:-1]], 1e-12)
+    """The mean probability of good over each document's lines (one at least), weighted by their lengths."""
+    return np.add.reduceat(good * weights, firsts[:-1]) / np.add.reduceat(weights, firsts[:-1])
 
 
 def calibrated(field: Field, means: np.ndarray) -> np.ndarray:
