@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from workload.check import compare, connect
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,13 +17,31 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees_with_sql(spark, duck, name):
     assert compare(entry.queries()[name](spark, FOLDER), duck, entry.oracle_sql()[name]) is None
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.keys() <= entry.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("name, column", [("knn_no_match", "status"), ("normal_dominance", "normal_not_dominant"), ("log_tree", "label"),
+                                          ("path_source", "kept"), ("sidecar_long", "label")])
+def test_both_outcomes_occur(spark, name, column):
+    assert entry.queries()[name](spark, FOLDER).select(column).distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", ["knn_eval", "model_eval", "context_eval", "binary_report"])
+def test_reports_have_hits_beside_the_normal_class(spark, name):
+    rows = entry.queries()[name](spark, FOLDER).collect()
+    assert any(r.recall > 0 for r in rows if r.label != "normal_log") and any(r.precision < 1 or r.recall < 1 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["alerts", "stream_alerts", "malformed_alerts", "coverage_missing"])
+def test_no_query_is_empty(spark, name):
+    assert not entry.queries()[name](spark, FOLDER).isEmpty()
 
 
 def test_entry(spark):

@@ -9,8 +9,8 @@ from vigilog.operators.metrics import class_report, compare_models, confusion, c
 from vigilog.operators.retrieve import resolve_sources, retrieve, retrieve_context
 from vigilog.operators.sinks import share_entries
 from vigilog.plans.evaluation import embed_queries, evaluate_knn
-from vigilog.sources.vector_index import append_documents, load_index, load_pivots
-from vigilog.streaming.classify import ARRIVAL_SCHEMA, classify_stream
+from vigilog.sources.vector_index import append_documents, create_index, load_index, load_pivots, rebuild_index
+from vigilog.streaming.classify import ARRIVAL_SCHEMA, classify_batch, classify_stream
 
 RNG = np.random.default_rng(7)
 
@@ -164,7 +164,7 @@ def test_source_resolution(spark):
     asked = ["dns", "inet-dns", "a_b", "x_mail", "Mail", "none", None, "a-b_c", "q-vpn"]
     sources = spark.createDataFrame([(s,) for s in asked], "source string")
     found = {r.source: r.scope for r in resolve_sources(sources, index).collect()}
-    assert found == {"dns": "dns", "inet-dns": "dns", "a_b": "a_b", "x_mail": "mail", "Mail": "*", "none": "*", None: "*", "a-b_c": "*", "q-vpn": "vpn"}
+    assert found == {"dns": "=dns", "inet-dns": "=dns", "a_b": "=a_b", "x_mail": "=mail", "Mail": "*", "none": "*", None: "*", "a-b_c": "*", "q-vpn": "=vpn"}
 
 
 def test_filtered_and_relaxed_search(spark):
@@ -238,6 +238,46 @@ def test_evaluation_against_a_stored_index(spark, tmp_path):
     assert tuple(done.summary.first()) == (3, 2, 1)
 
 
+DOCUMENT = "doc_id long, log string, source string, label string"
+
+
+def test_empty_index_and_empty_first_batch(spark, tmp_path):
+    path = f"{tmp_path}/ix"
+    rows = spark.createDataFrame([(1, "GET /page3", "web")], ARRIVAL_SCHEMA)
+    create_index(spark, path)
+    assert [(r.predicted, r.status) for r in classify_batch(rows, path).collect()] == [(None, "no_match")]
+    append_documents(spark.createDataFrame([], DOCUMENT), path, "nothing")
+    append_documents(spark.createDataFrame([(7, "??", "web", "x")], DOCUMENT), path, "no-token")
+    assert load_index(spark, path).count() == 0 and load_pivots(spark, path).count == 0
+    append_documents(spark.createDataFrame([(8, "GET /page3", "web", "normal_log")], DOCUMENT), path, "one")
+    assert [(r.predicted, r.status) for r in classify_batch(rows, path).collect()] == [("normal_log", "success")]
+    more = [(100 + i, f"word{i} of {i % 9}", "web", "dirb") for i in range(60)]
+    append_documents(spark.createDataFrame(more, DOCUMENT), path, "many", pivots=8)
+    assert load_pivots(spark, path).count == 1  # the first batch had one document
+    rebuild_index(spark, path, f"{tmp_path}/new", pivots=8)
+    assert load_pivots(spark, f"{tmp_path}/new").count == 8 and load_index(spark, f"{tmp_path}/new").count() == 61
+
+
+def test_a_source_that_looks_like_no_filter(spark, tmp_path):
+    docs = [(i, f"GET /page{i}", "web", "normal_log") for i in range(5)]
+    append_documents(spark.createDataFrame(docs, DOCUMENT), f"{tmp_path}/ix", "train", pivots=2)
+    held = spark.createDataFrame([(1, "GET /page3", "*", "a"), (2, "GET /page3", "=web", "a"), (3, "GET /page3", None, "a")], "id long, log_message string, source string, label string")
+    hits = retrieve(embed_queries(held, "id"), load_index(spark, f"{tmp_path}/ix"), load_pivots(spark, f"{tmp_path}/ix"), 3, relax=False)
+    assert {r.qid for r in hits.collect()} == {3}
+
+
+def test_approximate_search_reads_the_visited_cells(spark, tmp_path):
+    docs = [(i, f"alpha{i % 11} beta{i % 7} gamma{i}", "web", "normal_log") for i in range(200)]
+    append_documents(spark.createDataFrame(docs, DOCUMENT), f"{tmp_path}/ix", "train", pivots=8)
+    index, pivots = load_index(spark, f"{tmp_path}/ix"), load_pivots(spark, f"{tmp_path}/ix")
+    held = spark.createDataFrame([(1, "alpha3 beta2 gamma25", "web", "a")], "id long, log_message string, source string, label string")
+    hits = knn.search(embed_queries(held, "id"), index, pivots, 3, probe=2)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "embedding" in line and "cell#" in line]
+    assert any("PartitionFilters: [cell" in line or "isnotnull(cell" in line or "cell#" in line.split("PartitionFilters: [")[1].split("]")[0] for line in filters)
+    assert [r.doc_id for r in hits.where("rank = 1").collect()] == [25]
+
+
 def test_stream_replay_leaves_one_copy(spark, tmp_path):
     train = [(i, f"GET /page{i % 5}", "web", "normal_log") for i in range(10)] + [(100 + i, f"nmap scan {i % 3}", "web", "service_scan") for i in range(9)]
     append_documents(spark.createDataFrame(train, "doc_id long, log string, source string, label string"), f"{tmp_path}/ix", "train", pivots=4)

@@ -4,8 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from vigilog.functions.labels import LOG_LABELS
-from vigilog.operators.metrics import class_report, confusion, overall_report
+from vigilog.functions.labels import LOG_LABELS, RARE_LABELS, SUMMARY_KEYS
+from vigilog.operators.metrics import class_report, confusion, confusion_matrix, model_metrics, overall_report
 from vigilog.operators.sinks import alert_entries, write_entries, write_report
 from vigilog.plans.ingestion import build_dataset, ingest
 from vigilog.sources import logtree, tables, vector_index
@@ -73,22 +73,66 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
     try:
         scanned = logtree.scan_lines(spark, f"{tmp_path}/gather")
+        assert scanned.where("rel_path LIKE '%big.log'").select("block").distinct().count() > 5
+        numbered = logtree.number_lines(scanned)
+        wrong = numbered.where("value <> ''").where(F.concat(F.lit("line "), "line_no") != F.col("value"))
+        assert wrong.count() == 0 and numbered.count() == 30_002
+        assert logtree.clean_lines(numbered).agg(F.max("line_no")).first()[0] == 30_000
+        assert logtree.clean_lines(numbered, 10_000).agg(F.max("line_no")).first()[0] == 10_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert scanned.where("rel_path LIKE '%big.log'").select("block").distinct().count() > 5
-    numbered = logtree.number_lines(scanned)
-    wrong = numbered.where("value <> ''").where(F.concat(F.lit("line "), "line_no") != F.col("value"))
-    assert wrong.count() == 0 and numbered.count() == 30_002
-    capped = logtree.clean_lines(numbered)
-    assert capped.agg(F.max("line_no")).first()[0] == 10_000
-
-
-def test_sidecar_cap_counts_sidecar_lines(spark):
-    side = spark.createDataFrame(
-        [("p", 1, '{"line": 9, "labels": ["x"]}'), ("p", 2, '{"line": 9, "labels": ["y"]}')],
-        "rel_path string, line_no long, value string",
-    )
-    assert [r.label for r in logtree.parse_sidecar(side, 1).collect()] == ["x"]
+    with pytest.raises(Exception, match="splits of the log tree changed"):  # other splits must not give other numbers
+        numbered.collect()
+
+
+def test_numbering_writes_no_lines(spark, tmp_path):
+    write(f"{tmp_path}/gather/h/logs/a.log", "secret words\n" * 50)
+    write(f"{tmp_path}/gather/attacker_0/logs/b.log", "hidden words\n" * 50)
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert logtree.scan_logs(spark, f"{tmp_path}/gather").count() == 50
+    for folder in set(os.listdir(root)) - before:
+        assert set(spark.read.parquet(f"{root}/{folder}").columns) == {"rel_path", "block", "__first", "__rows", "__offset"}
+
+
+def test_long_sidecar_keeps_every_entry(spark):
+    entries = spark.range(1, 30_001).selectExpr("'p' AS rel_path", "id AS line_no", "concat('{\"line\": ', id, ', \"labels\": [\"x\"]}') AS value")
+    lines = spark.range(1, 30_003).selectExpr("'p' AS rel_path", "id AS line_no")
+    got = logtree.attach_labels(lines, logtree.parse_sidecar(entries)).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {"x": 30_000, "normal_log": 2}
+
+
+def test_large_sidecar_joins_only_its_files(spark, tiny_limits):
+    lines = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "rel_path string, line_no long")
+    side = spark.createDataFrame([("a", 2, "x")], "rel_path string, line_no long, label string")
+    got = {(r.rel_path, r.line_no): r.label for r in logtree.attach_labels(lines, side).collect()}
+    assert got == {("a", 1): "normal_log", ("a", 2): "x", ("b", 1): "normal_log"}
+
+
+def test_log_ids_differ(spark):
+    logs = spark.createDataFrame([(f"f{k % 50}", k // 50 + 1) for k in range(500)], "rel_path string, line_no long")
+    assert logtree.with_log_ids(logs).select("log_id").distinct().count() == 500
+
+
+def test_line_breaks_in_datasets(spark, tmp_path):
+    df = spark.createDataFrame([("two\nlines", "s", "l")], tables.DATASET_SCHEMA)
+    with pytest.raises(Exception, match="line break"):
+        tables.write_dataset(df, f"{tmp_path}/refused")
+    tables.write_dataset(df, f"{tmp_path}/escaped", line_breaks="escape")
+    assert [r.log_message for r in tables.read_dataset(spark, f"{tmp_path}/escaped").collect()] == ["two\\nlines"]
+
+
+def test_rare_labels_are_kept_unless_named(spark):
+    report = class_report(confusion(spark.createDataFrame([(x, x) for x in ("wpscan", "dirb", "normal_log")], "label string, predicted string")))
+    assert {r.label for r in model_metrics(report).collect()} == {"wpscan", "dirb", "normal_log"}
+    assert {r.label for r in model_metrics(report, [*SUMMARY_KEYS, *RARE_LABELS]).collect()} == {"normal_log"}
+
+
+def test_dense_form_is_refused_beyond_its_bound(spark):
+    counts = confusion(spark.createDataFrame([(f"l{k}", "x") for k in range(6)], "label string, predicted string"))
+    assert confusion_matrix(counts, 7).count() == 7
+    with pytest.raises(ValueError, match="more than 5"):
+        confusion_matrix(counts, 5)
 
 
 def test_dataset_roundtrip(spark, tmp_path):

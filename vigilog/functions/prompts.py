@@ -44,6 +44,11 @@ BINARY = (
     'the attacks.Use less than 50 words for the explanation, the log is between "'
 )
 BINARY_CONTEXT = " Here you have a RAG with the most similar logs and their labels to help you."
+NEIGHBOURS_SYSTEM = (
+    "You are going to act as a Intrusion Detection System, labeling the logs (normal_log or attack) and explaining "
+    'the attacks in 50 words.The log is between "\n'
+    "Here you have a RAG with the most similar labeled logs: "
+)
 ALERT_HEAD = "Below, you find the details for an alert that requires re-evaluation:\n\nAlert:\n"
 ALERT_TAIL = (
     "\n\nRe-evaluate the alert based *only* on the provided alert details "
@@ -138,11 +143,11 @@ def _message(source: str, log: str) -> Column:
 
 
 def direct_prompt(df: DataFrame, closed: bool = False) -> DataFrame:
-    """Classify a log line from its text and source alone."""
-    system = CLOSED_SYSTEM if closed else DIRECT_SYSTEM
-    return df.withColumn("system_prompt", F.lit(system)).withColumn(
-        "user_prompt", F.concat(F.lit("\n"), _message("source", "log_message"))
-    )
+    """Classify a log line from its text and source alone; the closed form has a user text on one line."""
+    source = F.coalesce("source", F.lit("nan"))
+    one_line = F.concat(F.lit(" source: "), source, F.lit(' ,log message: "'), F.col("log_message"), F.lit('"'))
+    user = one_line if closed else F.concat(F.lit("\n"), _message("source", "log_message"))
+    return df.withColumn("system_prompt", F.lit(CLOSED_SYSTEM if closed else DIRECT_SYSTEM)).withColumn("user_prompt", user)
 
 
 def context_prompt(df: DataFrame) -> DataFrame:
@@ -154,6 +159,15 @@ def context_prompt(df: DataFrame) -> DataFrame:
     return df.withColumn("system_prompt", F.lit(CONTEXT_SYSTEM)).withColumn("user_prompt", user)
 
 
+def labelled_context_prompt(df: DataFrame) -> DataFrame:
+    """The older form with neighbours: they stand in the system text, and the schema behind them."""
+    neighbours = F.coalesce(F.to_json("context"), F.lit("[]"))
+    system = F.concat(F.lit(NEIGHBOURS_SYSTEM), neighbours, F.lit(SCHEMA_NOTE))
+    source = F.coalesce("source", F.lit("nan"))
+    user = F.concat(F.lit("Source: "), source, F.lit(', log message: "'), F.col("log_message"), F.lit('"'))
+    return df.withColumn("system_prompt", system).withColumn("user_prompt", user)
+
+
 def binary_prompt(df: DataFrame, with_context: bool = False) -> DataFrame:
     """Normal or attack, at temperature zero; the neighbours go into the system text."""
     if with_context:
@@ -167,10 +181,15 @@ def binary_prompt(df: DataFrame, with_context: bool = False) -> DataFrame:
 
 @F.arrow_udf(T.StringType())
 def pretty_json(texts: pa.Array) -> pa.Array:
-    """Indented JSON with the keys in their written order."""
-    return pa.array(
-        [None if text is None else json.dumps(json.loads(text), indent=2) for text in texts.to_pylist()], pa.string()
-    )
+    """Indented JSON with the keys in their written order; a text that Python's parser refuses stays as it is."""
+
+    def indented(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), indent=2)
+        except (ValueError, RecursionError):
+            return text
+
+    return pa.array([indented(text) for text in texts.to_pylist()], pa.string())
 
 
 def alert_prompt(df: DataFrame, system_prompt: str) -> DataFrame:

@@ -73,21 +73,27 @@ def read_label_responses(df: DataFrame, strict_labels: bool = False, domain: Seq
 
 
 def read_alert_responses(df: DataFrame, domain: Sequence[str] = tuple(ALERT_LABELS)) -> DataFrame:
-    """Add ``status, predicted, explanation, confidence, content, llm_response``."""
+    """Add ``status, predicted, explanation, confidence, content, llm_response, detail`` (what a failed check found)."""
     doc = F.col("__doc")
     given = _field(doc, "confidence")
     number = F.when(
         _typed(given, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "STRING", "BOOLEAN"),
         F.coalesce(F.try_variant_get(given, "$", "double"), _text(doc, "confidence").try_cast("double")),
     )
-    valid = (
-        _typed(doc, "OBJECT")
-        & _typed(_field(doc, "final_attack_label"), "STRING")
-        & F.coalesce(in_domain(_text(doc, "final_attack_label"), domain), F.lit(False))
-        & _typed(_field(doc, "explanation"), "STRING")
-        & F.coalesce(number.between(0.0, 1.0), F.lit(False))
+    known = F.coalesce(in_domain(_text(doc, "final_attack_label"), domain), F.lit(False))
+    checks = {
+        "the content is no object": _typed(doc, "OBJECT"),
+        "final_attack_label is none of the known labels": _typed(_field(doc, "final_attack_label"), "STRING") & known,
+        "explanation is no text": _typed(_field(doc, "explanation"), "STRING"),
+        "confidence is no number from 0 to 1": F.coalesce(number.between(0.0, 1.0), F.lit(False)),
+    }
+    failed = F.coalesce(*[F.when(~passed, F.lit(what)) for what, passed in checks.items()])
+    detail = (
+        F.when(F.col("status") == "validation_error", failed)
+        .when(F.col("status") == "json_error", "the content is not one JSON value")
+        .when((F.col("status") == "processing_error") & F.col("error").isNull(), "the reply is no JSON with a text as content")
     )
-    checked = _with_content(df).withColumn("status", _status(valid))
+    checked = _with_content(df).withColumn("status", _status(failed.isNull())).withColumn("detail", detail)
     ok = F.col("status") == "success"
     return (
         checked.withColumn("predicted", F.when(ok, _text(doc, "final_attack_label")))

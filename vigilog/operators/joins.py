@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MAX_LOOKUP_ROWS = 100_000
 MAX_LOOKUP_BYTES = 64 << 20
 HOT_KEY_ROWS = 200_000
+HOT_KEYS_SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,19 +60,21 @@ def salted_join(
     """Inner or left join of ``rows`` with a table unique on ``keys``, splitting the hot keys.
 
     A key with more than ``hot_rows`` rows (HOT_KEY_ROWS) is spread over several salts chosen by a hash of
-    ``salt_on`` and only its table row is repeated. There are at most ``len(rows) / hot_rows`` such
-    keys, which bounds the table of hot keys that is broadcast.
+    ``salt_on`` and only its table row is repeated. The list of hot keys is broadcast if it was measured
+    small, else Spark chooses how to join it.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join cannot do a {how} join")
     keys = list(keys)
     hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    hot = F.broadcast(
+    found = as_lookup(
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)
-        .select(*keys, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts"))
+        .select(*keys, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__salts")),
+        HOT_KEYS_SENT,
     )
+    hot = F.broadcast(found.table) if found.fits else found.table
     salts = F.coalesce("__salts", F.lit(1))
     left = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*salt_on), salts).cast("int"))
     right = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))

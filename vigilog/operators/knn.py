@@ -381,6 +381,11 @@ def search(
     """
     payload = "code" if codes else "embedding"
     scope = ["scope"] if "scope" in queries.columns else []
+    types = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *index.schema.fields)}
+    schema = ", ".join([f"qid {types['qid']}", f"doc_id {types['doc_id']}"])
+    schema += "".join(f", `{c}` {types[c]}" for c in carry) + ", score double"
+    if not pivots.count:  # nothing was ever indexed
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
     asked = queries.where(F.col("embedding").isNotNull())
     if "copy_rank" in index.columns and k <= COPIES_RANKED:
         index = index.where(F.col("copy_rank") <= k)
@@ -396,6 +401,9 @@ def search(
     lookup = as_lookup(sizes.withColumn("area", area))  # the window runs over at most one row per pivot
     cells = lookup.table
     visits = _visit(asked, lookup, pivots, k, probe).select(*scope, "area", "cells", "qid", payload)
+    if probe is not None:  # at most as many as pivots; a stored index reads these partitions only
+        visited = [r.cell for r in visits.select(F.explode("cells").alias("cell")).distinct().collect()]
+        docs = docs.where(F.col("cell").isin(visited))
     load = visits.groupBy(*scope, "area").agg(F.count(F.lit(1)).alias("visitors"))
     areas = as_lookup(
         load.join(cells.groupBy(*scope, "area").agg(F.sum("size").alias("size")), [*scope, "area"]).select(
@@ -429,13 +437,30 @@ def search(
         side.select(F.pmod(F.xxhash64("unit"), F.lit(bundles)).alias("bundle"), *[F.col(c).alias(c) for c in side.columns])
         for side in (left, right)
     )
-    types = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *index.schema.fields)}
-    schema = ", ".join([f"qid {types['qid']}", f"doc_id {types['doc_id']}"])
-    schema += "".join(f", `{c}` {types[c]}" for c in carry) + ", score double"
     hits = left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(_compare(k, codes), schema)
     return rank_hits(hits, k, F.col("score").asc() if codes else F.col("score").desc())
 
 
+def probe_for(
+    queries: DataFrame, index: DataFrame, pivots: Pivots, k: int, recall: float, sample: int = 200, seed: int = 42
+) -> int:
+    """How many cells a query must visit for a share ``recall`` of its k nearest, measured on a seeded sample of queries.
+
+    A neighbour counts as found if the approximate search offers k at least as near.
+    """
+    asked = queries.where(F.col("embedding").isNotNull()).orderBy(order_key(seed, "qid"), "qid").limit(sample)
+    asked = materialize(asked, "probe-sample")
+    exact = materialize(search(asked, index, pivots, k).groupBy("qid").agg(F.min("score").alias("kth")), "probe-exact")
+    probe = max(1, pivots.count // 16)
+    while probe < pivots.count:
+        near = search(asked, index, pivots, k, probe).groupBy("qid").agg(F.min("score").alias("near"), F.count(F.lit(1)).alias("n"))
+        found = exact.join(near, "qid", "left").select(((F.col("n") >= k) & (F.col("near") >= F.col("kth"))).alias("found"))
+        if (found.agg(F.avg(F.coalesce("found", F.lit(False)).cast("double"))).first()[0] or 0.0) >= recall:
+            return probe
+        probe = min(pivots.count, 2 * probe)
+    return probe
+
+
 def _rows_routed(areas: Lookup) -> int:
     """Rows both sides send to the units."""
     if areas.fits:

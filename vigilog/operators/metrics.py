@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.functions.labels import RARE_LABELS, SUMMARY_KEYS
+from vigilog.functions.labels import SUMMARY_KEYS
+
+
+MOST_LABELS = 500
 
 
 def confusion(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -19,11 +22,16 @@ def confusion(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def confusion_matrix(counts: DataFrame) -> DataFrame:
-    """Dense form, one row and one column per label seen on either side, sorted."""
+def confusion_matrix(counts: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """Dense form, one row and one column per label seen on either side, sorted.
+
+    A model's free-text labels may be any number: beyond ``most`` the dense form is refused, and ``counts`` is the form to use.
+    """
     labels = label_union(counts)
     padded = counts.unionByName(labels.select("label", F.col("label").alias("predicted"), F.lit(0).cast("bigint").alias("n")))
-    names = sorted(row[0] for row in labels.collect())  # the label domain
+    names = sorted(row[0] for row in labels.limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} labels; keep the long form")
     return padded.groupBy("label").pivot("predicted", names).agg(F.sum("n")).na.fill(0).orderBy("label")
 
 
@@ -76,15 +84,18 @@ def compare_models(
     reports: DataFrame,
     models: Sequence[str],
     metric: str = "f1",
-    excluded: Sequence[str] = (*SUMMARY_KEYS, *RARE_LABELS),
+    excluded: Sequence[str] = tuple(SUMMARY_KEYS),
 ) -> DataFrame:
-    """One metric per label, a column per model, 0 where a model never met the label."""
+    """One metric per label, a column per model, 0 where a model never met the label.
+
+    ``RARE_LABELS`` names classes that a comparison may leave out.
+    """
     kept = reports.where(~F.col("label").isin(*excluded))
     wide = kept.groupBy("label").pivot("model", list(models)).agg(F.first(metric))
     return wide.na.fill(0.0).orderBy("label")
 
 
-def model_metrics(report: DataFrame, excluded: Sequence[str] = (*SUMMARY_KEYS, *RARE_LABELS)) -> DataFrame:
+def model_metrics(report: DataFrame, excluded: Sequence[str] = tuple(SUMMARY_KEYS)) -> DataFrame:
     """All three metrics per label for one model."""
     kept = report.where(~F.col("label").isin(*excluded))
     return kept.select("label", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in ("precision", "recall", "f1")]).orderBy("label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.functions.labels import MISSING_LABEL
@@ -14,20 +14,26 @@ from vigilog.operators.knn import ANY_SCOPE, Pivots, search
 from vigilog.session import materialize
 
 _NULL_SOURCE = "\u0000"
+#: Before every scope that is a term, so that no source can be taken for ANY_SCOPE.
+_TERM = "="
 
 
 def resolve_sources(sources: DataFrame, index_sources: DataFrame) -> DataFrame:
     """For every distinct query source, the first term of its chain that some document carries.
 
     A search filtered by a term is empty exactly when no document has that token, so the choice
-    needs the distinct sources only. Result: ``source, scope``; ``*`` stands for no filter.
+    needs the distinct sources only. Result: ``source, scope``; ANY_SCOPE stands for no filter.
     """
     known = index_sources.select("source").distinct().select(F.explode(source_tokens("source")).alias("term"))
     known = known.distinct().withColumn("__known", F.lit(True))
     chains = sources.select("source").distinct().select("source", F.posexplode(relaxation_chain("source")))
     tried = chains.select("source", F.col("pos"), F.col("col").alias("term")).join(known, "term", "left")
     usable = tried.where(F.col("__known") | F.col("term").isNull())
-    return usable.groupBy("source").agg(F.min_by(F.coalesce("term", F.lit(ANY_SCOPE)), "pos").alias("scope"))
+    return usable.groupBy("source").agg(F.min_by(_scope(F.col("term")), "pos").alias("scope"))
+
+
+def _scope(term: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(_TERM), term), F.lit(ANY_SCOPE))
 
 
 def with_scopes(queries: DataFrame, index: DataFrame, relax: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -40,14 +46,21 @@ def with_scopes(queries: DataFrame, index: DataFrame, relax: bool = True) -> tup
         resolved = resolve_sources(queries, index)
     else:
         resolved = queries.select("source").distinct()
-        resolved = resolved.withColumn("scope", F.coalesce("source", F.lit(ANY_SCOPE)))
+        resolved = resolved.withColumn("scope", _scope(F.col("source")))
     keyed = as_lookup(resolved.select(F.coalesce("source", F.lit(_NULL_SOURCE)).alias("__source"), "scope"))
     asked = lookup_join(
         queries.withColumn("__source", F.coalesce("source", F.lit(_NULL_SOURCE))), keyed, ["__source"], ["qid"]
     ).drop("__source")
     wanted = keyed.with_table(keyed.table.select("scope").distinct())
-    terms = F.array_append(F.coalesce(source_tokens("source"), F.array().cast("array<string>")), F.lit(ANY_SCOPE))
-    found = lookup_join(index.withColumn("scope", F.explode(terms)), wanted, ["scope"], ["doc_id"])
+    # which scopes a source's documents are wanted in is settled per source, before their vectors are read
+    sources = index.select("source").distinct()
+    terms = F.transform(F.coalesce(source_tokens("source"), F.array().cast("array<string>")), lambda t: F.concat(F.lit(_TERM), t))
+    by_source = sources.withColumn("scope", F.explode(F.array_append(F.array_distinct(terms), F.lit(ANY_SCOPE))))
+    by_source = lookup_join(by_source, wanted, ["scope"], ["source"])
+    scopes = by_source.groupBy(F.coalesce("source", F.lit(_NULL_SOURCE)).alias("__source")).agg(F.collect_set("scope").alias("__scopes"))
+    indexed = index.withColumn("__source", F.coalesce("source", F.lit(_NULL_SOURCE)))
+    found = lookup_join(indexed, as_lookup(scopes), ["__source"], ["doc_id"])
+    found = found.withColumn("scope", F.explode("__scopes")).drop("__source", "__scopes")
     return asked, found
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.labels import is_alert
 
-# Rules between the entries of the text outputs.
+# Rules between the entries of the text outputs, their layout, and the error texts.
 HEAVY_RULE = "#" * 80
 LIGHT_RULE = "-" * 80
 
@@ -56,11 +56,11 @@ def result_lines(results: DataFrame) -> DataFrame:
 def _error_text(status: Column) -> Column:
     return (
         F.when(status == "format_error", "Unexpected LLM response format")
-        .when(status == "json_error", "JSONDecodeError")
-        .when(status == "validation_error", "ValidationError")
+        .when(status == "json_error", F.concat(F.lit("JSONDecodeError: "), "detail"))
+        .when(status == "validation_error", F.concat(F.lit("ValidationError: "), "detail"))
         .when(status == "api_error", "LLM API request failed")
         .when(status == "unknown_error", "Unknown processing error")
-        .when(status == "processing_error", F.coalesce("error", F.lit("unreadable response")))
+        .when(status == "processing_error", F.coalesce("error", "detail"))
     )
 
 

@@ -57,9 +57,10 @@ def evaluate_knn(
     k: int = 3,
     size: int | None = None,
     probe: int | None = None,
+    hits: DataFrame | None = None,
 ) -> Evaluation:
-    """Source-filtered neighbours vote."""
-    hits = retrieve(queries, index, pivots, k, size, probe)
+    """Source-filtered neighbours vote; ``hits`` may come from an earlier search."""
+    hits = retrieve(queries, index, pivots, k, size, probe) if hits is None else hits
     return Evaluation(materialize(predict(queries.drop("embedding"), hits), "scored"))
 
 
@@ -89,9 +90,11 @@ def evaluate_with_context(
     binary: bool = False,
     partitions: int | None = None,
     concurrency: int = 400,
+    hits: DataFrame | None = None,
 ) -> Evaluation:
-    """A model reads each row together with its labelled neighbours."""
-    context = retrieve_context(retrieve(queries, index, pivots, k, size, probe), index)
+    """A model reads each row together with its labelled neighbours; ``hits`` may come from an earlier search."""
+    hits = retrieve(queries, index, pivots, k, size, probe) if hits is None else hits
+    context = retrieve_context(hits, index)
     rows = queries.drop("embedding").join(context, "qid", "left")
     prompted = (binary_prompt(rows, with_context=True) if binary else context_prompt(rows)).drop("context")
     return _score(prompted, open_model, "qid", strict_labels, binary, partitions, concurrency)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions.json import strict_json
@@ -25,7 +25,7 @@ def read_dataset(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     """CSV dataset with a header; an empty field is missing.
 
     A log message is one line, so files are read in splits. ``multi_line`` reads messages with line
-    breaks, one task per file.
+    breaks that another writer left in quotes, one task per file.
     """
     return (
         spark.read.schema(DATASET_SCHEMA)
@@ -38,11 +38,24 @@ def read_dataset(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     )
 
 
-def write_dataset(df: DataFrame, path: str) -> None:
-    """CSV at the edge: header and the three dataset columns."""
+def write_dataset(df: DataFrame, path: str, line_breaks: str = "refuse") -> None:
+    """CSV at the edge: header and the three dataset columns.
+
+    A message with a line break would come back as two rows. It fails the job unless ``line_breaks`` is ``escape``,
+    which writes ``\\n`` and ``\\r`` for them. The split tables (Parquet) keep messages as they are.
+    """
+
+    def on_one_line(name: str) -> Column:
+        column = F.col(name)
+        if line_breaks == "escape":
+            escaped = F.replace(F.replace(column, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+            return escaped.alias(name)
+        broken = F.raise_error(F.lit(f"a line break in {name}; write Parquet, or with line_breaks='escape'")).cast("string")
+        return F.when(column.rlike("[\r\n]"), broken).otherwise(column).alias(name)
+
     (
         require_columns(df)
-        .select(*DATASET_COLUMNS)
+        .select(*[on_one_line(c) for c in DATASET_COLUMNS])
         .write.mode("overwrite")
         .option("header", True)
         .option("quote", '"')

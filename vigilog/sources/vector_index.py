@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +15,19 @@ from vigilog.sources.logtree import path_exists
 
 INDEX_SCHEMA = (
     "doc_id bigint, log string, source string, label string, embedding array<float>, code binary, "
-    "cell int, cell_distance double, copy_rank int, batch string"
+    "cell_distance double, copy_rank int, batch string, cell int"
 )
 
 
+#: Files that a batch gives a cell at most.
+FILES_PER_CELL = 4
+
+
 def create_index(spark: SparkSession, path: str) -> bool:
     """Create an empty index unless it exists; tells whether it was created."""
     if path_exists(spark, f"{path}/docs"):
         return False
-    spark.createDataFrame([], INDEX_SCHEMA).drop("batch").write.parquet(f"{path}/docs/batch=0")
+    spark.createDataFrame([], INDEX_SCHEMA).drop("batch", "cell").write.parquet(f"{path}/docs/batch=0/cell=0")
     return True
 
 
@@ -43,29 +48,54 @@ def append_documents(
     """Embed documents, unless they come with a vector, and add them to the index as one batch.
 
     The batch is a folder of its own that a repeated call replaces, so a retried job leaves no
-    duplicates. The first batch picks the pivots. Rows are ordered by cell inside each file, which
-    lets readers skip row groups.
+    duplicates. Inside it each cell is a folder, so that a search reads the cells it visits. The first batch
+    with a document picks the pivots; ``rebuild_index`` picks new ones for an index that has outgrown them.
     """
     spark = docs.sparkSession
     create_index(spark, path)
     embedded = docs
     if "embedding" not in docs.columns:
         embedded = materialize(docs.withColumn("embedding", embedder("log")), "embedded")
-    if not path_exists(spark, f"{path}/pivots/_SUCCESS"):
+    if not load_pivots(spark, path).count:
         centres = choose_pivots(embedded, pivots, seed)
-        rows = [(cell, int(centres.seniority[cell]), vector.tolist()) for cell, vector in enumerate(centres.vectors)]
-        spark.createDataFrame(rows, "cell int, seniority int, vector array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
-    placed = assign_cells(rank_copies(embedded), load_pivots(spark, path)).withColumn("code", sign_code("embedding"))
+        if not centres.count:
+            return  # nothing to index, and nothing to choose pivots from
+        _store_pivots(spark, path, centres)
+    _write_batch(rank_copies(embedded), load_pivots(spark, path), f"{path}/docs/batch={batch}")
+
+
+def rebuild_index(spark: SparkSession, path: str, into: str, pivots: int = 256, seed: int = 42) -> None:
+    """The documents of an index as one batch of a new one, with pivots chosen from all and copies ranked over all.
+
+    For an index that has grown far beyond its first batch, or by very many small ones.
+    """
+    stored = load_index(spark, path).select("doc_id", "log", "source", "label", "embedding")
+    create_index(spark, into)
+    append_documents(stored, into, "rebuilt", pivots=pivots, seed=seed)
+
+
+def _store_pivots(spark: SparkSession, path: str, centres: Pivots) -> None:
+    rows = [(cell, int(centres.seniority[cell]), vector.tolist()) for cell, vector in enumerate(centres.vectors)]
+    spark.createDataFrame(rows, "cell int, seniority int, vector array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
+
+
+def _write_batch(ranked: DataFrame, pivots: Pivots, folder: str) -> None:
+    """One folder a cell; a cell's rows are spread over a few files, so that a full one is not one task's."""
+    placed = assign_cells(ranked, pivots).withColumn("code", sign_code("embedding"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(FILES_PER_CELL))
     (
-        placed.select([f.split()[0] for f in INDEX_SCHEMA.split(", ")[:-1]])
-        .sortWithinPartitions("cell")
+        placed.select([f.split()[0] for f in INDEX_SCHEMA.split(", ") if not f.startswith("batch")])
+        .repartition("cell", spread)
         .write.mode("overwrite")
-        .parquet(f"{path}/docs/batch={batch}")
+        .partitionBy("cell")
+        .parquet(folder)
     )
 
 
 def load_pivots(spark: SparkSession, path: str) -> Pivots:
-    """At most ``MAX_PIVOTS`` vectors."""
+    """At most ``MAX_PIVOTS`` vectors; none before the first document."""
+    if not path_exists(spark, f"{path}/pivots/_SUCCESS"):
+        return Pivots(np.zeros((0, 0)), np.zeros(0, np.int64))
     stored = spark.read.parquet(f"{path}/pivots").toArrow().sort_by("cell")
     return Pivots(to_matrix(stored["vector"]), stored["seniority"].to_numpy().astype("int64"))
 

@@ -7,12 +7,21 @@ import re
 
 from vigilog.operators.scoring import keyword_model
 
-TEXT_RULES = [("ation", "low"), ("ch", "toxic")]
-CONTEXT_RULES = [('"label":"toxic"', "toxic"), ('"label":"low"', "low")]
+TEXT_RULES = [("mente", "dns_scan"), ("eaux", "dirb"), ("ation", "low"), ("ch", "toxic")]
+FAILS_ON = "ndtionth"
+CONTEXT_RULES = [('"label":"dirb"', "dirb"), ('"label":"dns_scan"', "dns_scan"), ('"label":"toxic"', "toxic"), ('"label":"low"', "low")]
 
 
 def text_model():
-    return keyword_model(TEXT_RULES, "normal_log")()
+    """Gives no reply to some texts."""
+    known = keyword_model(TEXT_RULES, "normal_log")()
+
+    def call(system: str, user_prompt: str) -> tuple[int, str]:
+        if FAILS_ON in user_prompt:
+            raise TimeoutError("no reply")
+        return known(system, user_prompt)
+
+    return call
 
 
 def context_model():

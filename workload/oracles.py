@@ -5,7 +5,7 @@ from __future__ import annotations
 from vigilog.functions import prompts
 from vigilog.functions.text import WHITESPACE
 from vigilog.operators.sinks import HEAVY_RULE, LIGHT_RULE
-from workload.models import CONTEXT_RULES, TEXT_RULES
+from workload.models import CONTEXT_RULES, FAILS_ON, TEXT_RULES
 from workload.queries import DIVERSE_SIZE, DOCS_PER_FILE, HEAD_LINES, K, NPROBE, OVERSAMPLE
 from workload.tables import PIVOTS
 
@@ -27,7 +27,8 @@ def key(id_col: str, seed: int = 42) -> str:
 
 DOCS = """docs AS (
   SELECT d.doc_id, d.text AS log_message, d.source, d.lang,
-         CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'low' ELSE 'normal_log' END AS label
+         CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'low' WHEN d.lang = 'fr' THEN 'dirb' WHEN d.lang = 'es' THEN 'dns_scan'
+         ELSE 'normal_log' END AS label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 LINES = """lines AS (
   SELECT doc_id, source, unnest(parts) AS value, generate_subscripts(parts, 1) AS line_no
@@ -187,7 +188,7 @@ CONTEXT_USER = (
     f"{lit('Context logs:' + chr(10) + prompts.INDENT)} || context || "
     f"{lit(chr(10) * 2 + prompts.INDENT + 'Classify:' + chr(10))} || {MESSAGE}"
 )
-MODEL_SCORED = f"model_scored AS (SELECT doc_id AS qid, label, {rules(DIRECT_USER, TEXT_RULES)} AS predicted FROM docs_split WHERE split = 'eval')"
+MODEL_SCORED = f"model_scored AS (SELECT doc_id AS qid, label, CASE WHEN NOT contains({DIRECT_USER}, {lit(FAILS_ON)}) THEN {rules(DIRECT_USER, TEXT_RULES)} END AS predicted FROM docs_split WHERE split = 'eval')"
 CONTEXT_SCORED = f"{CONTEXT}, context_scored AS (SELECT doc_id AS qid, label, {rules(CONTEXT_USER, CONTEXT_RULES)} AS predicted FROM prompted)"
 THREE = f"""WITH {KNN_SCORED}, {MODEL_SCORED}, {CONTEXT_SCORED}, all_scored AS (
   SELECT 'knn' AS model, label, predicted FROM knn_scored
@@ -223,7 +224,7 @@ ORACLES: dict[str, str] = {
     "scan_lines": f"""WITH {LINES}, filed AS (
   SELECT source, doc_id // {DOCS_PER_FILE} AS file_no, value,
     row_number() OVER (PARTITION BY source, doc_id // {DOCS_PER_FILE} ORDER BY doc_id, line_no) AS line_no FROM lines),
-{clean(10_000, 'filed')}
+{clean(None, 'filed')}
 SELECT source, file_no, line_no, value AS log_message FROM clean""",
     "head_lines": f"WITH {LINES}, {clean(HEAD_LINES)} SELECT doc_id, line_no, value FROM clean",
     "letter_filter": f"WITH {LINES} SELECT doc_id, line_no, value FROM lines WHERE regexp_matches(value, '[a-zA-Z]')",
@@ -231,8 +232,15 @@ SELECT source, file_no, line_no, value AS log_message FROM clean""",
   SELECT doc_id, line_no, substr(md5(doc_id || '|' || line_no), 1, 1) AS h FROM lines)
 SELECT doc_id, line_no, CASE WHEN h = '0' THEN 'dup' WHEN h IN ('1', '2', '3') THEN 'service_scan'
   WHEN h = '4' THEN 'dnsteal | attacker' WHEN h IN ('5', '7') THEN '' ELSE 'normal_log' END AS label FROM d""",
+    "sidecar_long": f"""WITH {LINES} SELECT doc_id, doc_id * 1000000 + line_no AS line_no,
+  CASE WHEN (doc_id * 1000000 + line_no) % 2 = 1 THEN 'dirb' ELSE 'dnsteal' END AS label FROM lines""",
+    "log_tree": f"""WITH {LINES}, filed AS (
+  SELECT source, replace(value, chr(13), ' ') AS value, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS line_no
+  FROM lines WHERE replace(source, 'src', '')::INT % 5 < 3),
+{clean(None, 'filed')}
+SELECT source, line_no, md5(value) AS message_md5, CASE WHEN line_no % 7 = 0 THEN 'dnsteal' ELSE 'normal_log' END AS label FROM clean""",
     "path_source": """SELECT page_id, regexp_extract(url, '^https?://([^/]*)', 1) AS source,
-  (contains(url, '/en/') OR contains(url, 'logs')) AND NOT contains(url, 'attacker') AS kept FROM pages""",
+  page_id % 5 <> 0 AND (page_id % 5 = 1 OR contains(url, '/en/') OR contains(url, 'logs')) AND NOT contains(url, 'attacker') AS kept FROM pages""",
     "event_times": """SELECT event_id, CASE event_type
   WHEN 'view' THEN epoch_us(make_timestamp(2022, month(ts), day(ts), hour(ts), minute(ts), floor(second(ts))))
   WHEN 'click' THEN (epoch_us(ts) // 1000000 - 3600) * 1000000
@@ -274,6 +282,15 @@ sample AS (SELECT * FROM ranked WHERE label <> 'normal_log' OR rn > floor(0.95::
 SELECT DISTINCT source, 'any' AS missing FROM named WHERE source NOT IN (SELECT source FROM sample)
 UNION ALL SELECT DISTINCT source, 'normal' FROM named WHERE label = 'normal_log'
   AND source NOT IN (SELECT source FROM sample WHERE label = 'normal_log')""",
+    "split_files": None,
+    "downsample_files": None,
+    "knn_recall": f"""WITH {doc_hits()} SELECT count(*) AS queries, sum(least({K}, (SELECT count(*) FROM idx)))::BIGINT AS hits,
+  true AS enough FROM embedded_queries""",
+    "knn_no_match": f"""WITH {doc_hits("CASE WHEN lang = 'de' THEN '**' ELSE source END", relax=False)}, {votes()}
+SELECT q.doc_id AS qid, w.predicted, CASE WHEN w.predicted IS NULL THEN 'no_match' ELSE 'success' END AS status, 'filled' AS index
+FROM queries q LEFT JOIN win w ON q.doc_id = w.qid
+UNION ALL SELECT doc_id, NULL, 'no_match', 'empty' FROM queries""",
+    "ingest_counts": f"""WITH {DOCS} SELECT source, count(*) AS n FROM docs WHERE source IS NOT NULL GROUP BY source""",
     "hash_embed": f"WITH {DOCS}, {ENTRIES} SELECT doc_id, b AS bucket, round(w, 6) AS weight FROM unit",
     "token_counts": f"""WITH {DOCS}, {ENTRIES}, sums AS (SELECT doc_id, sum(c)::BIGINT AS t, count(*) AS b FROM entries GROUP BY 1)
 SELECT d.doc_id, coalesce(t, 0) AS n_tokens, coalesce(b, 0) AS n_buckets FROM docs d LEFT JOIN sums s ON d.doc_id = s.doc_id""",
@@ -299,8 +316,8 @@ near AS (SELECT * FROM bits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY
         "CASE WHEN lang = 'en' THEN 'web-' || source WHEN lang = 'fr' THEN 'a_' || source WHEN lang = 'de' THEN upper(source) END",
         "CASE WHEN lang = 'fr' THEN 'Inet-' || source ELSE source END",
     )
-    + " "
-    + HITS_OUT,
+    + " SELECT qid, h.doc_id, CASE WHEN i.source LIKE '%src3' THEN 'No Label' ELSE h.label END AS label, score, hit_rank "
+    + "FROM hits h JOIN idx i ON h.doc_id = i.doc_id",
     "knn_two_hits": f"WITH {doc_hits(k=2)} {HITS_OUT}",
     "index_append": f"""WITH {DOCS}, {ENTRIES}
 SELECT doc_id, source, label, CASE WHEN label = 'normal_log' THEN 'normal' ELSE 'attacks' END AS batch,
@@ -344,6 +361,13 @@ FROM body b JOIN queries q ON b.qid = q.doc_id""",
     "prompt_direct": f"WITH {DOCS} SELECT doc_id, md5({lit(prompts.DIRECT_SYSTEM)}) AS system_md5, md5({DIRECT_USER}) AS user_md5 FROM docs",
     "prompt_binary": f"""WITH {DOCS} SELECT doc_id, md5({lit(prompts.BINARY + chr(10) + prompts.SCHEMA_NOTE)}) AS system_md5,
   md5('log message: "' || log_message || '"') AS user_md5 FROM docs""",
+    "prompt_closed": f"""WITH {DOCS} SELECT doc_id, md5({lit(prompts.CLOSED_SYSTEM)}) AS system_md5,
+  md5(' source: ' || source || ' ,log message: "' || log_message || '"') AS user_md5 FROM docs""",
+    "prompt_binary_context": f"""WITH {doc_hits()}, {CONTEXT} SELECT doc_id AS qid, 'binary' AS form,
+  md5({lit(prompts.BINARY + '.' + prompts.BINARY_CONTEXT)} || context || {lit(chr(10) + prompts.SCHEMA_NOTE)}) AS system_md5,
+  md5('log message: "' || log_message || '"') AS user_md5 FROM prompted
+UNION ALL SELECT doc_id, 'labelled', md5({lit(prompts.NEIGHBOURS_SYSTEM)} || context || {lit(prompts.SCHEMA_NOTE)}),
+  md5('Source: ' || source || ', log message: "' || log_message || '"') FROM prompted""",
     "prompt_context": f"""WITH {doc_hits()}, {CONTEXT} SELECT doc_id AS qid, md5({lit(prompts.CONTEXT_SYSTEM)}) AS system_md5,
   md5({CONTEXT_USER}) AS user_md5 FROM prompted""",
     "prompt_alert": f"""WITH {ALERT_LINES} SELECT event_id, md5('Judge the alert.') AS system_md5, md5({lit(prompts.ALERT_HEAD)}
@@ -369,8 +393,9 @@ FROM alert_lines WHERE NOT bad""",
     "alert_reeval": f"""WITH {ALERT_LINES}, {ALERT_STATUS} SELECT event_id, status, predicted,
   CASE WHEN status = 'success' THEN 'by type' END AS explanation, confidence FROM alert_status""",
     "alert_result_lines": f"""WITH {ALERT_LINES}, {ALERT_STATUS} SELECT event_id, status,
-  CASE status WHEN 'format_error' THEN 'Unexpected LLM response format' WHEN 'json_error' THEN 'JSONDecodeError'
-    WHEN 'validation_error' THEN 'ValidationError' WHEN 'api_error' THEN 'LLM API request failed'
+  CASE status WHEN 'format_error' THEN 'Unexpected LLM response format' WHEN 'json_error' THEN 'JSONDecodeError: the content is not one JSON value'
+    WHEN 'validation_error' THEN CASE event_type WHEN 'view' THEN 'ValidationError: final_attack_label is none of the known labels'
+      ELSE 'ValidationError: confidence is no number from 0 to 1' END WHEN 'api_error' THEN 'LLM API request failed'
     WHEN 'processing_error' THEN 'TimeoutError: no reply' END AS error,
   CASE status WHEN 'format_error' THEN 200 WHEN 'api_error' THEN 500 END::BIGINT AS status_code,
   CASE WHEN status = 'json_error' THEN 'nope'
@@ -388,3 +413,13 @@ idx2 AS (SELECT * FROM idx1 UNION ALL SELECT w.doc_id, w.source, p.predicted FRO
 SELECT doc_id, label, 'train' AS batch FROM idx1
 UNION ALL SELECT qid, predicted, 'stream-0' FROM win1 UNION ALL SELECT qid, predicted, 'stream-1' FROM win2""",
 }
+ORACLES["split_files"] = ORACLES["stratified_split"]
+ORACLES["downsample_files"] = (
+    "WITH sample AS (" + ORACLES["downsample_preserve"] + ") SELECT md5(replace(replace(text, chr(10), '\\n'), chr(13), '\\r')) AS message_md5, "
+    "s.source, s.label FROM sample s JOIN documents d ON s.doc_id = d.doc_id"
+)
+ORACLES["stream_alerts"] = (
+    ORACLES["stream_feedback"].split("SELECT doc_id, label, 'train' AS batch FROM idx1")[0]
+    + "SELECT qid, predicted, 'stream-0' AS batch FROM win1 WHERE NOT contains(predicted, 'normal') "
+    "UNION ALL SELECT qid, predicted, 'stream-1' FROM win2 WHERE NOT contains(predicted, 'normal')"
+)

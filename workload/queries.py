@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import labels as L
@@ -15,12 +15,13 @@ from vigilog.functions.text import has_letter, is_log_path, relaxation_chain, so
 from vigilog.functions.vectors import embed_hash, tokens
 from vigilog.operators import counts, metrics, sampling, sinks
 from vigilog.operators import vote as V
-from vigilog.operators.knn import search, search_quantized
+from vigilog.operators.knn import probe_for, search, search_quantized
 from vigilog.operators.retrieve import retrieve, retrieve_context
 from vigilog.plans import evaluation
+from vigilog.plans.ingestion import ingest
 from vigilog.session import materialize, scratch_path
 from vigilog.sources import logtree, tables, vector_index
-from vigilog.streaming.classify import ARRIVAL_SCHEMA, classify_stream
+from vigilog.streaming.classify import ARRIVAL_SCHEMA, classify_batch, classify_stream
 from workload.models import alert_model, context_model, text_model
 from workload.tables import (
     EVAL_FRACTION,
@@ -39,6 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 K = 3
 NPROBE = 4
+RECALL = 0.9
 OVERSAMPLE = 10
 DIVERSE_SIZE = 100
 DOCS_PER_FILE = 5_000
@@ -69,7 +71,7 @@ def scan_lines(spark: SparkSession, folder: str) -> DataFrame:
         .write.partitionBy("source", "logs")
         .text(root)
     )
-    numbered = logtree.number_lines(logtree.scan_lines(spark, root, "*.txt")).where(is_log_path("rel_path"))
+    numbered = logtree.number_lines(logtree.scan_lines(spark, root, "*.txt", logs_only=True))
     return logtree.clean_lines(numbered).select(
         F.regexp_replace(source_of_path("rel_path"), "^source=", "").alias("source"),
         F.regexp_extract("rel_path", "logs=([0-9]+)", 1).cast("bigint").alias("file_no"),
@@ -106,15 +108,67 @@ def sidecar_labels(spark: SparkSession, folder: str) -> DataFrame:
     again = F.when(digit == "0", F.concat(F.lit('{"line": '), number, F.lit(', "labels": ["dup"]}')))
     side = lines.select("rel_path", "line_no", F.posexplode(F.array(entry, again))).where(F.col("col").isNotNull())
     side = side.select("rel_path", (F.col("line_no") * 2 + F.col("pos")).alias("line_no"), F.col("col").alias("value"))
-    labelled = logtree.attach_labels(lines, logtree.parse_sidecar(side, None))
+    labelled = logtree.attach_labels(lines, logtree.parse_sidecar(side))
     return labelled.select("doc_id", "line_no", "label")
 
 
+@query
+def sidecar_long(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines as one file, and two entries for each of them; where both name labels the later one wins."""
+    number = (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("line_no")
+    lines = document_lines(spark, folder).select("doc_id", number, F.lit("one.log").alias("rel_path"))
+    named = F.col("line_no").cast("string")
+    first = F.concat(F.lit('{"line": '), named, F.lit(', "labels": ["dnsteal"]}'))
+    later = F.when(F.col("line_no") % 2 == 1, F.concat(F.lit('{"line": '), named, F.lit(', "labels": ["dirb"]}'))).otherwise("[]")
+    side = lines.select("rel_path", "line_no", F.posexplode(F.array(first, later)))
+    side = side.select("rel_path", (F.col("line_no") * 2 + F.col("pos")).alias("line_no"), F.col("col").alias("value"))
+    return logtree.attach_labels(lines, logtree.parse_sidecar(side)).select("doc_id", "line_no", "label")
+
+
+def put_files(spark: SparkSession, lines: DataFrame, names: dict[str, str], root: str) -> None:
+    """Each source's lines, in order, as one file of the given name below the root."""
+    parts = scratch_path(spark, "parts")
+    ordered = lines.repartition("source").sortWithinPartitions("source", "doc_id", "line_no")
+    ordered.select("value", "source").write.partitionBy("source").text(parts)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for source, name in names.items():  # one file each
+        for found in files.globStatus(path(f"{parts}/source={source}/part-*")) or []:
+            files.mkdirs(path(f"{root}/{name}").getParent())
+            files.rename(found.getPath(), path(f"{root}/{name}"))
+
+
+@query
+def log_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as a tree of log files, rotated ones, an attacker's, and a file that is no log, with sidecars."""
+    base = scratch_path(spark, "log-tree")
+    lines = document_lines(spark, folder).select("doc_id", "line_no", "source", F.regexp_replace("value", "\r", " ").alias("value"))
+    sources = sorted(r.source for r in lines.select("source").distinct().collect())  # names of the test tables' sources
+    kinds = ["{0}/logs/app.log", "{0}/logs/app.log.1", "{0}/logs/deep/b.log", "attacker_0/logs/{0}.log", "{0}/logs/notes.txt"]
+    names = {s: kinds[int(s.removeprefix("src")) % len(kinds)].format(s) for s in sources}
+    put_files(spark, lines, names, f"{base}/gather")
+    entry = F.concat(F.lit('{"line": '), F.col("line_no").cast("string"), F.lit(', "labels": ["dnsteal"]}'))
+    order = Window.partitionBy("source").orderBy("doc_id", "line_no")
+    placed = lines.withColumn("line_no", F.row_number().over(order)).where("line_no % 7 = 0")
+    put_files(spark, placed.select("doc_id", "line_no", "source", entry.alias("value")), names, f"{base}/labels")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")  # files in several splits
+    try:
+        logs = materialize(logtree.labelled_logs(spark, f"{base}/gather", f"{base}/labels"), "labelled")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return logs.select("source", "line_no", F.md5("log_message").alias("message_md5"), "label")
+
+
 @query
 def path_source(spark: SparkSession, folder: str) -> DataFrame:
     url = F.regexp_replace("url", "^https?://", "")
     path = F.concat(F.lit("C:\\data\\gather\\"), F.regexp_replace(url, "/", "\\\\"))
-    path = F.when(F.contains("url", F.lit("/en/")), F.concat(path, F.lit("\\logs\\a.log"))).otherwise(path)
+    path = (
+        F.when(F.col("page_id") % 5 == 0, F.concat(path, F.lit("\\attacker_1\\logs\\a.log")))
+        .when((F.col("page_id") % 5 == 1) | F.contains("url", F.lit("/en/")), F.concat(path, F.lit("\\logs\\a.log")))
+        .otherwise(path)
+    )
     pages = table(spark, folder, "pages").select("page_id", path.alias("path"))
     return pages.select("page_id", source_of_path("path").alias("source"), is_log_path("path").alias("kept"))
 
@@ -137,7 +191,7 @@ def event_times(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def csv_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """Lines written as a dataset file and read back; an empty label comes back missing."""
-    lines = logtree.clean_lines(document_lines(spark, folder), None)
+    lines = logtree.clean_lines(document_lines(spark, folder))
     label = F.when(F.length("value") > 40, "normal_log").otherwise("")
     path = scratch_path(spark, "dataset")
     tables.write_dataset(lines.select(F.col("value").alias("log_message"), "source", label.alias("label")), path)
@@ -213,6 +267,24 @@ def coverage_missing(spark: SparkSession, folder: str) -> DataFrame:
     return counts.coverage_missing(docs, sampling.downsample_uniform(docs, "doc_id", 0.95))
 
 
+@query
+def split_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sides of a split written, and read back side by side."""
+    path = scratch_path(spark, "split")
+    tables.write_split(sampling.stratified_split(labelled_documents(spark, folder), "doc_id", "label", EVAL_FRACTION, SEED), path)
+    sides = [tables.read_split(spark, path, side) for side in ("train", "eval")]
+    return sides[0].unionByName(sides[1]).select("doc_id", "label", "split")
+
+
+@query
+def downsample_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A down-sampled table as a dataset file, line breaks escaped, read back."""
+    path = scratch_path(spark, "sample")
+    sample = sampling.downsample_preserving(labelled_documents(spark, folder), "doc_id")
+    tables.write_dataset(sample, path, line_breaks="escape")
+    return tables.read_dataset(spark, path).select(F.md5("log_message").alias("message_md5"), "source", "label")
+
+
 # --- vectors and retrieval -----------------------------------------------------------------------
 
 
@@ -266,6 +338,39 @@ def knn_quantized(spark: SparkSession, folder: str) -> DataFrame:
     return hits_out(search_quantized(with_codes(queries), with_codes(index), pivots, K, NPROBE, OVERSAMPLE))
 
 
+@query
+def knn_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of the exact search that the approximate one finds too, its probe chosen for nine in ten."""
+    queries, index, pivots = document_sides(spark, folder)
+    exact = materialize(search(queries, index, pivots, K).select("qid", "doc_id", "score"), "exact")
+    probe = probe_for(queries, index, pivots, K, RECALL)
+    found = search(queries, index, pivots, K, probe).select("qid", F.col("score").alias("near")).groupBy("qid").agg(F.min("near").alias("near"))
+    # documents alike score alike: a hit counts if the approximate search offers one at least as near
+    worst = exact.groupBy("qid").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).join(found, "qid", "left")
+    enough = F.avg((F.coalesce("near", F.lit(-1.0)) >= F.col("score")).cast("double")) >= RECALL
+    return worst.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("hits"), enough.alias("enough"))
+
+
+@query
+def knn_no_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries of a source that the index lacks, and queries of an index that is still empty."""
+    asked = F.when(F.col("lang") == "de", "*").otherwise(F.col("source"))
+    queries, index, pivots = document_sides(spark, folder, asked)
+    predicted = V.predict(queries, retrieve(queries, index, pivots, K, relax=False))
+    path = scratch_path(spark, "empty-index")
+    vector_index.create_index(spark, path)
+    early = classify_batch(queries.select(F.col("qid").alias("log_id"), "log_message", "source"), path, K)
+    return predicted.select("qid", "predicted", "status", F.lit("filled").alias("index")).unionByName(
+        early.select("qid", "predicted", "status", F.lit("empty").alias("index"))
+    )
+
+
+@query
+def ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """A training table into a new index, and its rows per source."""
+    return ingest(labelled_documents(spark, folder), "doc_id", scratch_path(spark, "ingested"), pivots=PIVOTS)
+
+
 @query
 def knn_source_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of the query's own source token only; an unknown source finds nothing."""
@@ -286,8 +391,10 @@ def relaxed_sides(spark: SparkSession, folder: str):
 
 @query
 def knn_source_relax(spark: SparkSession, folder: str) -> DataFrame:
-    """The source filter relaxed until documents exist, down to no filter."""
-    return hits_out(retrieve(*relaxed_sides(spark, folder), K))
+    """The source filter relaxed until documents exist, down to no filter; some documents have no label."""
+    queries, index, pivots = relaxed_sides(spark, folder)
+    index = index.withColumn("label", F.when(~F.col("source").endswith("src3"), F.col("label")))
+    return hits_out(retrieve(queries, index, pivots, K))
 
 
 @query
@@ -435,6 +542,22 @@ def prompt_binary(spark: SparkSession, folder: str) -> DataFrame:
     return prompt_out(prompts.binary_prompt(labelled_documents(spark, folder)), "doc_id")
 
 
+@query
+def prompt_closed(spark: SparkSession, folder: str) -> DataFrame:
+    return prompt_out(prompts.direct_prompt(labelled_documents(spark, folder), closed=True), "doc_id")
+
+
+@query
+def prompt_binary_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Both forms that put the neighbours into the system text."""
+    queries, index, pivots = document_sides(spark, folder)
+    hits = retrieve(queries, index, pivots, K)
+    rows = materialize(queries.join(retrieve_context(hits, index), "qid", "left"), "with-context")
+    forms = {"binary": prompts.binary_prompt(rows, with_context=True), "labelled": prompts.labelled_context_prompt(rows)}
+    each = [prompt_out(df, "qid").withColumn("form", F.lit(name)) for name, df in forms.items()]
+    return each[0].unionByName(each[1])
+
+
 @query
 def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
     queries, index, pivots = document_sides(spark, folder)
@@ -558,10 +681,16 @@ def context_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 def three_models(spark: SparkSession, folder: str) -> DataFrame:
     """Confusion counts of the three ways to classify, with a ``model`` column."""
-    runs = {"knn": knn_run, "model": model_run, "model_context": context_run}
+    queries, index, pivots = document_sides(spark, folder)
+    hits = materialize(retrieve(queries, index, pivots, K), "hits")  # one search for both that use neighbours
+    runs = {
+        "knn": evaluation.evaluate_knn(queries, index, pivots, k=K, hits=hits),
+        "model": model_run(spark, folder),
+        "model_context": evaluation.evaluate_with_context(queries, index, pivots, context_model, k=K, concurrency=1, hits=hits),
+    }
     all_counts = None
     for name, run in runs.items():
-        one = run(spark, folder).confusion.withColumn("model", F.lit(name))
+        one = run.confusion.withColumn("model", F.lit(name))
         all_counts = one if all_counts is None else all_counts.unionByName(one)
     return all_counts
 
@@ -622,9 +751,8 @@ def alert_result_lines(spark: SparkSession, folder: str) -> DataFrame:
 # --- streaming -----------------------------------------------------------------------------------
 
 
-@query
-def stream_feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out documents arrive in two waves; each is classified, then joins the index as predicted."""
+def streamed(spark: SparkSession, folder: str) -> str:
+    """The folder of a stream: held-out documents arrive in two waves; each is classified, then joins the index as predicted."""
     rows = sampling.random_split(labelled_documents(spark, folder), "doc_id", EVAL_FRACTION, SEED)
     base = scratch_path(spark, "stream")
     train = vector_index.document(rows.where("split = 'train'"), "doc_id")
@@ -636,4 +764,16 @@ def stream_feedback(spark: SparkSession, folder: str) -> DataFrame:
         classify_stream(stream, f"{base}/index", f"{base}/alerts", f"{base}/checkpoint", K).trigger(
             availableNow=True
         ).start().awaitTermination()
-    return vector_index.load_index(spark, f"{base}/index").select("doc_id", "label", "batch")
+    return base
+
+
+@query
+def stream_feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """The index after the stream."""
+    return vector_index.load_index(spark, f"{streamed(spark, folder)}/index").select("doc_id", "label", "batch")
+
+
+@query
+def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """The alerts that the stream has written."""
+    return spark.read.parquet(f"{streamed(spark, folder)}/alerts").select("qid", "predicted", "batch")

@@ -24,9 +24,9 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, log_message, source, lang, label``; a document without labels is normal."""
+    """``doc_id, log_message, source, lang, label``; two languages stand for attacks, whose words neighbours share."""
     labels = table(spark, folder, "labels").select("doc_id", "quality", "toxic")
-    label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("normal_log")
+    label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("lang") == "fr", "dirb").when(F.col("lang") == "es", "dns_scan").otherwise("normal_log")
     return (
         documents(spark, folder)
         .join(labels, "doc_id", "left")
