@@ -14,9 +14,10 @@ from vigilog.llm import elias_fano
 from vigilog.llm.common import parts
 from vigilog.llm.elias_fano import EliasFano
 from vigilog.llm.ngram_trie import CONTEXT_BITS, KEY_BITS, ORDER, WORD_BITS, Level, Words, frequencies, pack_counts, summed, unpack_counts
-from vigilog.llm.strings import FACTOR, mixed, word_hashes
+from vigilog.llm.strings import FACTOR, distinct, mixed, word_hashes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+CHUNKS_PER_SHARD = 2
 #: Strength of the lower order: PRIOR * count of the context ** (log V / log N).
 PRIOR = 4.0
 END = np.uint64(0x656E64656E64656E)
@@ -62,8 +63,9 @@ class Tokens:
         for k in range(order - 2, 0, -1):
             context = mixed(context * np.uint64(FACTOR) + self.codes[at - k])
         word = self.codes[at]
-        shard = ((mixed(context * np.uint64(FACTOR) + word) >> np.uint64(32)) * self.shards) >> np.uint64(32)
-        key = (mixed(context) >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS) | mixed(word) >> np.uint64(64 - WORD_BITS)
+        whole = mixed(context * np.uint64(FACTOR) + word)
+        shard = ((whole >> np.uint64(32)) * self.shards) >> np.uint64(32)
+        key = (mixed(context) >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS) | whole & np.uint64((1 << WORD_BITS) - 1)
         return shard << np.uint64(KEY_BITS) | key, at
 
     def shard_of(self, order: int, keys: np.ndarray) -> np.ndarray:
@@ -79,8 +81,8 @@ def _requests(chunk: int, texts: list, learn: np.ndarray, shards: int) -> list[t
     for order in range(1, ORDER + 1):
         keys, at = tokens.keys(order)
         taught = learn[tokens.doc[at]]
-        known, times = np.unique(keys[taught], return_counts=True)
-        every = np.union1d(known, keys[~taught])
+        known, times = distinct(keys[taught])
+        every, _ = distinct(np.concatenate((known, keys[~taught])))
         counts = np.zeros(len(every), np.int64)
         counts[np.searchsorted(every, known)] = times
         cuts = np.searchsorted(tokens.shard_of(order, every), np.arange(shards + 1).astype(np.uint64))
@@ -121,11 +123,14 @@ def _scores(texts: list, replies: pa.Table, shards: int) -> tuple[np.ndarray, ..
     n = len(tokens.codes)
     for order in range(1, ORDER + 1):
         keys, at = tokens.keys(order)
-        every = np.unique(keys)
         answered = np.concatenate([unpack_counts(x.as_py()) for x in replies.column(f"found{order}")])
-        if len(answered) != len(every):
+        by_key = np.argsort(keys)
+        keys = keys[by_key]
+        number = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        if len(answered) != (number[-1] + 1 if len(keys) else 0):
             raise RuntimeError("the answers are those of another chunk")
-        found = answered[np.searchsorted(every, keys)]
+        found = np.empty(len(keys), np.int64)
+        found[by_key] = answered[number]
         if order == 1:
             counts = found.astype(float)
             chance = (counts + 1) / (total + types + 1)
@@ -163,8 +168,9 @@ def score_texts(docs: DataFrame, learns: Column, key: str = "doc_id", text: str
     as they occur. Without rows to learn from every chance is 1 by the base formula. An empty table gives no rows.
     """
     docs = docs.select(F.col(key), F.col(text), F.coalesce(learns, F.lit(False)).alias("__learns"))
-    n = min(parts(docs, text, chunk_bytes), MOST_SHARDS)
-    keyed = docs.withColumn("__chunk", F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int"))
+    chunks = parts(docs, text, chunk_bytes)
+    n = min(-(-chunks // CHUNKS_PER_SHARD), MOST_SHARDS)
+    keyed = docs.withColumn("__chunk", F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int"))
 
     def ask(group: tuple, rows: pa.Table) -> pa.Table:
         learn = rows.column("__learns").to_numpy()

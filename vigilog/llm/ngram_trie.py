@@ -11,8 +11,10 @@ from vigilog.llm import elias_fano
 from vigilog.llm.elias_fano import EliasFano
 
 ORDER = 3
-CONTEXT_BITS = 26
-WORD_BITS = 20
+#: A context may have very many successors, so their part is wide; contexts of the same bits share a node, and
+#: a successor's bits depend on its context, so the n-grams stay apart.
+CONTEXT_BITS = 16
+WORD_BITS = 30
 KEY_BITS = CONTEXT_BITS + WORD_BITS
 EXACT = 64
 STEPS = 8  # codes for each doubling beyond EXACT

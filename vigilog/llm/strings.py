@@ -29,6 +29,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and how often each occurs."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[starts], np.diff(np.append(starts, len(values)))
+
+
 class Rolling:
     """64-bit hashes of any runs of a sequence of codes, from one pass over it."""
 
