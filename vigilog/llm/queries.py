@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 40
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,6 +80,27 @@ def op5_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+ORACLES["op5_circulant_minhash"] = f"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents
+    UNION SELECT r.x, b.y FROM reached r JOIN both_ways b ON r.y = b.x),
+least AS (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least USING (doc_id)
+"""
+
+
 @query
 def op6_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -112,6 +134,48 @@ def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
+_RULES = {
+    "short": "n_words < 10",
+    "repeats": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "n_symbols * 2 > n_words",
+    "dup_lines": "n_dup_lines * 5 > n_words",
+    "long_words": "word_chars > 25 * n_words",
+}
+_HOSTS = " UNION ALL ".join(
+    f"SELECT source, '{name}' AS rule, count(*) AS n, count(*) FILTER ({rule}) AS f FROM counted WHERE source IS NOT NULL GROUP BY source"
+    for name, rule in _RULES.items()
+)
+ORACLES["op8_host_rules"] = f"""
+WITH worded AS (
+    SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM worded WHERE len(w) > 4)),
+repeated AS (
+    SELECT doc_id, count(DISTINCT i + d) AS n
+    FROM (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1), (SELECT unnest([0, 1, 2, 3, 4]) AS d)
+    GROUP BY doc_id),
+lined AS (SELECT doc_id, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{WORDS}')] AS l FROM worded),
+counted AS (
+    SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum([len(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        coalesce(r.n, 0) AS n_repeat_words
+    FROM worded JOIN lined USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+hosts AS ({_HOSTS}),
+spread AS (
+    SELECT rule, m, sum(n * (f / n - m) ** 2) / sum(n) AS v
+    FROM hosts JOIN (SELECT rule, sum(f) / sum(n) AS m FROM hosts GROUP BY rule) USING (rule) GROUP BY rule, m),
+prior AS (
+    SELECT rule, m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END, 10.0), 1e6) AS strength FROM spread),
+rejected AS (
+    SELECT source FROM hosts JOIN prior USING (rule) GROUP BY source HAVING max((f + m * strength) / (n + strength)) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(source NOT IN (SELECT source FROM rejected), true) AS kept
+FROM counted
+"""
+
+
 @query
 def op9_line_field(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
