@@ -19,9 +19,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-#: Of BANDS * ROWS one-bit coordinates, so many must agree. At the least similarity 112 do on
-#: average, with a deviation of 3.7.
-AGREEING = 90
+#: One bit of each of so many coordinates sketches a set. At the least similarity 448 agree on average,
+#: with a deviation of 7.5: five deviations below that a pair is ruled out.
+SKETCH = 512
+AGREEING = 410
 UNIT = 256
 BROADCAST_ROWS = 500_000
 
@@ -65,6 +66,11 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return found
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1).view(np.int64)))
+
+
 def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     schema = StructType(
         [
@@ -72,8 +78,7 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             StructField("n", LongType()),
             StructField("set", BinaryType()),
             StructField("bands", ArrayType(LongType())),
-            StructField("low", LongType()),
-            StructField("high", LongType()),
+            StructField("sketch", ArrayType(LongType())),
         ]
     )
 
@@ -85,38 +90,38 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                buckets, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), 2), np.uint64)
+                buckets, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), SKETCH // 64), np.uint64)
                 if full:
-                    signature = coordinates(full, BANDS * ROWS)
-                    buckets[sizes > 0] = bands_of(signature)
+                    signature = coordinates(full, SKETCH)
+                    buckets[sizes > 0] = bands_of(np.ascontiguousarray(signature[:, : BANDS * ROWS]))
                     sketch[sizes > 0] = np.packbits((signature & 1).astype(bool), axis=1).view(np.uint64)
-                ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, end - begin),
-                        pa.array(sizes),
-                        pa.array(names, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets.reshape(-1).view(np.int64))),
-                        pa.array(sketch[:, 0].copy().view(np.int64)),
-                        pa.array(sketch[:, 1].copy().view(np.int64)),
-                    ],
+                    [batch.column(0).slice(begin, end - begin), pa.array(sizes), pa.array(names, pa.binary()), _lists(buckets), _lists(sketch)],
                     schema.names,
                 )
 
     return docs.select(key, text).mapInArrow(signed, schema)
 
 
-def _close(a: str, b: str):
-    """Whether two classes may be alike by their sizes and one-bit sketches."""
-    differing = F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low"))) + F.bit_count(
-        F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high"))
+def _may_link(a: str, b: str):
+    """Whether two classes can be alike, by their sizes, by what each shares with their bucket's first class, and by sketches.
+
+    What they share lies in the first class or outside of it, so it is at most the lesser of both parts each.
+    """
+    differing = sum(
+        (F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH // 64)), F.lit(0)
     )
-    least, most = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * least >= PERCENT * most) & (differing <= BANDS * ROWS - AGREEING)
+    n, both = F.col(f"{a}.n") + F.col(f"{b}.n"), F.least(f"{a}.common", f"{b}.common")
+    most = both + F.least(F.col(f"{a}.n") - F.col(f"{a}.common"), F.col(f"{b}.n") - F.col(f"{b}.common"))
+    return (100 * most >= PERCENT * (n - most)) & (differing <= SKETCH - AGREEING)
+
+
+def _alike():
+    return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Of the candidate pairs ``a, b`` of classes, those whose full sets are alike."""
+    """The distinct candidate pairs ``a, b`` of classes with the sizes of their full sets and of what they share."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted.join(classes.select("cid", "set", "doc"), "cid"), "wanted")
@@ -142,19 +147,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     beside = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("right")), "b")
     beside = beside.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("left")), "a")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = StructType([StructField(c, LongType()) for c in ("a", "b", "na", "nb", "common")])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            found = np.zeros((3, batch.num_rows), np.int64)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate((left, right))
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = 100 * common >= PERCENT * (len(both) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+                found[:, k] = len(left), len(right), (both[1:] == both[:-1]).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found)], schema.names)
 
-    links = beside.select("a", "b", "left", "right").mapInArrow(alike, StructType([StructField("a", LongType()), StructField("b", LongType())]))
-    return materialize(links, "links")
+    return materialize(beside.select("a", "b", "left", "right").mapInArrow(compared, schema), "compared")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,10 +167,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Rows with one shingle set form a class, and only classes are compared. Candidates share a band.
     First each member of a bucket is compared with the bucket's first class, never with all others.
-    Then, in buckets whose members still lie in different components, members of different components
-    are compared, in units of UNIT by UNIT classes however large the bucket; one-bit sketches and sizes rule most out.
-    All candidates are confirmed on full sets. So each pair of classes that shares a band is
-    connected, compared, or ruled out.
+    Then, in buckets whose other members still lie in different components, members of different
+    components are compared, in units of UNIT by UNIT classes however large the bucket; what they share
+    with the first class, and sketches, rule most out. All candidates are confirmed on full sets. So each pair of
+    classes that shares a band is connected, compared, or ruled out.
 
     A null, empty or blank text has no shingles and is linked with nothing: its component is its own
     key. Equal rows share a component. A null key is never the least of a component with other keys,
@@ -174,25 +179,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(key, text)
     signed = materialize(_signatures(docs, key, text), "signatures")
     classes = signed.where("n > 0").groupBy("set").agg(
-        F.min(key).alias("doc"), *[F.first(c).alias(c) for c in ("n", "bands", "low", "high")]
+        F.min(key).alias("doc"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]
     )
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    member = F.struct("cid", "n", "low", "high")
-    banded = classes.select(F.explode("bands").alias("bucket"), member.alias("m"))
-    hubs = banded.groupBy("bucket").agg(F.min("m").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(banded.join(hubs, "bucket").where("m.cid <> hub.cid"), "buckets")
-    first = _verified(
-        shared.where(_close("m", "hub")).select(F.col("hub.cid").alias("a"), F.col("m.cid").alias("b")), classes, docs, key, text
-    )
-    links = first
-    labels = components(first)
-    apart = shared.select("bucket", "m", F.col("m.cid").alias("node")).join(labels, "node", "left")
-    apart = apart.select("bucket", "m", F.coalesce("label", "node").alias("label"))
-    mixed_buckets = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed_buckets = mixed_buckets.where("x <> y").select("bucket", F.ceil(F.col("size") / UNIT).cast("int").alias("blocks"))
-    apart = apart.join(mixed_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("m.cid"), "blocks").cast("int"))
+    banded = classes.select(F.explode("bands").alias("bucket"), "cid")
+    hubs = banded.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(banded.join(hubs.drop("members"), "bucket").where("cid <> hub"), "buckets")
+    first = _verified(shared.select(F.col("hub").alias("a"), F.col("cid").alias("b")), classes, docs, key, text)
+    labels = components(first.where(_alike()))
+    # the other members of each bucket, and which component each is in
+    apart = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    several = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
+    several = several.where("x <> y").select("bucket", F.ceil(F.col("size") / UNIT).cast("int").alias("blocks"))
+    apart = apart.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    apart = apart.join(first.select(F.col("a").alias("hub"), F.col("b").alias("cid"), F.col("nb").alias("n"), "common"), ["hub", "cid"])
+    apart = apart.join(classes.select("cid", "sketch"), "cid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = apart.select("bucket", "m", "label", "block", other.alias("other"))
+    units = apart.select("bucket", "block", "label", F.struct("cid", "n", "common", "sketch").alias("m"), other.alias("other"))
     units = units.select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "m"
     )
@@ -200,13 +203,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     left = units.where("block = i").select("bucket", "i", "j", F.col("label").alias("la"), F.col("m").alias("ma"))
     right = units.where("block = j").select("bucket", "i", "j", F.col("label").alias("lb"), F.col("m").alias("mb"))
     second = left.join(right, ["bucket", "i", "j"]).where(
-        (F.col("la") != F.col("lb")) & ((F.col("i") != F.col("j")) | (F.col("ma.cid") < F.col("mb.cid"))) & _close("ma", "mb")
+        (F.col("la") != F.col("lb")) & ((F.col("i") != F.col("j")) | (F.col("ma.cid") < F.col("mb.cid"))) & _may_link("ma", "mb")
     )
     second = second.select(F.least("ma.cid", "mb.cid").alias("a"), F.greatest("ma.cid", "mb.cid").alias("b"))
-    more = _verified(second, classes, docs, key, text)
+    more = _verified(second, classes, docs, key, text).where(_alike())
     if not more.isEmpty():
-        links = first.unionByName(more)
-        labels = components(links)
+        labels = components(first.where(_alike()).unionByName(more))
     named = classes.select("set", "doc", F.col("cid").alias("node")).join(labels, "node", "left")
     named = named.select("set", "doc", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
