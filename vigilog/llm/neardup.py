@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -19,10 +19,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-#: One bit of each of so many coordinates sketches a set. At the least similarity 448 agree on average,
-#: with a deviation of 7.5: five deviations below that a pair is ruled out.
-SKETCH = 512
-AGREEING = 410
+#: Two bits of each of so many coordinates sketch a set. At the least similarity 832 agree on average,
+#: with a deviation of 12.5: five deviations below that a pair is ruled out.
+SKETCH = 1_024
+AGREEING = 769
 UNIT = 256
 BROADCAST_ROWS = 500_000
 
@@ -90,11 +90,12 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                buckets, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), SKETCH // 64), np.uint64)
+                buckets, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), SKETCH // 32), np.uint64)
                 if full:
                     signature = coordinates(full, SKETCH)
                     buckets[sizes > 0] = bands_of(np.ascontiguousarray(signature[:, : BANDS * ROWS]))
-                    sketch[sizes > 0] = np.packbits((signature & 1).astype(bool), axis=1).view(np.uint64)
+                    planes = [np.packbits((signature >> b & 1).astype(bool), axis=1).view(np.uint64) for b in (0, 1)]
+                    sketch[sizes > 0] = np.concatenate(planes, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), pa.array(sizes), pa.array(names, pa.binary()), _lists(buckets), _lists(sketch)],
                     schema.names,
@@ -103,20 +104,23 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(signed, schema)
 
 
-def _may_link(a: str, b: str):
+def _may_link(a: str, b: str) -> Column:
     """Whether two classes can be alike, by their sizes, by what each shares with their bucket's first class, and by sketches.
 
     What they share lies in the first class or outside of it, so it is at most the lesser of both parts each.
     """
-    differing = sum(
-        (F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH // 64)), F.lit(0)
-    )
+    planes = SKETCH // 64
+
+    def unlike(k: int) -> Column:
+        return F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])
+
+    differing = sum((F.bit_count(unlike(k).bitwiseOR(unlike(k + planes))) for k in range(planes)), F.lit(0))
     n, both = F.col(f"{a}.n") + F.col(f"{b}.n"), F.least(f"{a}.common", f"{b}.common")
     most = both + F.least(F.col(f"{a}.n") - F.col(f"{a}.common"), F.col(f"{b}.n") - F.col(f"{b}.common"))
     return (100 * most >= PERCENT * (n - most)) & (differing <= SKETCH - AGREEING)
 
 
-def _alike():
+def _alike() -> Column:
     return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
 
 
