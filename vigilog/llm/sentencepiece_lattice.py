@@ -22,6 +22,8 @@ BLANK = "▁"
 #: ones, of any length, are encoded by the library in the task that answers.
 LATTICE = 48
 CHUNK_BYTES = 24 << 20
+SHARDS_PER_CHUNK = 4
+LEVEL = 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -84,33 +86,40 @@ def segments(text: str) -> list[str]:
     return _SEGMENT.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``shard, word, edges``: all pieces in each word, as ``cost, start, end``.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int) -> DataFrame:
+    """``shard, number, start, end, score``: all pieces of ``shortest`` characters and more in each word.
 
-    Substrings of up to ``longest`` characters are exploded, joined with the pieces by equality, and
-    grouped by word again. The words keep the partitioning they come in.
+    Substrings of up to ``longest`` characters are exploded and joined with the pieces by equality. Single characters
+    that are no piece have a null score. The rows keep the partitioning of the words.
     """
-    start = words.select("shard", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    length = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start"))))
-    each = start.select("shard", "word", "start", length.alias("n"))
-    each = each.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("n")))
-    edges = each.join(F.broadcast(pieces), "piece", "left").where(F.col("score").isNotNull() | (F.col("n") == 1))
-    edge = F.struct((-F.col("score")).alias("cost"), "start", (F.col("start") + F.col("n")).alias("end"))
-    return edges.groupBy("shard", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    start = words.select("shard", "number", "word", F.explode(F.sequence(F.lit(0), F.length("word") - shortest)).alias("start"))
+    length = F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("word") - F.col("start"))))
+    each = start.select("shard", "number", "word", "start", length.alias("n"))
+    each = each.select("shard", "number", "start", "n", F.substring("word", F.col("start") + 1, F.col("n")).alias("piece"))
+    edges = each.join(F.broadcast(pieces), "piece", "left" if shortest == 1 else "inner")
+    if shortest == 1:
+        edges = edges.where(F.col("score").isNotNull() | (F.col("n") == 1))
+    return edges.select("shard", "number", "start", (F.col("start") + F.col("n")).alias("end"), "score")
 
 
 def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
 
 
-def merged(word: Column, edges: Column) -> Column:
-    """The cuts of a word by the merge rule: as long as two neighbours together are a piece, the one of
-    the best score, of equal ones the leftmost, takes their place. Cuts are the set bits of a long.
+def merged(edges: DataFrame) -> DataFrame:
+    """``shard, number, cuts`` by the merge rule: as long as two neighbours together are a piece, the one of
+    the best score, of equal ones the leftmost, takes their place. Cuts are the set bits of a long, those of the
+    word's ends left out; a word without an edge of two characters keeps all and has no row.
+
+    An edge is packed into one long that orders by score (a whole number, as merge ranks are), then by start.
     """
-    inner = F.transform(
-        F.filter(edges, lambda e: e["end"] - e["start"] > 1),
-        lambda e: F.struct((_bit(e["start"]) + _bit(e["end"])).alias("outer"), (_bit(e["end"]) - _bit(e["start"] + 1)).alias("inner")),
-    )
+    packed = (-F.col("score")).cast("bigint") * 65_536 + F.col("start") * 256 + F.col("end")
+    words = edges.groupBy("shard", "number").agg(F.collect_list(packed).alias("edges"))
+
+    def opened(edge: Column) -> Column:
+        start, end = F.call_function("shiftright", edge, F.lit(8)).bitwiseAND(F.lit(255)), edge.bitwiseAND(F.lit(255))
+        first, last = _bit(start.cast("int")), _bit(end.cast("int"))
+        return F.struct((first + last).alias("outer"), (last - first * 2).alias("inner"))
 
     def step(cuts: Column, open_: Column) -> Column:
         may = F.filter(
@@ -119,32 +128,34 @@ def merged(word: Column, edges: Column) -> Column:
         )
         return let(F.get(may, F.lit(0)), lambda e: F.when(e.isNotNull(), cuts - cuts.bitwiseAND(e["inner"])).otherwise(cuts))
 
-    every = _bit(F.length(word) + 1) - 1
-    return F.when(
-        F.size(inner) > 0,
-        let(inner, lambda x: F.aggregate(F.sequence(F.lit(2), F.length(word)), every, lambda cuts, _: step(cuts, x))),
-    ).otherwise(every)
+    every = _bit(F.lit(LATTICE + 1)) - 1
+    # each merge removes the cut between its two parts, and there is an edge for it
+    folded = let(
+        F.transform(F.sort_array("edges"), opened),
+        lambda x: F.aggregate(F.sequence(F.lit(1), F.least(F.size(x), F.lit(LATTICE))), every, lambda cuts, _: step(cuts, x)),
+    )
+    return words.select("shard", "number", folded.alias("cuts"))
 
 
-def best_path(word: Column, edges: Column, unknown: float) -> Column:
-    """The cuts of a word's best path (Viterbi): the largest sum of scores, of equal ones the longest last piece."""
+def best_path(edges: DataFrame, unknown: float) -> DataFrame:
+    """``shard, number, cuts`` of each word's best path (Viterbi): the largest sum of scores, of equal ones the longest last piece."""
+    edge = F.struct("start", "end", F.coalesce("score", F.lit(unknown)).cast("double").alias("score"))
+    words = edges.groupBy("shard", "number").agg(F.collect_list(edge).alias("edges"), F.max("end").alias("length"))
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
 
     def reached(best: Column, end: Column) -> Column:
         into = F.transform(
-            F.filter(edges, lambda e: e["end"] == end),
-            lambda e: F.struct(
-                (F.get(best, e["start"])["score"] - F.coalesce(e["cost"], F.lit(-unknown))).alias("score"), (-e["start"]).alias("back")
-            ),
+            F.filter("edges", lambda e: e["end"] == end),
+            lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back")),
         )
         return F.concat(best, F.array(F.array_max(into)))
 
-    paths = F.aggregate(F.sequence(F.lit(1), F.length(word)), first, reached)
-    state = F.struct(F.length(word).alias("at"), _bit(F.length(word)).alias("cuts"))
+    paths = F.aggregate(F.sequence(F.lit(1), F.col("length")), first, reached)
+    state = F.struct(F.col("length").alias("at"), F.lit(0).cast("bigint").alias("cuts"))
 
     def back(best: Column) -> Column:
         return F.aggregate(
-            F.sequence(F.lit(1), F.length(word)),
+            F.sequence(F.lit(1), F.col("length")),
             state,
             lambda s, _: F.when(
                 s["at"] > 0,
@@ -153,20 +164,20 @@ def best_path(word: Column, edges: Column, unknown: float) -> Column:
             lambda s: s["cuts"],
         )
 
-    return let(paths, back)
+    return words.select("shard", "number", let(paths, back).alias("cuts"))
 
 
 def cut_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """``shard, word, cuts`` of distinct words of 1 to LATTICE characters."""
-    edges = lattice(words, model.table(words.sparkSession), max(map(len, model.ids)))
+    """``shard, number, cuts`` of words of 1 to LATTICE characters."""
+    longest, pieces = max(map(len, model.ids)), model.table(words.sparkSession)
     if model.kind == BPE:
-        return edges.select("shard", "word", merged(F.col("word"), F.col("edges")).alias("cuts"))
+        return merged(lattice(words.where(F.length("word") > 1), pieces, longest, 2))
     unknown = min(model.scores.values()) - UNKNOWN_PENALTY
-    return edges.select("shard", "word", best_path(F.col("word"), F.col("edges"), unknown).alias("cuts"))
+    return best_path(lattice(words, pieces, longest, 1), unknown)
 
 
 def _stored(value) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(pickle.dumps(value, 5))
+    return zstandard.ZstdCompressor(LEVEL).compress(pickle.dumps(value, 5))
 
 
 def _restored(data: bytes):
@@ -215,7 +226,7 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
     A null text has null ids, an empty one no ids; both are round trips. Characters the model lacks become
     its byte pieces. Equal rows are encoded alike. An empty table gives no rows.
     """
-    n = parts(docs, text, chunk_bytes)
+    n = SHARDS_PER_CHUNK * parts(docs, text, chunk_bytes)
     chunks = _chunked(docs, key, text, chunk_bytes)
     asked = StructType([StructField("shard", IntegerType()), StructField("chunk", LongType()), StructField("words", BinaryType())])
     blob = pa.binary()
@@ -232,13 +243,18 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
         )
 
     requests = chunks.groupBy("chunk").applyInArrow(ask, asked)
-    found = StructType([StructField("shard", IntegerType()), StructField("word", StringType())])
+    found = StructType([StructField("shard", IntegerType()), StructField("number", IntegerType()), StructField("word", StringType())])
 
-    def distinct(group: tuple, rows: pa.Table) -> pa.Table:
+    def short(rows: pa.Table) -> list[str]:
         words: set[str] = set()
         for x in rows.column("words"):
             words.update(w for w in _restored(x.as_py()) if len(w) <= LATTICE)
-        return pa.Table.from_arrays([pa.array([group[0].as_py()] * len(words), pa.int32()), pa.array(words, pa.string())], found.names)
+        return sorted(words)
+
+    def distinct(group: tuple, rows: pa.Table) -> pa.Table:
+        words = short(rows)
+        columns = [pa.array([group[0].as_py()] * len(words), pa.int32()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.string())]
+        return pa.Table.from_arrays(columns, found.names)
 
     words = requests.groupBy("shard").applyInArrow(distinct, found).repartition(n, "shard")
     cut = cut_words(words, model)
@@ -247,20 +263,22 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
 
     def answer(group: tuple, cuts: pa.Table, rows: pa.Table) -> pa.Table:
         model, library, known = Pieces.load(path), None, {}
-        for word, mask in zip(cuts.column("word").to_pylist(), cuts.column("cuts").to_pylist()):
-            ids, at = [], 0
+        masks = dict(zip(cuts.column("number").to_pylist(), cuts.column("cuts").to_pylist()))
+        kind_of = np.uint16 if len(model.ids) < 65_000 else np.uint32
+        for number, word in enumerate(short(rows)):
+            mask, ids, at = masks.get(number, -1), [], 0
             for end in range(1, len(word) + 1):
-                if mask >> end & 1:
+                if end == len(word) or mask >> end & 1:
                     ids += model.spelled(word[at:end])
                     at = end
-            known[word] = np.array(ids, np.uint16 if len(model.ids) < 65_000 else np.uint32)
+            known[word] = np.array(ids, kind_of)
         replies = []
         for x in rows.column("words"):
             wanted = _restored(x.as_py())
             for word in wanted:
                 if word not in known:
                     library = library or _Library(path, kind)
-                    known[word] = np.array(library.encode(word), np.uint32)
+                    known[word] = np.array(library.encode(word), kind_of)
             each = [known[w] for w in wanted]
             replies.append(_stored(([len(a) for a in each], np.concatenate(each) if each else np.zeros(0, np.uint16))))
         shard = [group[0].as_py()] * rows.num_rows
@@ -274,18 +292,23 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
         shards = {s: _restored(x.as_py()) for s, x in zip(replies.column("shard").to_pylist(), replies.column("ids"))}
         if len(shards) != n:
             raise RuntimeError("a shard has not answered")
-        each = [segments(t or "") for t in texts]
+        words: set[str] = set()
+        for text in texts:
+            words.update(segments(text or ""))
         wanted: list[list[str]] = [[] for _ in range(n)]
-        for word in sorted({w for words in each for w in words}):
+        for word in sorted(words):
             wanted[_shard(word, n)].append(word)
         known = {}
-        for s, words in enumerate(wanted):
-            lengths, ids = shards[s]
-            if len(lengths) != len(words):
+        for s, needed in enumerate(wanted):
+            lengths, ids = shards.pop(s)
+            if len(lengths) != len(needed):
                 raise RuntimeError("the answers are those of another chunk")
-            known.update(zip(words, np.split(ids.astype(np.int32), np.cumsum(lengths)[:-1])) if words else ())
-        ids = [np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.int32) for words in each]
-        back = [t is None or not t or b"".join(map(means.__getitem__, i.tolist()))[1:].decode("utf-8", "replace") == t for t, i in zip(texts, ids)]
+            known.update(zip(needed, np.split(ids, np.cumsum(lengths)[:-1])) if needed else ())
+        ids, back = [], []
+        for text in texts:
+            own = [known[w] for w in segments(text or "")]
+            ids.append(np.concatenate(own).astype(np.int32) if own else np.zeros(0, np.int32))
+            back.append(not text or b"".join(map(means.__getitem__, ids[-1].tolist()))[1:].decode("utf-8", "replace") == text)
         offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
         gone = pa.array([t is None for t in texts])
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()), mask=gone)
