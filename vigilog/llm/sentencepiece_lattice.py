@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from vigilog.llm.common import let, parts
+from vigilog.llm.common import let, materialize, parts
 
 BLANK = "▁"
 #: Words of up to so many characters go through the lattice, whose cuts are the bits of a long; longer
@@ -126,13 +126,18 @@ def merged(edges: DataFrame) -> DataFrame:
             open_,
             lambda e: (cuts.bitwiseAND(e["outer"]) == e["outer"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1),
         )
-        return let(F.get(may, F.lit(0)), lambda e: F.when(e.isNotNull(), cuts - cuts.bitwiseAND(e["inner"])).otherwise(cuts))
+        return let(F.get(may, F.lit(0)), lambda e: F.coalesce(cuts - cuts.bitwiseAND(e["inner"]), F.bitwise_not(cuts)))
 
     every = _bit(F.lit(LATTICE + 1)) - 1
-    # each merge removes the cut between its two parts, and there is an edge for it
+    # each merge removes the cut between its two parts, and there is an edge for it; a complement says that none is left
     folded = let(
         F.transform(F.sort_array("edges"), opened),
-        lambda x: F.aggregate(F.sequence(F.lit(1), F.least(F.size(x), F.lit(LATTICE))), every, lambda cuts, _: step(cuts, x)),
+        lambda x: F.aggregate(
+            F.sequence(F.lit(1), F.least(F.size(x), F.lit(LATTICE))),
+            every,
+            lambda cuts, _: F.when(cuts < 0, cuts).otherwise(step(cuts, x)),
+            lambda cuts: F.when(cuts < 0, F.bitwise_not(cuts)).otherwise(cuts),
+        ),
     )
     return words.select("shard", "number", folded.alias("cuts"))
 
@@ -242,7 +247,8 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
             [pa.array(range(n), pa.int32()), pa.array([group[0].as_py()] * n, pa.int64()), pa.array(map(_stored, wanted), blob)], asked.names
         )
 
-    requests = chunks.groupBy("chunk").applyInArrow(ask, asked)
+    # written, as both the words and the answers start from it
+    requests = materialize(chunks.groupBy("chunk").applyInArrow(ask, asked), "requests")
     found = StructType([StructField("shard", IntegerType()), StructField("number", IntegerType()), StructField("word", StringType())])
 
     def short(rows: pa.Table) -> list[str]:
@@ -259,28 +265,34 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
     words = requests.groupBy("shard").applyInArrow(distinct, found).repartition(n, "shard")
     cut = cut_words(words, model)
     answered = StructType([StructField("chunk", LongType()), StructField("shard", IntegerType()), StructField("ids", BinaryType())])
-    path, kind = model.path, model.kind
+    path, kind_of = model.path, np.uint16 if len(model.ids) < 65_000 else np.uint32
 
     def answer(group: tuple, cuts: pa.Table, rows: pa.Table) -> pa.Table:
         model, library, known = Pieces.load(path), None, {}
+        means, odd = model.meanings(), set()
         masks = dict(zip(cuts.column("number").to_pylist(), cuts.column("cuts").to_pylist()))
-        kind_of = np.uint16 if len(model.ids) < 65_000 else np.uint32
+
+        def learn(word: str, ids: list[int]) -> None:
+            known[word] = ids
+            if b"".join([means[i] for i in ids]) != word.replace(BLANK, " ").encode("utf-8", "surrogatepass"):
+                odd.add(word)
+
         for number, word in enumerate(short(rows)):
             mask, ids, at = masks.get(number, -1), [], 0
             for end in range(1, len(word) + 1):
                 if end == len(word) or mask >> end & 1:
                     ids += model.spelled(word[at:end])
                     at = end
-            known[word] = np.array(ids, kind_of)
+            learn(word, ids)
         replies = []
         for x in rows.column("words"):
             wanted = _restored(x.as_py())
             for word in wanted:
                 if word not in known:
-                    library = library or _Library(path, kind)
-                    known[word] = np.array(library.encode(word), kind_of)
-            each = [known[w] for w in wanted]
-            replies.append(_stored(([len(a) for a in each], np.concatenate(each) if each else np.zeros(0, np.uint16))))
+                    library = library or _Library(path)
+                    learn(word, library.encode(word))
+            flat = np.array([i for w in wanted for i in known[w]], kind_of)
+            replies.append(_stored(([len(known[w]) for w in wanted], flat, [w in odd for w in wanted] if odd else None)))
         shard = [group[0].as_py()] * rows.num_rows
         return pa.Table.from_arrays([rows.column("chunk"), pa.array(shard, pa.int32()), pa.array(replies, blob)], answered.names)
 
@@ -288,30 +300,30 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
     schema = StructType([docs.schema[key], StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
 
     def assemble(group: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        texts, means = _restored(rows.column("texts")[0].as_py()), Pieces.load(path).meanings()
-        shards = {s: _restored(x.as_py()) for s, x in zip(replies.column("shard").to_pylist(), replies.column("ids"))}
-        if len(shards) != n:
-            raise RuntimeError("a shard has not answered")
-        words: set[str] = set()
-        for text in texts:
-            words.update(segments(text or ""))
+        texts = _restored(rows.column("texts")[0].as_py())
+        number: dict[str, int] = {}  # of each distinct word, in the order first met
+        each = [np.array([number.setdefault(w, len(number)) for w in segments(t or "")], np.int32) for t in texts]
         wanted: list[list[str]] = [[] for _ in range(n)]
-        for word in sorted(words):
+        for word in sorted(number):
             wanted[_shard(word, n)].append(word)
-        known = {}
-        for s, needed in enumerate(wanted):
-            lengths, ids = shards.pop(s)
-            if len(lengths) != len(needed):
-                raise RuntimeError("the answers are those of another chunk")
-            known.update(zip(needed, np.split(ids, np.cumsum(lengths)[:-1])) if needed else ())
-        ids, back = [], []
-        for text in texts:
-            own = [known[w] for w in segments(text or "")]
-            ids.append(np.concatenate(own).astype(np.int32) if own else np.zeros(0, np.int32))
-            back.append(not text or b"".join(map(means.__getitem__, ids[-1].tolist()))[1:].decode("utf-8", "replace") == text)
-        offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+        shards = {s: _restored(x.as_py()) for s, x in zip(replies.column("shard").to_pylist(), replies.column("ids"))}
+        if [len(shards[s][0]) for s in range(n)] != [len(w) for w in wanted]:
+            raise RuntimeError("the answers are those of another chunk")
+        place = np.array([number[w] for words in wanted for w in words], np.int64)
+        lengths, starts, odd = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+        answered = np.array([x for s in range(n) for x in shards[s][0]], np.int64)
+        lengths[place], starts[place] = answered, np.cumsum(answered) - answered
+        odd[place] = [x for s in range(n) for x in shards[s][2] or [False] * len(wanted[s])]
+        flat = np.concatenate([shards[s][1] for s in range(n)])
+        words = np.concatenate(each)
+        sizes = lengths[words]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(starts[words] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        of_text = np.cumsum([0, *map(len, each)])
+        offsets = pa.array(np.concatenate(([0], ends))[of_text], pa.int32())
+        back = [not t or not (odd[w].any() or BLANK in t) for t, w in zip(texts, each)]
         gone = pa.array([t is None for t in texts])
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()), mask=gone)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=gone)
         keys = rows.column("keys").combine_chunks().flatten()
         return pa.Table.from_arrays([keys, lists, pa.array(back)], schema.names)
 
@@ -321,7 +333,7 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
 class _Library:
     """The library's own encoder for one word, without the blank it would put before it."""
 
-    def __init__(self, path: str, kind: int):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path, num_threads=1)
