@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-#: Two bits of each of so many coordinates sketch a set. At the least similarity 832 agree on average,
-#: with a deviation of 12.5: five deviations below that a pair is ruled out.
-SKETCH = 1_024
-AGREEING = 769
+#: Two bits of each of so many coordinates sketch a set. At the least similarity 1664 agree on average,
+#: with a deviation of 17.7: five deviations below that a pair is ruled out.
+SKETCH = 2_048
+AGREEING = 1_576
 UNIT = 256
 BROADCAST_ROWS = 500_000
 
@@ -120,6 +122,12 @@ def _may_link(a: str, b: str) -> Column:
     return (100 * most >= PERCENT * (n - most)) & (differing <= SKETCH - AGREEING)
 
 
+def _first_shared(a: str, b: str) -> Column:
+    """Whether two members of a bucket share no earlier band, where they have met before."""
+    earlier = [(F.col("band") > k) & (F.col(f"{a}.bands")[k] == F.col(f"{b}.bands")[k]) for k in range(BANDS - 1)]
+    return ~functools.reduce(operator.or_, earlier)
+
+
 def _alike() -> Column:
     return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
 
@@ -172,8 +180,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows with one shingle set form a class, and only classes are compared. Candidates share a band.
     First each member of a bucket is compared with the bucket's first class, never with all others.
     Then, in buckets whose other members still lie in different components, members of different
-    components are compared, in units of UNIT by UNIT classes however large the bucket; what they share
-    with the first class, and sketches, rule most out. All candidates are confirmed on full sets. So each pair of
+    components are compared, once for each pair, in units of UNIT by UNIT classes however large the bucket; what they
+    share with the first class, and sketches, rule most out. All candidates are confirmed on full sets. So each pair of
     classes that shares a band is connected, compared, or ruled out.
 
     A null, empty or blank text has no shingles and is linked with nothing: its component is its own
@@ -186,7 +194,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.min(key).alias("doc"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]
     )
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    banded = classes.select(F.explode("bands").alias("bucket"), "cid")
+    banded = classes.select(F.posexplode("bands").alias("band", "bucket"), "cid")
     hubs = banded.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(banded.join(hubs.drop("members"), "bucket").where("cid <> hub"), "buckets")
     first = _verified(shared.select(F.col("hub").alias("a"), F.col("cid").alias("b")), classes, docs, key, text)
@@ -197,17 +205,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     several = several.where("x <> y").select("bucket", F.ceil(F.col("size") / UNIT).cast("int").alias("blocks"))
     apart = apart.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     apart = apart.join(first.select(F.col("a").alias("hub"), F.col("b").alias("cid"), F.col("nb").alias("n"), "common"), ["hub", "cid"])
-    apart = apart.join(classes.select("cid", "sketch"), "cid")
+    apart = apart.join(classes.select("cid", "sketch", "bands"), "cid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = apart.select("bucket", "block", "label", F.struct("cid", "n", "common", "sketch").alias("m"), other.alias("other"))
+    units = apart.select("bucket", "block", "label", F.struct("cid", "n", "common", "sketch", "bands").alias("m"), "band", other.alias("other"))
     units = units.select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "m"
+        "bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "m"
     )
     units = materialize(units, "units")
-    left = units.where("block = i").select("bucket", "i", "j", F.col("label").alias("la"), F.col("m").alias("ma"))
+    left = units.where("block = i").select("bucket", "band", "i", "j", F.col("label").alias("la"), F.col("m").alias("ma"))
     right = units.where("block = j").select("bucket", "i", "j", F.col("label").alias("lb"), F.col("m").alias("mb"))
     second = left.join(right, ["bucket", "i", "j"]).where(
-        (F.col("la") != F.col("lb")) & ((F.col("i") != F.col("j")) | (F.col("ma.cid") < F.col("mb.cid"))) & _may_link("ma", "mb")
+        (F.col("la") != F.col("lb"))
+        & ((F.col("i") != F.col("j")) | (F.col("ma.cid") < F.col("mb.cid")))
+        & _may_link("ma", "mb")
+        & _first_shared("ma", "mb")
     )
     second = second.select(F.least("ma.cid", "mb.cid").alias("a"), F.greatest("ma.cid", "mb.cid").alias("b"))
     more = _verified(second, classes, docs, key, text).where(_alike())
