@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from vigilog.operators import knn
+from workload import queries
 from workload.check import compare, connect
 from workload.oracles import ORACLES
 from workload.queries import QUERIES
@@ -61,3 +63,11 @@ def test_plan_has_no_pair_join(spark, name):
 )
 def test_query_agrees_when_everything_is_hot(spark, duck, tiny_limits, name):
     assert compare(entry.queries()[name](spark, FOLDER), duck, entry.oracle_sql()[name]) is None
+
+
+def test_recall_counts_no_query_with_too_few_hits(spark, monkeypatch):
+    def one_hit(q, index, pivots, k, probe=None):
+        return knn.search(q, index, pivots, 1 if probe else k, probe)
+
+    monkeypatch.setattr(queries, "search", one_hit)
+    assert not queries.knn_recall(spark, FOLDER).first().enough

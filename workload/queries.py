@@ -344,10 +344,11 @@ def knn_recall(spark: SparkSession, folder: str) -> DataFrame:
     queries, index, pivots = document_sides(spark, folder)
     exact = materialize(search(queries, index, pivots, K).select("qid", "doc_id", "score"), "exact")
     probe = probe_for(queries, index, pivots, K, RECALL)
-    found = search(queries, index, pivots, K, probe).select("qid", F.col("score").alias("near")).groupBy("qid").agg(F.min("near").alias("near"))
-    # documents alike score alike: a hit counts if the approximate search offers one at least as near
+    found = search(queries, index, pivots, K, probe).groupBy("qid").agg(F.min("score").alias("near"), F.count(F.lit(1)).alias("n_found"))
+    # documents alike score alike: a query's hits count if the approximate search offers as many at least as near
     worst = exact.groupBy("qid").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).join(found, "qid", "left")
-    enough = F.avg((F.coalesce("near", F.lit(-1.0)) >= F.col("score")).cast("double")) >= RECALL
+    full = F.coalesce((F.col("n_found") >= F.col("n")) & (F.col("near") >= F.col("score")), F.lit(False))
+    enough = F.avg(full.cast("double")) >= RECALL
     return worst.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("hits"), enough.alias("enough"))
 
 
