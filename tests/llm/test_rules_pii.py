@@ -106,6 +106,13 @@ def test_base_spans(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[1] == k for s in want) for k in range(4)]
 
 
+def test_matches_beyond_a_million_are_placed(spark):
+    n = (1 << 20) + 5
+    text = F.repeat(F.lit("1 "), n)
+    last = spark.range(1).select(F.element_at(pii.found(text, "[0-9]"), -1).alias("s")).first().s
+    assert (last.start, last.end) == (2 * n - 2, 2 * n - 1)
+
+
 def test_selected_spans_are_added(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     selector = pii.fit_selector(docs)
