@@ -125,6 +125,25 @@ def test_selected_spans_are_added(spark):
         assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
 
 
+def test_loose_notations_are_selected(spark):
+    texts = []
+    for k in range(400):
+        card = f"4539{k:04d}0343646"
+        card += next(str(d) for d in range(10) if luhn(card + str(d)))
+        texts.append(
+            f"mail user{k} (at) host{k} (dot) org. Then ({200 + k}) 555-{1000 + k} rang, card {card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]} was used, "
+            f"and lot {card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:15]}{(int(card[15]) + 1) % 10} of {k % 28 + 1:02d}/{k % 12 + 1:02d}/2012 10:{k % 60:02d} "
+            f"and 12,{k},400,500 pieces and {k + 1000} 2000 3000 4000"
+        )
+    docs = rows_of(spark, texts)
+    found = pii.find_spans(docs, pii.fit_selector(docs)).collect()
+    want = [r"user\d+ \(at\) host\d+ \(dot\) org", r"\(\d{3}\) 555-\d{4}", r"(?<=card )[\d.]{19}"]
+    for r in found:
+        spans = {(s.start, s.end) for s in r.spans}
+        assert {re.search(p, r.text).span() for p in want} <= spans
+        assert not any(r.text[a:b].startswith(r.text[r.text.index("lot ") + 4 :][:19]) for a, b in spans)
+
+
 def test_redaction(spark):
     docs = rows_of(spark, [*TRICKY[:7], "no", "x a@b.co y"])
     found = pii.find_spans(docs, pii.Selector())
