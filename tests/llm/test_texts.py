@@ -180,3 +180,27 @@ def test_quality_edges(spark):
     assert crf.fit_quality(docs, labels.where("quality = 1"), F.lit(True)) is None
     assert {r.score for r in crf.score_quality(docs, None).collect()} == {0.5}
     assert crf.score_quality(nothing(spark), field).count() == 0
+
+
+def late_lines(spark):
+    """Documents that differ after their first 64 lines only, and their labels."""
+    good, bad = "the birds sing in the old trees.", "### $$$ ||| !!! ###"
+    texts = [[good] * 64 + [good if k % 2 else bad] * 200 for k in range(40)]
+    docs = spark.createDataFrame([(k, "\n".join(t), "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    return docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+
+
+def test_lines_after_the_64th_teach(spark):
+    docs, labels = late_lines(spark)
+    scores = {r.doc_id: r.score for r in crf.score_quality(docs, crf.fit_quality(docs, labels, F.lit(True))).collect()}
+    assert all(scores[k] > 0.9 if k % 2 else scores[k] < 0.1 for k in scores)
+
+
+def test_field_of_sums_made_in_tasks(spark, monkeypatch):
+    docs, labels = late_lines(spark)
+    monkeypatch.setattr(crf, "STEPS", 3)
+    here = crf.fit_quality(docs, labels, F.lit(True))
+    monkeypatch.setattr(crf, "LOCAL_LINES", 0)
+    apart = crf.fit_quality(docs, labels, F.lit(True))
+    assert np.allclose(here.weights, apart.weights) and np.allclose(here.pairs, apart.pairs)
+    assert np.isclose(here.slope, apart.slope) and np.isclose(here.offset, apart.offset)

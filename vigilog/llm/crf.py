@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
@@ -16,7 +17,8 @@ from vigilog.llm.common import materialize
 from vigilog.llm.strings import gathered
 
 FIT_DOCS = 4_000
-FIT_LINES = 64
+#: Lines of a sample that the driver takes; the gradients of more are summed in tasks.
+LOCAL_LINES = 256_000
 STEPS = 250
 RATE = 0.08
 DECAY = 1e-3
@@ -133,23 +135,32 @@ def calibrated(field: Field, means: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(field.slope * np.log(means / (1 - means)) + field.offset)))
 
 
-def train(rows: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, labels: np.ndarray, seed: int = 9) -> Field:
+def slopes(field: Field, rows: np.ndarray, firsts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The likelihood's gradient by the weights and the label pairs, and the count of lines, as one row of sums."""
+    gold = np.repeat(labels, np.diff(firsts)).astype(float)
+    good, joint, at = marginals(field, rows, firsts, pairwise=True)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (gold[at - 1].astype(int), gold[at].astype(int)), 1)
+    return np.concatenate([rows.T @ (gold - good), (seen - joint).ravel(), [len(rows)]])
+
+
+def climb(summed: Callable[[Field], np.ndarray], width: int = 3 * WIDTH + 1) -> Field:
     """Weights by full-batch gradient steps (Adam) on the likelihood of each document's lines all having its label."""
-    sizes = np.diff(firsts)
-    gold = np.repeat(labels, sizes).astype(float)
-    weights, pairs = np.zeros(rows.shape[1]), np.zeros((2, 2))
+    weights, pairs = np.zeros(width), np.zeros((2, 2))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, pairs)]
     for step in range(1, STEPS + 1):
-        good, joint, at = marginals(Field(weights, pairs), rows, firsts, pairwise=True)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (gold[at - 1].astype(int), gold[at].astype(int)), 1)
-        slopes = [rows.T @ (gold - good) / len(rows) - DECAY * weights, (seen - joint) / len(rows) - DECAY * pairs]
-        for value, slope, (mean, square) in zip((weights, pairs), slopes, moments):
+        found = summed(Field(weights, pairs))
+        found, n = found[:-1], found[-1]
+        both = [found[:width] / n - DECAY * weights, found[width:].reshape(2, 2) / n - DECAY * pairs]
+        for value, slope, (mean, square) in zip((weights, pairs), both, moments):
             mean += 0.1 * (slope - mean)
             square += 0.001 * (slope**2 - square)
             value += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    field = Field(weights, pairs)
-    means = np.clip(document_means(marginals(field, rows, firsts), lengths, firsts), 1e-6, 1 - 1e-6)
+    return Field(weights, pairs)
+
+
+def calibrate(field: Field, means: np.ndarray, labels: np.ndarray) -> Field:
+    means = np.clip(means, 1e-6, 1 - 1e-6)
     x = np.log(means / (1 - means))
     slope, offset = 1.0, 0.0
     for _ in range(30):  # Newton steps of a logistic fit, slightly damped
@@ -159,12 +170,49 @@ def train(rows: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, labels: np.
         hessian = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum()]]) + 1e-6 * np.eye(2)
         change = np.linalg.solve(hessian, gradient)
         slope, offset = slope + np.clip(change[0], -1, 1), offset + np.clip(change[1], -1, 1)
-    return Field(weights, pairs, float(slope), float(offset))
+    return Field(field.weights, field.pairs, float(slope), float(offset))
+
+
+def train(rows: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> Field:
+    field = climb(lambda now: slopes(now, rows, firsts, labels), rows.shape[1])
+    return calibrate(field, document_means(marginals(field, rows, firsts), lengths, firsts), labels)
 
 
-def _described(texts: list[str | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(found) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with neighbours, each document's first line, line lengths and labels of a table of described documents."""
+    lengths = [np.array(x) for x in found.column("lengths").to_pylist()]
+    firsts = np.cumsum([0, *map(len, lengths)])
+    rows = np.concatenate([np.frombuffer(r, np.float32).reshape(-1, WIDTH) for r in found.column("rows").to_pylist()])
+    return with_neighbours(rows, firsts), firsts, np.concatenate(lengths), found.column("label").to_numpy(zero_copy_only=False).astype(float)
+
+
+def train_apart(lines: DataFrame) -> Field:
+    """What ``train`` gives, with the sums over the documents made in tasks."""
+
+    def summed(made: Callable) -> np.ndarray:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = pc.binary_length(batch.column("rows")).to_pylist()
+                for low, high in gathered(sizes):
+                    found = made(*_unpacked(batch.slice(low, high - low)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64()))], ["sums"])
+
+        schema = StructType([StructField("sums", ArrayType(DoubleType()))])
+        return np.array(lines.mapInArrow(of, schema).toArrow().column("sums").to_pylist())
+
+    def gradient(field: Field) -> np.ndarray:
+        return summed(lambda rows, firsts, lengths, labels: slopes(field, rows, firsts, labels)[None]).sum(axis=0)
+
+    def means(rows: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        return np.stack([document_means(marginals(field, rows, firsts), lengths, firsts), labels], axis=1)
+
+    field = climb(gradient)
+    return calibrate(field, *summed(means).T)
+
+
+def _described(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Raw line features of all texts, each line's length plus one, and each text's first line."""
-    each = [(t or "").split("\n")[:most] for t in texts]
+    each = [(t or "").split("\n") for t in texts]
     firsts = np.cumsum([0, *map(len, each)])
     lengths = np.array([len(line) + 1.0 for lines in each for line in lines])
     return np.concatenate([line_features(x) for x in each]), lengths, firsts
@@ -172,12 +220,12 @@ def _described(texts: list[str | None], most: int | None = None) -> tuple[np.nda
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality",
-    fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES, seed: int = 9,
+    fit_docs: int = FIT_DOCS, seed: int = 9,
 ) -> Field | None:
     """The field fitted to a seeded sample of about ``fit_docs`` labelled documents, none if a class is missing.
 
-    A sampled document teaches with its first ``fit_lines`` lines, which bounds what the driver
-    gathers: only feature rows of the sample, no texts. Scoring has no such bound.
+    A sampled document teaches with all its lines. The driver gathers the sample's feature rows, no
+    texts, up to LOCAL_LINES lines; of more it sees sums only.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & may_learn).select(key, F.col(label).cast("int").alias("label"))
     n = known.count()
@@ -190,20 +238,18 @@ def fit_quality(
         for batch in batches:
             lengths, rows = [], []
             for value in batch.column(1):
-                raw, size, _ = _described([value.as_py()], fit_lines)
+                raw, size, _ = _described([value.as_py()])
                 lengths.append(size.tolist())
                 rows.append(raw.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.list_(pa.float64())), pa.array(rows, pa.binary())], schema.names)
 
-    found = materialize(texts.mapInArrow(described, schema), "lines").orderBy("label", F.xxhash64("rows")).toArrow()
-    marks = found.column("label").to_numpy()
-    if len(np.unique(marks)) < 2:
+    lines = materialize(texts.mapInArrow(described, schema), "lines")
+    held = lines.agg(F.sum(F.size("lengths").cast("bigint")).alias("lines"), F.countDistinct("label").alias("labels")).first()
+    if held["labels"] < 2:
         return None
-    sizes = [len(x) for x in found.column("lengths").to_pylist()]
-    firsts = np.cumsum([0, *sizes])
-    rows = np.concatenate([np.frombuffer(r, np.float32).reshape(-1, WIDTH) for r in found.column("rows").to_pylist()])
-    lengths = np.concatenate([np.array(x) for x in found.column("lengths").to_pylist()])
-    return train(with_neighbours(rows, firsts), firsts, lengths, marks.astype(float), seed)
+    if held["lines"] > LOCAL_LINES:
+        return train_apart(lines)
+    return train(*_unpacked(lines.orderBy("label", F.xxhash64("rows")).toArrow()))
 
 
 def score_quality(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
