@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import crf, host_rules, langid, lm_scoring, maxscore, neardup, packing, pii, sentencepiece_lattice, sharding
-from vigilog.llm.common import held_out, table
+from vigilog.llm import (
+    crf, host_rules, langid, lm_scoring, maxscore, neardup, packing, periodic_runs, pii, resampling, sentencepiece_lattice, sharding
+)
+from vigilog.llm.common import crc_of_id, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +191,75 @@ def op9_line_field(spark: SparkSession, folder: str) -> DataFrame:
 def op10_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents").select("doc_id", "text"), public_bpe())
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Texts whose id's checksum is a multiple of ten go on periodically from a word and with a period that it names."""
+    words = docs.select("doc_id", "text", host_rules.words_of(F.coalesce("text", F.lit(""))).alias("w"), crc_of_id().alias("h"))
+    g, n = F.floor(F.col("h") / 10).cast("long"), F.size("w").cast("long")
+    placed = words.withColumn("g", g).withColumn("n", n).withColumn("a", F.col("g") % F.greatest("n", F.lit(1)))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("long"))
+    rest = F.col("n") - F.col("a")
+    period = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.flatten(F.array_repeat(period, F.ceil(rest / F.col("p")).cast("int")))
+    made = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), rest.cast("int")))
+    planted = (F.col("h") % 10 == 0) & (F.col("n") > 0)
+    return placed.select("doc_id", F.when(planted, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_recompression_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _made_periodic(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("top", periodic_runs.greatest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_regular_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("text")
+    return resampling.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# the checksum of a feature's bytes, from a table of the polynomial's 256 remainders
+_REMAINDERS = "[list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END) FOR k IN range(256)]"
+ORACLES["op12_regular_sampling"] = f"""
+WITH sums AS MATERIALIZED (SELECT {_REMAINDERS} AS remainder),
+worded AS (
+    SELECT is_doc, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT true AS is_doc, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark)),
+listed AS (
+    SELECT is_doc, id, array_to_string(w[i:i + n - 1], ' ') AS f
+    FROM (SELECT is_doc, id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3]) AS n))),
+counted AS (SELECT is_doc, id, f, count(*) AS c FROM listed GROUP BY ALL),
+hashed AS MATERIALIZED (
+    SELECT f, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(0, len(hex(encode(f))), 2), lambda i: ('0x' || substr(hex(encode(f)), i + 1, 2))::BIGINT)),
+        lambda crc, b: xor(crc >> 8, remainder[xor(crc, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT f FROM counted), sums),
+held AS (
+    SELECT bucket, coalesce(sum(c) FILTER (is_doc), 0) AS s, coalesce(sum(c) FILTER (NOT is_doc), 0) AS t
+    FROM counted JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+        / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM held),
+weights AS (SELECT id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) WHERE is_doc GROUP BY id),
+scored AS (
+    SELECT id AS doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM worded LEFT JOIN weights USING (id) WHERE is_doc),
+ranks AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER () // 100 AS k FROM scored WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= k THEN r END AS rank FROM scored LEFT JOIN ranks USING (doc_id)
+"""
