@@ -222,7 +222,9 @@ def test_report(spark):
 
 def test_model_comparison(spark):
     rows = [("m1", "a", 0.5), ("m2", "b", 0.7), ("m1", "accuracy", 1.0), ("m1", "dirb", 1.0)]
-    wide = compare_models(spark.createDataFrame(rows, "model string, label string, f1 double"), ["m1", "m2"])
+    reports = spark.createDataFrame(rows, "model string, label string, f1 double")
+    assert [tuple(r) for r in compare_models(reports, ["m1", "m2"]).collect()] == [("a", 0.5, 0.0), ("b", 0.0, 0.7), ("dirb", 1.0, 0.0)]
+    wide = compare_models(reports, ["m1", "m2"], excluded=SUMMARY_KEYS + RARE_LABELS)
     assert [tuple(r) for r in wide.collect()] == [("a", 0.5, 0.0), ("b", 0.0, 0.7)]
     overall = spark.createDataFrame([("m1", 0.5, None, 0.1, 0.2)], "model string, accuracy double, weighted_precision double, weighted_recall double, weighted_f1 double")
     assert tuple(overall_comparison(overall).first()) == ("m1", 0.5, 0.0, 0.1, 0.2)

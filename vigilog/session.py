@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar, Token
 from types import ModuleType
 
 from pyspark import cloudpickle
@@ -40,17 +43,70 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_scopes: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
+
+
+class Scratch:
+    """What is materialized while this is entered. It goes when this is closed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self._entered: list[Token] = []
+
+    def __enter__(self) -> Scratch:
+        self._entered.append(_scopes.set((*_scopes.get(), self)))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scopes.reset(self._entered.pop())
+
+    def is_read_by(self, df: DataFrame) -> bool:
+        return any(os.path.basename(path) in file for file in df.inputFiles() for path in self.paths)
+
+    def close(self) -> None:
+        jvm = self.spark._jvm
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths.clear()
+
+
+def materialize(df: DataFrame, name: str, outlasts: Scratch | None = None) -> DataFrame:
     """Write once to the shared scratch folder and read back.
 
     Cuts the lineage at a point that survives the loss of executors, so that costly steps (model
-    calls, similarity search) run once although several later actions read their rows.
+    calls, similarity search) run once although several later actions read their rows. The files last as long as
+    the scope that is open (``outlasts``: the one around that); without one, they stay.
     """
     path = scratch_path(df.sparkSession, name)
+    scopes = _scopes.get()
+    if outlasts is not None:
+        scopes = scopes[: scopes.index(outlasts)]
+    if scopes:
+        scopes[-1].paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For a function whose first argument is a frame: its result is written, and all other intermediates go."""
+
+    def wrap(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(function)
+        def run(df: DataFrame, *args: object, **options: object) -> DataFrame:
+            scope = Scratch(df.sparkSession)
+            try:
+                with scope:
+                    return materialize(function(df, *args, **options), name, outlasts=scope)
+            finally:
+                scope.close()
+
+        return run
+
+    return wrap
+
+
 def spread(stored: DataFrame, key: str) -> DataFrame:
     """A stored table in fewer splits than there are cores, spread by key before costly work per row.
 
