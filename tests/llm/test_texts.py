@@ -8,7 +8,7 @@ import pytest
 from helpers import DOCS, PROSE, documents, edges, linked, nothing, shingles
 from pyspark.sql import functions as F
 
-from vigilog.llm import crf, langid, neardup
+from vigilog.llm import crf, langid, neardup, setjoin
 from vigilog.llm.common import held_out
 from vigilog.llm.graph import components
 from vigilog.llm.queries import QUERIES
@@ -85,7 +85,7 @@ def copies(seed: int, n: int, changed: int) -> dict[int, str]:
 
 @pytest.mark.parametrize("seed, changed, unit", [(1, 4, 256), (2, 9, 3)])
 def test_components_against_all_pairs(spark, monkeypatch, seed, changed, unit):
-    monkeypatch.setattr(neardup, "UNIT", unit)
+    monkeypatch.setattr(setjoin, "UNIT", unit)
     texts = copies(seed, 400, changed)
     docs = spark.createDataFrame([(k, t.upper() if k % 3 == 0 else t, "en", "s", 0) for k, t in texts.items()], DOCS)
     want = linked(texts)

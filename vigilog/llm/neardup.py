@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-import functools
-import hashlib
-import operator
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType
 
 from vigilog.llm.common import materialize
-from vigilog.llm.graph import components
-from vigilog.llm.strings import FACTOR, gathered, mixed, sequence_hashes, word_hashes
+from vigilog.llm.setjoin import BROADCAST_ROWS, classes_of, linked, named, signatures, verified
+from vigilog.llm.strings import FACTOR, mixed
+from vigilog.session import tidy
 
 SHINGLE = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-#: Two bits of each of so many coordinates sketch a set. At the least similarity 1664 agree on average,
-#: with a deviation of 17.7: five deviations below that a pair is ruled out.
-SKETCH = 2_048
-AGREEING = 1_576
-UNIT = 256
-BROADCAST_ROWS = 500_000
-
-
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of the five-word shingles; of a shorter text, of all its words as one."""
-    return np.unique(sequence_hashes(words, min(SHINGLE, len(words)))) if len(words) else np.zeros(0, np.uint64)
-
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    words, firsts = word_hashes(texts)
-    return [shingle_set(words[firsts[k] : firsts[k + 1]]) for k in range(len(texts))]
+__all__ = ["BROADCAST_ROWS", "near_duplicates"]
 
 
 def coordinates(sets: list[np.ndarray], number: int) -> np.ndarray:
@@ -73,162 +55,41 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1).view(np.int64)))
 
 
-def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    schema = StructType(
-        [
-            docs.schema[key],
-            StructField("n", LongType()),
-            StructField("set", BinaryType()),
-            StructField("bands", ArrayType(LongType())),
-            StructField("sketch", ArrayType(LongType())),
-        ]
-    )
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for begin, end in gathered([len(t or "") for t in texts]):
-                sets = shingle_sets(texts[begin:end])
-                full = [s for s in sets if len(s)]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                buckets, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), SKETCH // 32), np.uint64)
-                if full:
-                    signature = coordinates(full, SKETCH)
-                    buckets[sizes > 0] = bands_of(np.ascontiguousarray(signature[:, : BANDS * ROWS]))
-                    planes = [np.packbits((signature >> b & 1).astype(bool), axis=1).view(np.uint64) for b in (0, 1)]
-                    sketch[sizes > 0] = np.concatenate(planes, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(sizes), pa.array(names, pa.binary()), _lists(buckets), _lists(sketch)],
-                    schema.names,
-                )
-
-    return docs.select(key, text).mapInArrow(signed, schema)
-
-
-def _may_link(a: str, b: str) -> Column:
-    """Whether two classes can be alike, by their sizes, by what each shares with their bucket's first class, and by sketches.
-
-    What they share lies in the first class or outside of it, so it is at most the lesser of both parts each.
-    """
-    planes = SKETCH // 64
-
-    def unlike(k: int) -> Column:
-        return F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])
-
-    differing = sum((F.bit_count(unlike(k).bitwiseOR(unlike(k + planes))) for k in range(planes)), F.lit(0))
-    n, both = F.col(f"{a}.n") + F.col(f"{b}.n"), F.least(f"{a}.common", f"{b}.common")
-    most = both + F.least(F.col(f"{a}.n") - F.col(f"{a}.common"), F.col(f"{b}.n") - F.col(f"{b}.common"))
-    return (100 * most >= PERCENT * (n - most)) & (differing <= SKETCH - AGREEING)
-
-
-def _first_shared(a: str, b: str) -> Column:
-    """Whether two members of a bucket share no earlier band, where they have met before."""
-    earlier = [(F.col("band") > k) & (F.col(f"{a}.bands")[k] == F.col(f"{b}.bands")[k]) for k in range(BANDS - 1)]
-    return ~functools.reduce(operator.or_, earlier)
-
-
-def _alike() -> Column:
-    return 100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The distinct candidate pairs ``a, b`` of classes with the sizes of their full sets and of what they share."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = materialize(wanted.join(classes.select("cid", "set", "doc"), "cid"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    ids = wanted.select(F.col("doc").alias("__doc"), "set", "cid")
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    some = rows.join(F.broadcast(ids) if few else ids, F.col("__key").eqNullSafe(F.col("__doc")))
-    schema = StructType([StructField("cid", LongType()), StructField("shingles", BinaryType())])
-
-    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for begin, end in gathered([len(t or "") for t in texts]):
-                sets = shingle_sets(texts[begin:end])
-                names, cids = batch.column(1).slice(begin, end - begin).to_pylist(), batch.column(0).slice(begin, end - begin).to_pylist()
-                # a key may stand on rows with other texts
-                own = [(c, s.tobytes()) for c, s, name in zip(cids, sets, names) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == name]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], schema.names
-                )
-
-    sets = materialize(some.select("cid", "set", "__text").mapInArrow(rebuilt, schema).dropDuplicates(["cid"]), "sets")
-    beside = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("right")), "b")
-    beside = beside.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("left")), "a")
-
-    schema = StructType([StructField(c, LongType()) for c in ("a", "b", "na", "nb", "common")])
+def _banded(sets: list[np.ndarray]) -> list[pa.Array]:
+    full = np.array([len(s) > 0 for s in sets], bool)
+    buckets = np.zeros((len(sets), BANDS), np.uint64)
+    if full.any():
+        buckets[full] = bands_of(coordinates([s for s in sets if len(s)], BANDS * ROWS))
+    return [_lists(buckets)]
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.zeros((3, batch.num_rows), np.int64)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((left, right))
-                both.sort(kind="stable")
-                found[:, k] = len(left), len(right), (both[1:] == both[:-1]).sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found)], schema.names)
 
-    return materialize(beside.select("a", "b", "left", "right").mapInArrow(compared, schema), "compared")
+def _first_shared(table: pa.Table, bucket: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a pair's first shared band is the one of this bucket, so that it goes on once."""
+    if bucket is None:
+        return np.ones(len(i), bool)
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    first = (bands[i] == bands[j]).argmax(axis=1)
+    return bands[i, first] == bucket
 
 
+@tidy("near-duplicates")
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row.
 
-    Rows with one shingle set form a class, and only classes are compared. Candidates share a band.
-    First each member of a bucket is compared with the bucket's first class, never with all others.
-    Then, in buckets whose other members still lie in different components, members of different
-    components are compared, once for each pair, in units of UNIT by UNIT classes however large the bucket; what they
-    share with the first class, and sketches, rule most out. All candidates are confirmed on full sets. So each pair of
-    classes that shares a band is connected, compared, or ruled out.
+    Rows with one shingle set form a class, and only classes are compared. Candidates share a band. First each member
+    of a bucket is compared with the bucket's first class, never with all others. Then, in buckets whose members still lie
+    in different components, members of different components are compared, once for each pair, in units of
+    classes however large the bucket. Bounds that cannot hide a link (sizes, parities of the sets) rule most pairs out; the others are
+    confirmed on full sets. So each pair of classes that shares a band is connected, compared, or proven apart.
 
     A null, empty or blank text has no shingles and is linked with nothing: its component is its own
     key. Equal rows share a component. A null key is never the least of a component with other keys,
-    and such a row is not kept. An empty table gives no rows. No other columns are read.
+    and such a row is not kept. An empty table gives no rows. Texts of any length are taken whole. No other columns are read
+    or returned, so their names do not matter. Intermediates go when the result is written.
     """
     docs = docs.select(key, text)
-    signed = materialize(_signatures(docs, key, text), "signatures")
-    classes = signed.where("n > 0").groupBy("set").agg(
-        F.min(key).alias("doc"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]
-    )
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    banded = classes.select(F.posexplode("bands").alias("band", "bucket"), "cid")
-    hubs = banded.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(banded.join(hubs.drop("members"), "bucket").where("cid <> hub"), "buckets")
-    first = _verified(shared.select(F.col("hub").alias("a"), F.col("cid").alias("b")), classes, docs, key, text)
-    labels = components(first.where(_alike()))
-    # the other members of each bucket, and which component each is in
-    apart = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    several = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-    several = several.where("x <> y").select("bucket", F.ceil(F.col("size") / UNIT).cast("int").alias("blocks"))
-    apart = apart.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    apart = apart.join(first.select(F.col("a").alias("hub"), F.col("b").alias("cid"), F.col("nb").alias("n"), "common"), ["hub", "cid"])
-    apart = apart.join(classes.select("cid", "sketch", "bands"), "cid")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = apart.select("bucket", "block", "label", F.struct("cid", "n", "common", "sketch", "bands").alias("m"), "band", other.alias("other"))
-    units = units.select(
-        "bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "m"
-    )
-    units = materialize(units, "units")
-    left = units.where("block = i").select("bucket", "band", "i", "j", F.col("label").alias("la"), F.col("m").alias("ma"))
-    right = units.where("block = j").select("bucket", "i", "j", F.col("label").alias("lb"), F.col("m").alias("mb"))
-    second = left.join(right, ["bucket", "i", "j"]).where(
-        (F.col("la") != F.col("lb"))
-        & ((F.col("i") != F.col("j")) | (F.col("ma.cid") < F.col("mb.cid")))
-        & _may_link("ma", "mb")
-        & _first_shared("ma", "mb")
-    )
-    second = second.select(F.least("ma.cid", "mb.cid").alias("a"), F.greatest("ma.cid", "mb.cid").alias("b"))
-    more = _verified(second, classes, docs, key, text).where(_alike())
-    if not more.isEmpty():
-        labels = components(first.where(_alike()).unionByName(more))
-    named = classes.select("set", "doc", F.col("cid").alias("node")).join(labels, "node", "left")
-    named = named.select("set", "doc", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "label").select("set", "component_id")
-    done = signed.select(key, F.col("n").alias("n_shingles"), "set").join(named, "set", "left")
-    done = done.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)))
-    kept = F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))
-    return done.select(key, "n_shingles", "component_id", kept.alias("kept"))
+    signed = materialize(signatures(docs, key, text, SHINGLE, {"bands": ArrayType(LongType())}, _banded), "signatures")
+    classes = classes_of(signed, key, ["bands"])
+    lists = classes.select(F.explode("bands").alias("bucket"), "cid")
+    confirm = lambda pairs: verified(pairs, classes, docs, key, text, SHINGLE, PERCENT)
+    return named(signed, classes, linked(lists, classes, confirm, PERCENT, ["bands"], _first_shared), key)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.llm import (
-    crf, host_rules, langid, lm_scoring, maxscore, neardup, packing, periodic_runs, pii, resampling, sentencepiece_lattice, sharding
+    crf, host_rules, langid, lm_scoring, maxscore, neardup, packing, periodic_runs, pii, prefix_join, resampling,
+    sentencepiece_lattice, sharding,
 )
 from vigilog.llm.common import crc_of_id, held_out, table
 
@@ -82,18 +83,20 @@ def op5_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
-ORACLES["op5_circulant_minhash"] = f"""
+def _alike_sql(size: int, percent: int) -> str:
+    """Components of documents whose sets of shingles of ``size`` words have a Jaccard of ``percent`` or more."""
+    return f"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w
     FROM documents),
 shingles AS (
-    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM worded WHERE len(w) > 0)),
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + {size - 1}], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM worded WHERE len(w) > 0)),
 sizes AS (SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id),
 shared AS (
     SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
-    SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+    SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reached AS (
     SELECT doc_id AS x, doc_id AS y FROM documents
@@ -103,6 +106,9 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+ORACLES["op5_circulant_minhash"] = _alike_sql(5, 75)
+
+
 @query
 def op6_sentencepiece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -263,3 +269,11 @@ ranks AS (
     SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER () // 100 AS k FROM scored WHERE n >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= k THEN r END AS rank FROM scored LEFT JOIN ranks USING (doc_id)
 """
+
+
+@query
+def op13_adaptive_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_join.jaccard_join(table(spark, folder, "documents"))
+
+
+ORACLES["op13_adaptive_prefixes"] = _alike_sql(3, 90)
