@@ -102,7 +102,7 @@ def test_bounds_hide_no_link(percent):
             continue
         common = len(np.intersect1d(a, b))
         link = 100 * common >= percent * (len(a) + len(b) - common)
-        allowed = setjoin.may_link((np.array([len(a)]), np.array([len(b)])), ([setjoin.parities(a)], [setjoin.parities(b)]), percent)[0][0]
+        allowed = setjoin.may_link((np.array([len(a)]), np.array([len(b)])), ([setjoin.parities(a, 2)], [setjoin.parities(b, 4)]), percent)[0][0]
         assert allowed or not link
         links += link
         if percent == 90:
@@ -114,7 +114,7 @@ def test_bounds_hide_no_link(percent):
                 "tokens": pa.array([p.view(np.int64) for p, _ in prefixes], pa.list_(pa.int64())),
                 "matches": [m for _, m in prefixes], "n": [len(a), len(b)],
             })
-            assert not link or _meets(table, None, np.array([0]), np.array([1]))[0]
+            assert not link or _meets(table, np.array([0]), np.array([1]))[0]
     assert links > 50
 
 
@@ -131,7 +131,7 @@ def verified_pairs(monkeypatch):
     plain_verified = setjoin.verified
 
     def counting(pairs, *rest):
-        counts.append(pairs.count())
+        counts.append(pairs.select("a", "b").distinct().count())
         return plain_verified(pairs, *rest)
 
     for module in (neardup, prefix_join):
@@ -172,3 +172,15 @@ def test_intermediates_go(spark):
     done = jaccard_join(spark.createDataFrame(corpus(0), "doc_id long, text string"))
     left = set(os.listdir(folder)) - before
     assert len(left) == 1 and done.count() == len(corpus(0))
+
+
+def test_only_the_result_of_the_pipeline_is_left(spark):
+    import os
+
+    import corpus_pipeline
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    done = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("packing") and done.count() > 0

@@ -17,6 +17,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
+#: Parity bits for each shingle of a set, at least.
+PARITIES = 4
 
 __all__ = ["BROADCAST_ROWS", "near_duplicates"]
 
@@ -63,22 +65,13 @@ def _banded(sets: list[np.ndarray]) -> list[pa.Array]:
     return [_lists(buckets)]
 
 
-def _first_shared(table: pa.Table, bucket: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether a pair's first shared band is the one of this bucket, so that it goes on once."""
-    if bucket is None:
-        return np.ones(len(i), bool)
-    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    first = (bands[i] == bands[j]).argmax(axis=1)
-    return bands[i, first] == bucket
-
-
 @tidy("near-duplicates")
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row.
 
     Rows with one shingle set form a class, and only classes are compared. Candidates share a band. First each member
     of a bucket is compared with the bucket's first class, never with all others. Then, in buckets whose members still lie
-    in different components, members of different components are compared, once for each pair, in units of
+    in different components, members of different components are compared, the nearest first, at last all, in units of
     classes however large the bucket. Bounds that cannot hide a link (sizes, parities of the sets) rule most pairs out; the others are
     confirmed on full sets. So each pair of classes that shares a band is connected, compared, or proven apart.
 
@@ -88,8 +81,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     or returned, so their names do not matter. Intermediates go when the result is written.
     """
     docs = docs.select(key, text)
-    signed = materialize(signatures(docs, key, text, SHINGLE, {"bands": ArrayType(LongType())}, _banded), "signatures")
+    signed = materialize(signatures(docs, key, text, SHINGLE, PARITIES, {"bands": ArrayType(LongType())}, _banded), "signatures")
     classes = classes_of(signed, key, ["bands"])
     lists = classes.select(F.explode("bands").alias("bucket"), "cid")
     confirm = lambda pairs: verified(pairs, classes, docs, key, text, SHINGLE, PERCENT)
-    return named(signed, classes, linked(lists, classes, confirm, PERCENT, ["bands"], _first_shared), key)
+    return named(signed, classes, linked(lists, classes, confirm, PERCENT, [], None), key)

@@ -17,6 +17,8 @@ from vigilog.session import tidy
 
 SHINGLE = 3
 PERCENT = 90
+#: Parity bits for each shingle of a set, at least.
+PARITIES = 2
 #: Counters of token frequencies. They only order tokens and estimate costs, so their collisions cost time, never links.
 SLOTS = 1 << 20
 BLOCK = 1 << 12
@@ -78,8 +80,8 @@ def prefix_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     return tokens[: shortest + best - 1], best
 
 
-def _meets(table: pa.Table, bucket: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the prefixes of a pair share as many tokens as the shorter extension of both asks for, the first one in this list."""
+def _meets(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the prefixes of a pair share as many tokens as the lesser extension of both asks for."""
     listed = table["tokens"].combine_chunks()
     ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy()
     n, matches = table["n"].to_numpy(), table["matches"].to_numpy()
@@ -89,7 +91,7 @@ def _meets(table: pa.Table, bucket: np.ndarray | None, i: np.ndarray, j: np.ndar
         common = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
         left = flat[ends[x] : ends[x] + n[x] - common + asked]
         shared = np.isin(left, flat[ends[y] : ends[y] + n[y] - common + asked])
-        kept[k] = shared.sum() >= asked and (bucket is None or left[shared.argmax()] == bucket[k])
+        kept[k] = shared.sum() >= asked
     return kept
 
 
@@ -118,7 +120,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array([best for _, best in found], pa.int64())]
 
     payload = {"tokens": ArrayType(LongType()), "matches": LongType()}
-    signed = materialize(signatures(docs, key, text, SHINGLE, payload, prefixes), "signatures")
+    signed = materialize(signatures(docs, key, text, SHINGLE, PARITIES, payload, prefixes), "signatures")
     classes = classes_of(signed, key, list(payload))
     shortest = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1
     lists = classes.select(F.explode(F.slice("tokens", F.lit(1), shortest.cast("int"))).alias("bucket"), "cid")

@@ -29,11 +29,9 @@ WORDS_AT_ONCE = 1 << 21
 BROADCAST_ROWS = 500_000
 #: How many others of different components a class is compared with in each round; after these, with all.
 ROUNDS = (1, 4, 32)
-#: Parity bits for each element of a set, at least.
-PARITIES = 4
 
 Payload = Callable[[list[np.ndarray]], list[pa.Array]]
-Meets = Callable[[pa.Table, np.ndarray | None, np.ndarray, np.ndarray], np.ndarray]
+Meets = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -50,15 +48,15 @@ def digest(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
-def parities(found: np.ndarray) -> bytes | None:
-    """For each of a power of two of places, whether an odd number of the set's hashes falls there.
+def parities(found: np.ndarray, each: int) -> bytes | None:
+    """For each of a power of two of places (``each`` for an element at least), whether an odd number of the set's hashes falls there.
 
     Two sets differ in at least as many elements as their parities differ in places, so parities never hide a link.
     """
     if not len(found):
         return None
     places = 64
-    while places < PARITIES * len(found):
+    while places < each * len(found):
         places *= 2
     odd = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
@@ -96,7 +94,9 @@ def may_link(
     return possible, distance
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int, payload: dict[str, DataType], made: Payload) -> DataFrame:
+def signatures(
+    docs: DataFrame, key: str, text: str, size: int, each: int, payload: dict[str, DataType], made: Payload
+) -> DataFrame:
     """For each row its key, a hash of its text, its set's size ``n``, digest ``set`` and parities ``bits``, and the payload."""
     own = [StructField("n", LongType()), StructField("set", BinaryType()), StructField("bits", BinaryType())]
     schema = StructType([docs.schema[key], StructField("text_hash", LongType()), *own, *(StructField(c, t) for c, t in payload.items())])
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, payload: dict[st
                 own = [
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) for s in sets], pa.binary()),
-                    pa.array([parities(s) for s in sets], pa.binary()),
+                    pa.array([parities(s, each) for s in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, *made(sets)], schema.names)
 
@@ -169,52 +169,52 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     return materialize(beside.select("a", "b", "left", "right").mapInArrow(compared, "a long, b long"), "links")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int, carried: list[str], meets: Meets) -> DataFrame:
-    """The distinct pairs that sizes, parities and ``meets`` allow."""
-    kept = ["n", "bits", *carried]
+def _met(pairs: DataFrame, classes: DataFrame, percent: int, carried: list[str], meets: Meets | None, bits: bool) -> DataFrame:
+    """The distinct pairs that sizes, parities (if ``bits``) and ``meets`` allow."""
+    kept = ["n", *["bits"] * bits, *carried]
     sides = [classes.select(F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in kept]) for s in "ab"]
     close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    rows = pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(close)
+    rows = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b").where(close)
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table, m = pa.Table.from_batches([batch]), batch.num_rows
             both = pa.table({c: pa.chunked_array([table[f"{c}_a"].combine_chunks(), table[f"{c}_b"].combine_chunks()]) for c in kept})
-            n, bits = both["n"].to_numpy(), both["bits"].to_pylist()
-            keep = np.flatnonzero(may_link((n[:m], n[m:]), (bits[:m], bits[m:]), percent)[0])
-            keep = keep[meets(both, None, keep, m + keep)]
+            keep = np.arange(m)
+            if bits:
+                n, held = both["n"].to_numpy(), both["bits"].to_pylist()
+                keep = np.flatnonzero(may_link((n[:m], n[m:]), (held[:m], held[m:]), percent)[0])
+            if meets is not None:
+                keep = keep[meets(both, keep, m + keep)]
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], ["a", "b"])
 
     return rows.select("a", "b", *[f"{c}_{s}" for c in kept for s in "ab"]).mapInArrow(allowed, "a long, b long")
 
 
-def _across(units: DataFrame, carried: list[str], percent: int, meets: Meets, most: int | None) -> DataFrame:
-    """Pairs of members of a unit in different components, that sizes and parities allow and that ``meets`` says belong here.
+def _across(units: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs of members of a unit in different components that sizes and parities allow.
 
-    Each member meets the ``most`` nearest of these in a unit; ``cut`` says that it has more.
+    Each member meets the ``most`` nearest of these in a unit.
     """
-    most = UNIT if most is None else most
+    most = 1 << 62 if most is None else most
 
     def compare(_key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         unit = table["unit"].combine_chunks().dictionary_encode().indices.to_numpy()
         left, right, cid, label, n = (table[c].to_numpy() for c in ("left", "right", "cid", "label", "n"))
-        bits, buckets = table["bits"].to_pylist(), table["bucket"].to_numpy()
-        found = [np.zeros((0, 4), np.int64)]
+        bits = table["bits"].to_pylist()
+        found = [np.zeros((0, 3), np.int64)]
 
         def settle(pairs: list[np.ndarray]) -> None:
             i, j = np.concatenate(pairs, axis=1)
             keep, distance = may_link((n[i], n[j]), ([bits[k] for k in i], [bits[k] for k in j]), percent)
             i, j, distance = i[keep], j[keep], distance[keep]
-            keep = meets(table, buckets[i], i, j)
-            i, j, distance = i[keep], j[keep], distance[keep]
             order = np.lexsort((distance, i))
             i, j = i[order], j[order]
             starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
             counts = np.diff(np.append(starts, len(i)))
             near = np.arange(len(i)) - np.repeat(starts, counts) < most
-            cut = np.repeat(counts > most, counts)
-            found.append(np.stack((cid[i], cid[j], distance[order], cut), axis=1)[near])
+            found.append(np.stack((cid[i], cid[j], distance[order]), axis=1)[near])
 
         order = np.argsort(unit, kind="stable")
         held, pending = [], 0
@@ -234,10 +234,9 @@ def _across(units: DataFrame, carried: list[str], percent: int, meets: Meets, mo
         if held:
             settle(held)
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table([*pairs.T[:3], pairs[:, 3] > 0], names=["a", "b", "distance", "cut"])
+        return pa.table(list(pairs.T), names=["a", "b", "distance"])
 
-    columns = ["unit", "left", "right", "bucket", "cid", "label", "n", "bits", *carried]
-    return units.groupBy("bundle").applyInArrow(lambda key, table: compare(key, table.select(columns)), "a long, b long, distance long, cut boolean")
+    return units.groupBy("bundle").applyInArrow(lambda key, table: compare(key, table), "a long, b long, distance long")
 
 
 def linked(
@@ -246,54 +245,58 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     percent: int,
     carried: list[str],
-    meets: Meets,
+    meets: Meets | None,
 ) -> DataFrame:
     """``node, label`` of all classes that link, from their lists (``bucket, cid``).
 
-    ``meets`` says, for rows i and j of a table of classes with the carried columns, which pairs go on to be verified; given
-    the lists' buckets, only those that belong to this one of the lists they share.
+    ``meets`` says, for rows i and j of a table of classes with the carried columns, which pairs go on to be verified.
     """
     hubs = lists.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(lists.join(hubs, "bucket"), "lists")
     star = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
-    links = verify(_possible(star, classes, percent, carried, meets))
+    links = verify(_met(star, classes, percent, carried, meets, True))
     labels = components(links)
+    quiet = False
     for most in (*ROUNDS, None):
+        if quiet and most is not None:
+            continue
         # members of lists of two have met
-        pairs = materialize(_across(_units(shared.where("members > 2"), labels, classes, carried), carried, percent, meets, most), "across")
-        cut = not pairs.where("cut").isEmpty()
+        units = _units(shared.where("members > 2"), labels, classes, most)
+        pairs = materialize(_across(units, percent, most), "across")
+        quiet = pairs.isEmpty()
+        if quiet:
+            continue
         if most is not None:
             near = Window.partitionBy("a").orderBy("distance", "b")
             pairs = materialize(pairs.groupBy("a", "b").agg(F.min("distance").alias("distance")).withColumn("place", F.row_number().over(near)), "near")
-            cut = cut or not pairs.where(F.col("place") > most).isEmpty()
             pairs = pairs.where(F.col("place") <= most)
-        if pairs.isEmpty():
-            break
-        more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = verify(pairs if meets is None else _met(pairs, classes, percent, carried, meets, False))
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-        if not cut:
-            break
     return labels
 
 
-def _units(lists: DataFrame, labels: DataFrame, classes: DataFrame, carried: list[str]) -> DataFrame:
-    """The members of lists that hold several components, in each unit that their block is in."""
+def _units(lists: DataFrame, labels: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
+    """The members of lists that hold several components, in each unit that their block is in.
+
+    While only the nearest are asked for, a block meets itself, and is dealt anew in each round.
+    """
     apart = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     apart = materialize(apart.select("bucket", "cid", F.coalesce("label", "cid").alias("label")), "apart")
     several = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
     several = several.where("x <> y").select("bucket", F.ceil(F.col("size") / UNIT).cast("int").alias("blocks"))
-    apart = apart.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    rows = apart.agg(F.sum("blocks").alias("n")).first()["n"] or 0
+    apart = apart.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(most or 0)), "blocks").cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1) if most is None else F.array("block")
+    rows = apart.agg(F.sum(F.size(others)).alias("n")).first()["n"] or 0
     bundles = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUNDLE_ROWS))
-    apart = apart.join(classes.select("cid", "n", "bits", *carried), "cid")
-    placed = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = apart.join(classes.select("cid", "n", "bits"), "cid").withColumn("other", F.explode(others))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     unit = F.xxhash64("bucket", low, high)
     return placed.select(
         F.pmod(unit, F.lit(bundles)).alias("bundle"), unit.alias("unit"), (F.col("block") == low).alias("left"),
-        (F.col("block") == high).alias("right"), "bucket", "cid", "label", "n", "bits", *carried,
+        (F.col("block") == high).alias("right"), "cid", "label", "n", "bits",
     )
 
 
