@@ -1,15 +1,21 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigilog.functions.labels import RARE_LABELS, SUMMARY_KEYS
 from vigilog.functions.vectors import embed_hash, embed_with, sign_code, token_bucket, unit
 from vigilog.operators import knn
 from vigilog.operators import vote as V
 from vigilog.operators.metrics import class_report, compare_models, confusion, confusion_matrix, overall_comparison, overall_report
-from vigilog.operators.retrieve import resolve_sources, retrieve, retrieve_context
+from vigilog.operators.retrieve import resolve_sources, retrieve, retrieve_context, retrieve_stored
 from vigilog.operators.sinks import share_entries
 from vigilog.plans.evaluation import embed_queries, evaluate_knn
-from vigilog.sources.vector_index import append_documents, create_index, load_index, load_pivots, rebuild_index
+from vigilog.operators.joins import as_lookup
+from vigilog.sources.vector_index import (
+    append_documents, create_index, load_documents_of, load_index, load_pivots, load_terms, rebuild_index
+)
 from vigilog.streaming.classify import ARRIVAL_SCHEMA, classify_batch, classify_stream
 
 RNG = np.random.default_rng(7)
@@ -297,3 +303,64 @@ def test_stream_replay_leaves_one_copy(spark, tmp_path):
     assert load_index(spark, f"{tmp_path}/ix").count() == 21
     alerts = spark.read.parquet(f"{tmp_path}/alerts")
     assert [(r.qid, r.predicted) for r in alerts.collect()] == [(500, "service_scan")]
+
+
+def stored_sources(spark, path, sources=12, each=40):
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(sources):
+        centre = rng.normal(size=8)
+        for k in range(each):
+            source = None if s == 11 and k % 2 else f"Host-{s}.net_{s}"
+            rows.append((s * each + k, f"m{s}", source, f"l{s}", [float(x) for x in centre + 0.1 * rng.normal(size=8)]))
+    schema = "doc_id long, log string, source string, label string, embedding array<float>"
+    docs = spark.createDataFrame(rows, schema)
+    append_documents(docs.where("doc_id % 2 = 0"), path, "even", pivots=12)
+    append_documents(docs.where("doc_id % 2 = 1"), path, "odd", pivots=12)
+    return rows
+
+
+def test_a_filtered_search_reads_the_cells_of_its_terms_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = stored_sources(spark, path)
+    listed = load_terms(spark, path)
+    terms = spark.createDataFrame([("net_3",)], "term string")
+    docs = load_documents_of(spark, path, listed, as_lookup(terms))
+    wanted = {(r["batch"], r["cell"]) for r in listed.where("term = 'net_3'").collect()}
+    text = docs._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", text) and re.search(r"PushedFilters: \[[^\]]*source", text)
+    files = [r[0] for r in docs.select(F.input_file_name()).distinct().collect()]
+    read = {(re.search("batch=([a-z]+)", f)[1], int(re.search("cell=([0-9]+)", f)[1])) for f in files}
+    assert read == wanted and len(wanted) < load_index(spark, path).select("batch", "cell").distinct().count() / 3
+    assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == [r[0] for r in rows if r[2] == "Host-3.net_3"]
+
+
+@pytest.mark.parametrize("limits", [(100, 1000), (0, 0)])
+@pytest.mark.parametrize("relax", [True, False])
+def test_stored_and_plain_retrieval_agree(spark, tmp_path, monkeypatch, relax, limits):
+    from vigilog.sources import vector_index
+
+    monkeypatch.setattr(vector_index, "NAMED_BATCHES", limits[0])
+    monkeypatch.setattr(vector_index, "NAMED_SOURCES", limits[1])
+    path = str(tmp_path / "index")
+    rows = stored_sources(spark, path)
+    asked = [(1, "net_3"), (2, "x-net_4"), (3, "nowhere"), (4, "host")] + ([(5, None)] if limits[0] else [])
+    queries = spark.createDataFrame([(q, s, rows[q * 37][4]) for q, s in asked], "qid long, source string, embedding array<float>")
+    plain_hits = retrieve(queries, load_index(spark, path), load_pivots(spark, path), 5, relax=relax)
+    hits = retrieve_stored(queries, path, 5, relax=relax)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, plain_hits.collect())) != []
+    even = retrieve(queries, load_index(spark, path).where("batch <> 'odd'"), load_pivots(spark, path), 5, relax=relax)
+    assert sorted(map(tuple, retrieve_stored(queries, path, 5, relax=relax, without="odd").collect())) == sorted(map(tuple, even.collect()))
+
+
+def test_an_index_without_a_list_gets_one(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "index")
+    rows = stored_sources(spark, path, sources=3)
+    before = sorted(map(tuple, load_terms(spark, path).select("term", "source", "batch", "cell", "documents").collect()))
+    shutil.rmtree(f"{path}/terms")
+    assert sorted(map(tuple, load_terms(spark, path).select("term", "source", "batch", "cell", "documents").collect())) == before
+    more = spark.createDataFrame([(999, "m", "late", "l", rows[0][4])], "doc_id long, log string, source string, label string, embedding array<float>")
+    append_documents(more, path, "third")
+    assert load_terms(spark, path).where("batch <> 'third'").count() == len(before) and load_terms(spark, path).count() == len(before) + 1

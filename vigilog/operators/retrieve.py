@@ -12,6 +12,7 @@ from vigilog.functions.text import relaxation_chain, source_tokens
 from vigilog.operators.joins import as_lookup, lookup_join, salted_join
 from vigilog.operators.knn import ANY_SCOPE, Pivots, search
 from vigilog.session import materialize
+from vigilog.sources.vector_index import load_documents_of, load_index, load_pivots, load_terms
 
 _NULL_SOURCE = "\u0000"
 #: Before every scope that is a term, so that no source can be taken for ANY_SCOPE.
@@ -36,24 +37,32 @@ def _scope(term: Column) -> Column:
     return F.coalesce(F.concat(F.lit(_TERM), term), F.lit(ANY_SCOPE))
 
 
-def with_scopes(queries: DataFrame, index: DataFrame, relax: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Give both sides a ``scope``: queries their resolved source term, documents one row per wanted token.
+def scopes_of(queries: DataFrame, sources: DataFrame, relax: bool = True) -> DataFrame:
+    """``source, scope`` of every distinct query source.
 
     Without ``relax`` a query keeps its own source as the term and may find nothing; a query
     without a source searches everything in both cases.
     """
     if relax:
-        resolved = resolve_sources(queries, index)
-    else:
-        resolved = queries.select("source").distinct()
-        resolved = resolved.withColumn("scope", _scope(F.col("source")))
+        return resolve_sources(queries, sources)
+    return queries.select("source").distinct().withColumn("scope", _scope(F.col("source")))
+
+
+def with_scopes(
+    queries: DataFrame, index: DataFrame, relax: bool = True, sources: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Give both sides a ``scope``: queries their resolved source term, documents one row per wanted token.
+
+    ``sources`` are the index's distinct sources, where a list of them is at hand; else they are read from the index.
+    """
+    sources = index.select("source").distinct() if sources is None else sources
+    resolved = scopes_of(queries, sources, relax)
     keyed = as_lookup(resolved.select(F.coalesce("source", F.lit(_NULL_SOURCE)).alias("__source"), "scope"))
     asked = lookup_join(
         queries.withColumn("__source", F.coalesce("source", F.lit(_NULL_SOURCE))), keyed, ["__source"], ["qid"]
     ).drop("__source")
     wanted = keyed.with_table(keyed.table.select("scope").distinct())
     # which scopes a source's documents are wanted in is settled per source, before their vectors are read
-    sources = index.select("source").distinct()
     terms = F.transform(F.coalesce(source_tokens("source"), F.array().cast("array<string>")), lambda t: F.concat(F.lit(_TERM), t))
     by_source = sources.withColumn("scope", F.explode(F.array_append(F.array_distinct(terms), F.lit(ANY_SCOPE))))
     by_source = lookup_join(by_source, wanted, ["scope"], ["source"])
@@ -78,7 +87,41 @@ def retrieve(
 
     ``k`` neighbours are searched and ``size`` of them (all unless given) are returned.
     """
-    asked, found = with_scopes(queries, index, relax)
+    return _found(*with_scopes(queries, index, relax), pivots, k, size, probe, carry)
+
+
+def retrieve_stored(
+    queries: DataFrame,
+    path: str,
+    k: int = 3,
+    size: int | None = None,
+    probe: int | None = None,
+    relax: bool = True,
+    carry: Sequence[str] = ("label",),
+    without: str | None = None,
+) -> DataFrame:
+    """``retrieve`` from a stored index, of which only what the queries' terms name is read.
+
+    The index's inverted list resolves the queries' sources and names the batches, cells and sources of the resolved terms. A
+    query that resolves to no filter has the whole index read. ``without`` leaves out a batch.
+    """
+    spark = queries.sparkSession
+    listed, pivots = load_terms(spark, path, without), load_pivots(spark, path)
+    sources = materialize(listed.select("source").distinct(), "sources")
+    wanted = materialize(scopes_of(queries, sources, relax).select("scope").distinct(), "scopes")
+    if wanted.where(F.col("scope") == ANY_SCOPE).isEmpty():
+        terms = wanted.select(F.substr("scope", F.lit(len(_TERM) + 1)).alias("term"))
+        index = load_documents_of(spark, path, listed, as_lookup(terms))
+    else:
+        index = load_index(spark, path)
+    if without is not None:
+        index = index.where(F.col("batch") != without)
+    return _found(*with_scopes(queries, index, relax, sources), pivots, k, size, probe, carry)
+
+
+def _found(
+    asked: DataFrame, found: DataFrame, pivots: Pivots, k: int, size: int | None, probe: int | None, carry: Sequence[str]
+) -> DataFrame:
     hits = search(asked, found, pivots, k, probe, carry)
     if "label" in carry:
         hits = hits.withColumn("label", F.coalesce("label", F.lit(MISSING_LABEL)))

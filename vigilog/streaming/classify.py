@@ -10,10 +10,10 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from vigilog.functions.labels import is_alert
 from vigilog.functions.vectors import embed_hash
-from vigilog.operators.retrieve import retrieve
+from vigilog.operators.retrieve import retrieve_stored
 from vigilog.operators.vote import predict
 from vigilog.session import materialize
-from vigilog.sources.vector_index import append_documents, document, load_index, load_pivots
+from vigilog.sources.vector_index import append_documents, document
 
 ARRIVAL_SCHEMA = "log_id bigint, log_message string, source string"
 
@@ -30,15 +30,11 @@ def classify_batch(
 
     The rows keep their vectors, so that they can be indexed without embedding them again.
     """
-    spark = rows.sparkSession
-    index = load_index(spark, index_path)
-    if before is not None:
-        index = index.where(F.col("batch") != before)
     queries = materialize(
         rows.select(F.col("log_id").alias("qid"), "log_message", "source").withColumn("embedding", embedder("log_message")),
         "arrivals",
     )
-    hits = retrieve(queries, index, load_pivots(spark, index_path), k, probe=probe)
+    hits = retrieve_stored(queries, index_path, k, probe=probe, without=before)
     return predict(queries, hits)
 
 

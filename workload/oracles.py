@@ -311,6 +311,15 @@ near AS (SELECT * FROM bits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY
     + doc_hits("CASE WHEN lang = 'de' THEN upper(source) ELSE source END", "'Inet-' || source", relax=False)
     + " "
     + HITS_OUT,
+    "knn_stored_filter": "WITH "
+    + doc_hits("CASE WHEN lang = 'de' THEN upper(source) ELSE source END", "'Inet-' || source", relax=False)
+    + " "
+    + HITS_OUT,
+    "index_terms": f"""WITH {DOCS}, {SPLIT}, {ENTRIES},
+idx AS (SELECT doc_id, label, 'Inet-' || source AS source FROM docs_split WHERE split = 'train' AND doc_id IN (SELECT doc_id FROM embedded))
+SELECT term, source, batch, count(*) AS documents
+FROM (SELECT unnest({TERM_LIST}) AS term, source, CASE WHEN label = 'normal_log' THEN 'normal' ELSE 'attacks' END AS batch FROM idx)
+GROUP BY ALL""",
     "knn_source_relax": "WITH "
     + doc_hits(
         "CASE WHEN lang = 'en' THEN 'web-' || source WHEN lang = 'fr' THEN 'a_' || source WHEN lang = 'de' THEN upper(source) END",

@@ -16,7 +16,7 @@ from vigilog.functions.vectors import embed_hash, tokens
 from vigilog.operators import counts, metrics, sampling, sinks
 from vigilog.operators import vote as V
 from vigilog.operators.knn import probe_for, search, search_quantized
-from vigilog.operators.retrieve import retrieve, retrieve_context
+from vigilog.operators.retrieve import retrieve, retrieve_context, retrieve_stored
 from vigilog.plans import evaluation
 from vigilog.plans.ingestion import ingest
 from vigilog.session import materialize, scratch_path
@@ -380,6 +380,32 @@ def knn_source_filter(spark: SparkSession, folder: str) -> DataFrame:
     return hits_out(retrieve(queries, index, pivots, K, relax=False))
 
 
+def stored(spark: SparkSession, index: DataFrame) -> str:
+    """An index in two batches, one of them of normal lines."""
+    path = scratch_path(spark, "index")
+    docs = index.select("doc_id", F.lit(None).cast("string").alias("log"), "source", "label", "embedding")
+    normal = F.coalesce(L.is_normal("label"), F.lit(False))
+    vector_index.append_documents(docs.where(normal), path, "normal", pivots=PIVOTS)
+    vector_index.append_documents(docs.where(~normal), path, "attacks", pivots=PIVOTS)
+    return path
+
+
+@query
+def knn_stored_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a stored index, of which the inverted list of source tokens names the parts to read."""
+    asked = F.when(F.col("lang") == "de", F.upper("source")).otherwise(F.col("source"))
+    queries, index, _ = document_sides(spark, folder, asked, F.concat(F.lit("Inet-"), F.col("source")))
+    return hits_out(retrieve_stored(queries, stored(spark, index), K, relax=False))
+
+
+@query
+def index_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The inverted list of a stored index: documents of each source token in each batch."""
+    index = document_sides(spark, folder, index_source=F.concat(F.lit("Inet-"), F.col("source")))[1]
+    terms = vector_index.load_terms(spark, stored(spark, index))
+    return terms.groupBy("term", "source", "batch").agg(F.sum("documents").alias("documents"))
+
+
 def relaxed_sides(spark: SparkSession, folder: str):
     asked = (
         F.when(F.col("lang") == "en", F.concat(F.lit("web-"), F.col("source")))
