@@ -23,7 +23,7 @@ a search reads only as many copies as it can return.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +44,7 @@ SCORES_AT_ONCE = 4_000_000
 CANDIDATES_AT_ONCE = 20_000
 MAX_PIVOTS = 8_192
 COPIES_RANKED = 64
+NO_DOCUMENT = -1
 ANY_SCOPE = "*"
 
 
@@ -320,15 +321,34 @@ def _meetings(mine: np.ndarray, theirs: np.ndarray, visited: pa.ListArray, cells
         yield asking[cell], answering[cell]
 
 
-def _compare(k: int, codes: bool):
-    """Compare the queries and documents of one bundle, unit by unit, keeping k rows per query and unit."""
-    best = _best_codes if codes else _best_vectors
+def _signs(column: pa.ChunkedArray) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
+
+
+def _floats(column: pa.ChunkedArray) -> np.ndarray:
+    return to_matrix(column, np.float32)
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """What rows are compared by: a column of both sides, how a task reads it, and which pairs it keeps."""
+
+    payload: str
+    of_queries: Callable[[pa.ChunkedArray], np.ndarray]
+    of_documents: Callable[[pa.ChunkedArray], np.ndarray]
+    best: Callable[[np.ndarray, np.ndarray, int], Found]
+    score: Callable[[np.ndarray, int], np.ndarray]  # from rank values and the width of a document's row
+    ascending: bool = False
+    ranked: bool = True  # only the k best of a query count; else every pair that ``best`` keeps
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        if not codes:
-            return to_matrix(table["vector"], np.float32)
-        packed = np.frombuffer(b"".join(table["vector"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
+
+VECTORS = Comparison("embedding", _floats, _floats, _best_vectors, lambda values, _width: values / 1e6)
+CODES = Comparison("code", _signs, _signs, _best_codes, lambda values, width: (width - values).astype(np.float64), True)
+
+
+def _compare(k: int, by: Comparison):
+    """Compare the queries and documents of one bundle, unit by unit, keeping k rows per query and unit."""
 
     def rows_by_unit(table: pa.Table) -> dict[str, np.ndarray]:
         coded = table["unit"].combine_chunks().dictionary_encode()
@@ -340,12 +360,12 @@ def _compare(k: int, codes: bool):
         carried = [c for c in docs.column_names if c not in ("bundle", "unit", "cell", "vector")]
         nothing = np.empty(0, np.int64)
         found: list[Found] = [(nothing, nothing, nothing)]
-        bits = 0
+        width = 0
         if queries.num_rows and docs.num_rows:
             docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))  # position orders like the id
             asking, answering = rows_by_unit(queries), rows_by_unit(docs)
-            left, right = matrix(queries), matrix(docs)
-            bits = right.shape[1]
+            left, right = by.of_queries(queries["vector"]), by.of_documents(docs["vector"])
+            width = right.shape[1]
             visited, cells = queries["cells"].combine_chunks(), docs["cell"].to_numpy()
             for unit in asking.keys() & answering.keys():
                 looked_at = visited.take(pa.array(asking[unit]))
@@ -353,12 +373,14 @@ def _compare(k: int, codes: bool):
                     step = max(1, SCORES_AT_ONCE // len(theirs))
                     for start in range(0, len(mine), step):
                         part = mine[start : start + step]
-                        rows, columns, values = best(left[part], right[theirs], k)
-                        found.append((part[rows], theirs[columns], values))
-        rows, columns, values = _first_per_row(tuple(np.concatenate(part) for part in zip(*found)), k)
-        score = (bits - values).astype(np.float64) if codes else values / 1e6
-        hits = docs.select(carried).take(pa.array(columns))
-        return pa.table([queries["qid"].take(pa.array(rows)), *hits.columns, pa.array(score)], names=["qid", *carried, "score"])
+                        rows, columns, values = by.best(left[part], right[theirs], k)
+                        found.append((part[rows], np.where(columns < 0, NO_DOCUMENT, theirs[columns]), values))
+        rows, columns, values = (np.concatenate(part) for part in zip(*found))
+        if by.ranked:
+            rows, columns, values = _first_per_row((rows, columns, values), k)
+        hits = docs.select(carried).take(pa.array(columns, mask=columns < 0))
+        scores = pa.array(by.score(values, width))
+        return pa.table([queries["qid"].take(pa.array(rows)), *hits.columns, scores], names=["qid", *carried, "score"])
 
     return compare
 
@@ -370,22 +392,22 @@ def search(
     k: int,
     probe: int | None = None,
     carry: Sequence[str] = ("label",),
-    codes: bool = False,
+    by: Comparison = VECTORS,
 ) -> DataFrame:
     """The k nearest documents of every query: ``qid, doc_id, <carry>, score, rank``.
 
     ``queries`` has ``qid, embedding`` and ``index`` has ``doc_id, embedding, cell, cell_distance``
-    and the carried columns; both may have ``scope``, and the index a ``copy_rank``. With ``codes`` both
+    and the carried columns; both may have ``scope``, and the index a ``copy_rank``. Compared ``by`` CODES both
     have a ``code`` too, which is compared instead of the vector; the score is the number of bits that
     differ.
     """
-    payload = "code" if codes else "embedding"
+    payload = by.payload
     scope = ["scope"] if "scope" in queries.columns else []
     types = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *index.schema.fields)}
     schema = ", ".join([f"qid {types['qid']}", f"doc_id {types['doc_id']}"])
     schema += "".join(f", `{c}` {types[c]}" for c in carry) + ", score double"
     if not pivots.count:  # nothing was ever indexed
-        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int" if by.ranked else schema)
     asked = queries.where(F.col("embedding").isNotNull())
     if "copy_rank" in index.columns and k <= COPIES_RANKED:
         index = index.where(F.col("copy_rank") <= k)
@@ -437,8 +459,8 @@ def search(
         side.select(F.pmod(F.xxhash64("unit"), F.lit(bundles)).alias("bundle"), *[F.col(c).alias(c) for c in side.columns])
         for side in (left, right)
     )
-    hits = left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(_compare(k, codes), schema)
-    return rank_hits(hits, k, F.col("score").asc() if codes else F.col("score").desc())
+    hits = left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(_compare(k, by), schema)
+    return rank_hits(hits, k, F.col("score").asc() if by.ascending else F.col("score").desc()) if by.ranked else hits
 
 
 def probe_for(
@@ -486,8 +508,13 @@ def search_quantized(
 ) -> DataFrame:
     """Nearest cells, then sign bits to find k * oversample candidates, then full vectors to rank them."""
     candidates = materialize(
-        search(queries, index, pivots, k * oversample, probe, (), codes=True).select("qid", "doc_id"), "candidates"
+        search(queries, index, pivots, k * oversample, probe, (), CODES).select("qid", "doc_id"), "candidates"
     )
+    return rescore(candidates, queries, index, k, carry)
+
+
+def rescore(candidates: DataFrame, queries: DataFrame, index: DataFrame, k: int, carry: Sequence[str] = ("label",)) -> DataFrame:
+    """The k best of each query's candidates (``qid, doc_id``) by their full vectors."""
     documents = index.select("doc_id", *carry, F.col("embedding").alias("__doc"))
     asked = queries.select("qid", F.col("embedding").alias("__query"))
     pairs = salted_join(candidates, documents, ["doc_id"], ["qid"]).join(asked, "qid")

@@ -17,6 +17,7 @@ from vigilog.operators import counts, metrics, sampling, sinks
 from vigilog.operators import vote as V
 from vigilog.operators.knn import probe_for, search, search_quantized
 from vigilog.operators.retrieve import retrieve, retrieve_context, retrieve_stored
+from vigilog.operators.rotated import frame, rotated_code, search_rotated
 from vigilog.plans import evaluation
 from vigilog.plans.ingestion import ingest
 from vigilog.session import materialize, scratch_path
@@ -338,6 +339,19 @@ def knn_quantized(spark: SparkSession, folder: str) -> DataFrame:
     return hits_out(search_quantized(with_codes(queries), with_codes(index), pivots, K, NPROBE, OVERSAMPLE))
 
 
+@query
+def knn_rotated_bits(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of each query by rotated sign bits with an error bound, and whether they hold nine in ten of all true neighbours."""
+    queries, index, pivots = embedding_sides(spark, folder)
+    exact = materialize(search(queries, index, pivots, K).select("qid", "doc_id", "score"), "exact")
+    known = frame(pivots, SEED)
+    coded = materialize(index.withColumn("code", rotated_code("embedding", "cell", known)), "codes")
+    found = materialize(search_rotated(queries, coded, pivots, K, known).select("qid", "doc_id", "score"), "rotated")
+    both = exact.join(found.withColumn("found", F.lit(True)), ["qid", "doc_id", "score"], "left")
+    recall = both.agg(F.avg(F.coalesce("found", F.lit(False)).cast("double"))).first()[0]
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.lit((recall or 0.0) >= RECALL).alias("enough"))
+
+
 @query
 def knn_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Hits of the exact search that the approximate one finds too, its probe chosen for nine in ten."""
