@@ -16,6 +16,8 @@ from vigilog.llm.common import materialize
 from vigilog.llm.strings import Rolling, edges, gathered
 
 LONGEST = 4
+# Characters whose runs are held at once: a task's memory follows it, unless one text is longer.
+AT_ONCE = 1 << 18
 FIT_DOCS = 4_000
 WORDS = 200_000
 GRAMS = 50_000
@@ -151,7 +153,7 @@ def fit_languages(
         letters = _letters()
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), np.array([place[x] for x in batch.column(1).to_pylist()])
-            for low, high in gathered(map(len, texts)):
+            for low, high in gathered(map(len, texts), AT_ONCE):
                 words = Words.of(texts[low:high], letters)
                 of_doc = names[low:high]
                 every = np.arange(len(words.starts))
@@ -199,7 +201,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             names, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            for low, high in gathered(map(len, texts)) if model.languages else ():
+            for low, high in gathered(map(len, texts), AT_ONCE) if model.languages else ():
                 words = Words.of(texts[low:high], letters)
                 totals = _score(words, model, high - low)
                 best = totals.argmax(axis=1)
