@@ -50,7 +50,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["knn_exact", "knn_source_relax", "knn_quantized", "knn_rotated_bits", "stratified_split", "coverage_missing", "prompt_context"])
+@pytest.mark.parametrize("name", ["knn_exact", "knn_source_relax", "knn_quantized", "knn_rotated_bits", "knn_graph", "stratified_split", "coverage_missing", "prompt_context"])
 def test_plan_has_no_pair_join(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
@@ -58,7 +58,7 @@ def test_plan_has_no_pair_join(spark, name):
 
 @pytest.mark.parametrize(
     "name",
-    ["knn_exact", "knn_ivf", "knn_quantized", "knn_rotated_bits", "knn_source_relax", "knn_source_filter", "prompt_context", "stratified_split",
+    ["knn_exact", "knn_ivf", "knn_quantized", "knn_rotated_bits", "knn_graph", "knn_source_relax", "knn_source_filter", "prompt_context", "stratified_split",
      "random_split", "downsample_preserve", "diverse_sample", "scan_lines"],
 )
 def test_query_agrees_when_everything_is_hot(spark, duck, tiny_limits, name):

@@ -308,6 +308,8 @@ SELECT doc_id, array_to_string({TERM_LIST}, ' ') AS tokens, concat_ws(' > ', sou
 near AS (SELECT * FROM bits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY differ, doc_id) <= {K * OVERSAMPLE}),
 {top('near', K)} {HITS_OUT}""",
     "knn_rotated_bits": f"""WITH {EMB} SELECT qid, least({K}, (SELECT count(*) FROM x))::BIGINT AS hits, true AS enough
+FROM q WHERE (SELECT count(*) FROM x) > 0""",
+    "knn_graph": f"""WITH {EMB} SELECT qid, least({K}, (SELECT count(*) FROM x))::BIGINT AS hits, true AS enough
 FROM q WHERE (SELECT count(*) FROM x) > 0""",
     "knn_source_filter": "WITH "
     + doc_hits("CASE WHEN lang = 'de' THEN upper(source) ELSE source END", "'Inet-' || source", relax=False)

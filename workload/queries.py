@@ -16,6 +16,7 @@ from vigilog.functions.vectors import embed_hash, tokens
 from vigilog.operators import counts, metrics, sampling, sinks
 from vigilog.operators import vote as V
 from vigilog.operators.knn import probe_for, search, search_quantized
+from vigilog.operators.proximity import build_graph, search_graph
 from vigilog.operators.retrieve import retrieve, retrieve_context, retrieve_stored
 from vigilog.operators.rotated import frame, rotated_code, search_rotated
 from vigilog.plans import evaluation
@@ -339,6 +340,12 @@ def knn_quantized(spark: SparkSession, folder: str) -> DataFrame:
     return hits_out(search_quantized(with_codes(queries), with_codes(index), pivots, K, NPROBE, OVERSAMPLE))
 
 
+def share_found(exact: DataFrame, found: DataFrame) -> float:
+    """The share of the exact hits that another search found too."""
+    both = exact.join(found.withColumn("found", F.lit(True)), ["qid", "doc_id", "score"], "left")
+    return both.agg(F.avg(F.coalesce("found", F.lit(False)).cast("double"))).first()[0] or 0.0
+
+
 @query
 def knn_rotated_bits(spark: SparkSession, folder: str) -> DataFrame:
     """Hits of each query by rotated sign bits with an error bound, and whether they hold nine in ten of all true neighbours."""
@@ -347,9 +354,16 @@ def knn_rotated_bits(spark: SparkSession, folder: str) -> DataFrame:
     known = frame(pivots, SEED)
     coded = materialize(index.withColumn("code", rotated_code("embedding", "cell", known)), "codes")
     found = materialize(search_rotated(queries, coded, pivots, K, known).select("qid", "doc_id", "score"), "rotated")
-    both = exact.join(found.withColumn("found", F.lit(True)), ["qid", "doc_id", "score"], "left")
-    recall = both.agg(F.avg(F.coalesce("found", F.lit(False)).cast("double"))).first()[0]
-    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.lit((recall or 0.0) >= RECALL).alias("enough"))
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.lit(share_found(exact, found) >= RECALL).alias("enough"))
+
+
+@query
+def knn_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of each query by a walk over a proximity graph, and whether they hold nine in ten of all true neighbours."""
+    queries, index, pivots = embedding_sides(spark, folder)
+    exact = materialize(search(queries, index, pivots, K).select("qid", "doc_id", "score"), "exact")
+    found = materialize(search_graph(queries, build_graph(index, seed=SEED), K).select("qid", "doc_id", "score"), "walked")
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.lit(share_found(exact, found) >= RECALL).alias("enough"))
 
 
 @query
