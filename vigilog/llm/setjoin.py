@@ -3,8 +3,8 @@
 Rows with one set form a class and only classes are compared. An operator puts classes into lists (a band's bucket, a
 shared token) such that any two classes that link share a list. Each list's members first meet its first class only.
 Then, in lists whose members still lie in several components, members of different components meet, in units
-of UNIT by UNIT classes: first each with the few whose parities are nearest, then, as what links has merged, with more, at last with
-all. Before two sets are compared in full, their sizes and their parities must allow the link.
+of UNIT by UNIT classes: first, in a few of its lists, each with the few whose parities are nearest, then, as what links has merged,
+with more, at last with all in all its lists. Before two sets are compared in full, their sizes and their parities must allow the link.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ UNIT = 256
 BUNDLE_ROWS = 20_000
 WORDS_AT_ONCE = 1 << 21
 BROADCAST_ROWS = 500_000
-#: How many others of different components a class is compared with in each round; after these, with all.
-ROUNDS = (1, 4, 32)
+#: How many others of different components a class is compared with in each round, in how many of its lists; after these, with all in all.
+ROUNDS = (2, 32)
+LISTS = 4
 
 Payload = Callable[[list[np.ndarray]], list[pa.Array]]
 Meets = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
@@ -256,13 +257,14 @@ def linked(
     star = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     links = verify(_met(star, classes, percent, carried, meets, True))
     labels = components(links)
-    quiet = False
+    # members of lists of two have met
+    shared, quiet = shared.where("members > 2").select("bucket", "cid"), False
     for most in (*ROUNDS, None):
         if quiet and most is not None:
             continue
-        # members of lists of two have met
-        units = _units(shared.where("members > 2"), labels, classes, most)
-        pairs = materialize(_across(units, percent, most), "across")
+        if not quiet:
+            shared = materialize(_apart(shared, labels), "apart")
+        pairs = materialize(_across(_units(shared, classes, most), percent, most), "across")
         quiet = pairs.isEmpty()
         if quiet:
             continue
@@ -278,13 +280,26 @@ def linked(
     return labels
 
 
-def _units(lists: DataFrame, labels: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
+def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members ``bucket, cid`` of lists that hold several components, under their ``label``.
+
+    Components only merge, so a later round finds its lists among these.
+    """
+    under = lists.select("bucket", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    under = materialize(under.select("bucket", "cid", F.coalesce("label", "cid").alias("label")), "labelled")
+    several = under.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return under.join(several, "bucket")
+
+
+def _units(apart: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
     """The members of lists that hold several components, in each unit that their block is in.
 
-    While only the nearest are asked for, a block meets itself, and is dealt anew in each round.
+    While only the nearest are asked for, a class is in the LISTS of its lists whose hashes are least, which classes that share most of
+    their lists have in common; and a block meets itself, and is dealt anew in each round.
     """
-    apart = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    apart = materialize(apart.select("bucket", "cid", F.coalesce("label", "cid").alias("label")), "apart")
+    if most is not None:
+        drawn = Window.partitionBy("cid").orderBy(F.xxhash64("bucket", F.lit(most)), "bucket")
+        apart = materialize(apart.withColumn("turn", F.row_number().over(drawn)).where(F.col("turn") <= LISTS).drop("turn"), "drawn")
     several = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
     several = several.where("x <> y").select("bucket", F.ceil(F.col("size") / UNIT).cast("int").alias("blocks"))
     apart = apart.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(most or 0)), "blocks").cast("int"))
