@@ -148,6 +148,19 @@ def test_search_beyond_exact_doubles_and_nothing(spark):
     assert maxscore.search(vectors.where("vec_id = 0"), F.col("vec_id") == 0, k=5).count() == 0
 
 
+def test_query_parts_are_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 16)
+    vectors = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2) - 0.5).alias("embedding"))
+    found = maxscore.search(vectors, F.col("vec_id") % 2 == 0, k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and found.count() == 300
+
+
+@pytest.mark.parametrize(("most", "form"), [(127, "int8"), (-128, "int8"), (128, "int16"), (-32769, "int32"), (2.0**31, "float64")])
+def test_weights_travel_in_the_narrowest_form(most, form):
+    assert maxscore._narrowest(np.array([[0.0, most]])) == form and maxscore._narrowest(np.zeros((0, 0))) == "int8"
+
+
 # --- SentencePiece -------------------------------------------------------------------------------
 
 

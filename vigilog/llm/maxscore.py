@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from vigilog.llm.common import materialize
 
@@ -18,17 +18,25 @@ QUERY_ROWS = 1_024
 FIRST_ROWS = 512
 PROBED_AT_ONCE = 8
 EXACT = float(1 << 53)
+#: Whole numbers that weights are sent as, if they fit; else as doubles.
+FORMS = ("int8", "int16", "int32")
 
 PACKED = StructType(
     [
         StructField("part", IntegerType()),
         StructField("terms", IntegerType()),
+        StructField("form", StringType()),
         StructField("ids", BinaryType()),
         StructField("postings", BinaryType()),
     ]
 )
 
 
+def _narrowest(grid: np.ndarray) -> str:
+    least, most = grid.min(initial=0), grid.max(initial=0)
+    return next((f for f in FORMS if np.iinfo(f).min <= least and most <= np.iinfo(f).max), "float64")
+
+
 def _packed(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """One row for each part of about ``rows`` vectors: the ids, and for each term all its weights (0: no posting)."""
     parts = max(1, -(-vectors.count() // rows))
@@ -44,15 +52,17 @@ def _packed(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
         grid = np.zeros((terms, len(ids)))
         for k, w in enumerate(weights):
             grid[: len(w), k] = w
-        row = [[TaskContext.get().partitionId()], [terms], [ids.tobytes()], [grid.tobytes()]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], PACKED.names)
+        form = _narrowest(grid)
+        row = [[TaskContext.get().partitionId()], [terms], [form], [ids.tobytes()], [grid.astype(form).tobytes()]]
+        types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], PACKED.names)
 
     return materialize(vectors.repartition(parts).mapInArrow(pack, PACKED), "postings"), parts
 
 
-def _unpacked(terms: int, ids: bytes, postings: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(terms: int, form: str, ids: bytes, postings: bytes) -> tuple[np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, np.int64)
-    return keys, np.frombuffer(postings, float).reshape(terms, len(keys))
+    return keys, np.frombuffer(postings, form).reshape(terms, len(keys)).astype(float)
 
 
 class Best:
@@ -134,15 +144,19 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, k
     rows = materialize(rows, "weights")
     shards, n_shards = _packed(rows.select("id", "weights"), SHARD_ROWS)
     asked, _ = _packed(rows.where("asks").select("id", "weights"), QUERY_ROWS)
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("part"), F.col("terms").alias("q_terms"), F.col("ids").alias("q_ids"), F.col("postings").alias("q_postings"))
-    units = sent.join(shards, "part")
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in PACKED.names])
+    sent = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    # a size estimate leaves out how often a query part is sent, so neither side may be broadcast by it
+    units = sent.hint("merge").join(shards, "part")
+    side = [c for c in PACKED.names if c != "part"]
     schema = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType())])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                asks, questions = _unpacked(row["q_terms"], row["q_ids"], row["q_postings"])
-                ids, grid = _unpacked(row["terms"], row["ids"], row["postings"])
+            for at in range(batch.num_rows):
+                row = [column[at].as_py() for column in batch.columns]
+                asks, questions = _unpacked(*row[: len(side)])
+                ids, grid = _unpacked(*row[len(side) :])
                 terms = min(len(questions), len(grid))  # a term that one side lacks adds nothing
                 if not terms or not len(ids):
                     continue
@@ -160,6 +174,6 @@ def search(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, k
                 columns = list(zip(*out)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema.names)
 
-    found = units.select("part", "q_terms", "q_ids", "q_postings", "terms", "ids", "postings").mapInArrow(searched, schema)
+    found = units.select(*[f"q_{c}" for c in side], *side).mapInArrow(searched, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
