@@ -144,6 +144,19 @@ def test_loose_notations_are_selected(spark):
         assert not any(r.text[a:b].startswith(r.text[r.text.index("lot ") + 4 :][:19]) for a, b in spans)
 
 
+def test_trees_and_thresholds_come_from_all_candidates(spark, monkeypatch):
+    seen, fit = [], pii._fit_trees
+    monkeypatch.setattr(pii, "_fit_trees", lambda groups, seed: seen.append(groups) or fit(groups, seed))
+    monkeypatch.setattr(pii, "FIT_ROWS", 10)
+    rare = [f"write to user{k} (at) host (dot) org, pieces 12,{k % 256},400,500" for k in range(120)]
+    docs = rows_of(spark, ["lot 4539 1488 0343 6468 of 12,1,400,500"] * 300 + rare)
+    n = docs.select(F.explode(pii.candidates(F.col("text"))).alias("c")).count()
+    selector = pii.fit_selector(docs)
+    weights = [g.agg(F.sum("n")).first()[0] for g in seen]
+    assert selector.thresholds["email"] > 0 and weights[0] == n == weights[1] + weights[2]
+    assert seen[0].count() < n / 2  # candidates alike are one row
+
+
 def test_redaction(spark):
     docs = rows_of(spark, [*TRICKY[:7], "no", "x a@b.co y"])
     found = pii.find_spans(docs, pii.Selector())

@@ -54,6 +54,7 @@ SHORT = r"(?<![0-9])[0-9]{1,2}(?![0-9])"
 CONTEXT = 24
 #: Doubling steps that cover an array of any size.
 SCAN_ROUNDS = 31
+#: Rows of a task when trees are fitted.
 FIT_ROWS = 20_000
 TREES = 20
 DEPTH = 3
@@ -235,46 +236,51 @@ def _unfold(node) -> tuple | float:
     return FEATURES[split.featureIndex()], split.threshold(), _unfold(node.leftChild()), _unfold(node.rightChild())
 
 
-def fit_selector(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, precision: float = PRECISION, seed: int = 3
-) -> Selector:
-    """Boosted trees on up to about ``fit_rows`` candidates of a seeded sample, thresholds on another such sample.
+def _fit_trees(groups: DataFrame, seed: int) -> Selector:
+    """Boosted trees on groups of candidates alike, each as heavy as it has candidates; none without both classes."""
+    if groups.select("label").distinct().count() < 2:
+        return Selector()
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(groups).select("x", "label", "n")
+    trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=seed)
+    model = trees.fit(assembled)
+    return Selector([_unfold(tree._call_java("rootNode")) for tree in model.trees], list(model.treeWeights))
+
+
+def fit_selector(docs: DataFrame, key: str = "doc_id", text: str = "text", precision: float = PRECISION, seed: int = 3) -> Selector:
+    """Boosted trees on all candidates, and thresholds from all of them, each scored by trees that have not seen it.
 
-    A candidate is positive by its evidence, loose notations as well as those of a base pattern. A kind's threshold is the least score above
-    which at least ``precision`` of the second sample's candidates are positive. Without candidates of
-    both classes nothing is selected.
+    A candidate is positive by its evidence, loose notations as well as those of a base pattern. Candidates with the same features and
+    label are one row with their number as its weight. They are dealt into halves; trees of either half score the other, and a kind's
+    threshold is the least score above which at least ``precision`` of all its candidates are positive. The trees
+    that select are those of both halves. Without candidates of both classes nothing is selected.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("row"), F.explode(candidates(body)).alias("c"))
-    rows = materialize(rows.select("row", "c.start", "c.end", "c.kind", "c.label", "c.features.*"), "candidates")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return Selector()
-    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "row", "start", "end", "kind"), F.lit(1_000_000)) / 1_000_000
-    share = F.lit(1.0)
-    for label, n in counts.items():  # each class gives half of both samples at most
-        share = F.when(F.col("label") == label, F.lit(min(1.0, fit_rows / n))).otherwise(share)
-    sample = materialize(rows.withColumn("__draw", draw / share).where(F.col("__draw") < 1).coalesce(2), "sample")
-    fitted = sample.where("__draw < 0.5")
-    if fitted.select("label").distinct().count() < 2:
-        return Selector()
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(fitted).select("x", "label")
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=seed).fit(assembled)
-    trees = [_unfold(tree._call_java("rootNode")) for tree in model.trees]
-    selector = Selector(trees, list(model.treeWeights))
-    scored = sample.where("__draw >= 0.5").select(
-        "kind", "label", F.floor(selector.score(F.struct(*FEATURES)) * BINS).alias("bin")
-    )
-    tally = scored.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).collect()
+    half = F.pmod(F.xxhash64(F.lit(seed + 1), "row", "c.start", "c.end", "c.kind"), F.lit(2)).alias("half")
+    groups = rows.select("c.kind", "c.label", "c.features.*", half).groupBy("kind", "label", *FEATURES, "half")
+    groups = materialize(groups.agg(F.count(F.lit(1)).cast("double").alias("n")), "candidates")
+    parts = -(-groups.count() // FIT_ROWS)  # a fit passes over its rows many times: no more tasks than they need
+    groups = groups.coalesce(max(1, parts))
+    whole = _fit_trees(groups, seed)
+    if not whole.trees:
+        return whole
+    tally = []
+    for side in (0, 1):
+        other = _fit_trees(groups.where(F.col("half") != side), seed)
+        if not other.trees:
+            return Selector()
+        scored = groups.where(F.col("half") == side).select("kind", "label", "n", F.floor(other.score(F.struct(*FEATURES)) * BINS).alias("bin"))
+        tally += scored.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("right")).collect()
     thresholds = {}
     for rank, kind in enumerate(KINDS):
         n = right = 0.0
-        for r in sorted((r for r in tally if r["kind"] == rank), key=lambda r: -r["bin"]):
-            n, right = n + r["n"], right + r["right"]
+        for at in sorted({r["bin"] for r in tally if r["kind"] == rank}, reverse=True):
+            both = [r for r in tally if r["kind"] == rank and r["bin"] == at]
+            n, right = n + sum(r["n"] for r in both), right + sum(r["right"] for r in both)
             if right < precision * n:
                 break
-            thresholds[kind] = r["bin"] / BINS
-    return Selector(trees, selector.weights, thresholds)
+            thresholds[kind] = at / BINS
+    return Selector(whole.trees, whole.weights, thresholds)
 
 
 def find_spans(docs: DataFrame, selector: Selector, text: str = "text") -> DataFrame:
