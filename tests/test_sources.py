@@ -9,6 +9,7 @@ from vigilog.operators.metrics import class_report, confusion, confusion_matrix,
 from vigilog.operators.sinks import alert_entries, write_entries, write_report
 from vigilog.plans.ingestion import build_dataset, ingest
 from vigilog.sources import logtree, tables, vector_index
+from workload import queries
 
 
 def write(path, text):
@@ -193,3 +194,10 @@ def test_ingestion_job(spark, tree, tmp_path):
 
 def test_label_domain():
     assert len(LOG_LABELS) == len(set(LOG_LABELS)) == 14
+
+
+def test_splits_of_a_large_tree_stay_few(spark, tmp_path):
+    assert queries.split_bytes(spark, str(tmp_path)) == 32 << 10
+    with open(tmp_path / "a.log", "wb") as file:
+        file.truncate(1 << 30)  # no blocks are written
+    assert queries.split_bytes(spark, str(tmp_path)) == (1 << 30) // queries.LOG_SPLITS

@@ -47,6 +47,7 @@ OVERSAMPLE = 10
 DIVERSE_SIZE = 100
 DOCS_PER_FILE = 5_000
 HEAD_LINES = 5
+LOG_SPLITS = 400
 
 
 def query(function: Query) -> Query:
@@ -140,6 +141,13 @@ def put_files(spark: SparkSession, lines: DataFrame, names: dict[str, str], root
             files.rename(found.getPath(), path(f"{root}/{name}"))
 
 
+def split_bytes(spark: SparkSession, root: str) -> int:
+    """Splits so small that files lie in several of them, and so large that a tree of any size makes about LOG_SPLITS."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(32 << 10, files.getContentSummary(path).getLength() // LOG_SPLITS)
+
+
 @query
 def log_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as a tree of log files, rotated ones, an attacker's, and a file that is no log, with sidecars."""
@@ -154,7 +162,7 @@ def log_tree(spark: SparkSession, folder: str) -> DataFrame:
     placed = lines.withColumn("line_no", F.row_number().over(order)).where("line_no % 7 = 0")
     put_files(spark, placed.select("doc_id", "line_no", "source", entry.alias("value")), names, f"{base}/labels")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")  # files in several splits
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes(spark, f"{base}/gather")))
     try:
         logs = materialize(logtree.labelled_logs(spark, f"{base}/gather", f"{base}/labels"), "labelled")
     finally:
