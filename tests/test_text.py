@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 
+from vigilog.functions import vectors
 from vigilog.functions.event_time import event_time
 from vigilog.functions.labels import in_domain, is_alert, to_binary
 from vigilog.functions.text import has_content, has_letter, is_log_path, relaxation_chain, source_of_path, source_tokens, strip
@@ -75,3 +77,15 @@ def test_label_predicates(spark):
     assert values(labels, is_alert("v")) == [False, True, False, None]
     assert values(labels, to_binary("v")) == ["normal_log", "attack_log", "normal_log", None]
     assert values(labels, in_domain("v")) == [True, True, False, None]
+
+
+def test_batches_are_embedded_a_few_texts_at_a_time(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{j * k % 31}" for j in range(k % 13))) for k in range(60)] + [(60, None), (61, "a b " * 300)]
+    docs = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    whole = docs.select("id", vectors.embed_hash("text").alias("v")).orderBy("id").collect()
+    monkeypatch.setattr(vectors, "TOKENS_AT_ONCE", 20)
+    monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 7)
+    assert docs.select("id", vectors.embed_hash("text").alias("v")).orderBy("id").collect() == whole
+    seen = []
+    made = vectors.sliced(lambda column: seen.append(len(column)) or column)
+    assert made(pa.array(range(20))).to_pylist() == list(range(20)) and seen == [7, 7, 6] and len(made(pa.array([], pa.int64()))) == 0

@@ -6,6 +6,7 @@ zero vector): such rows can be neither found nor matched.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: length of the vectors in the index.
 VECTOR_SIZE = 384
+#: Rows and tokens of an Arrow batch that are worked on at a time: what a task holds beside the batch does not follow its size.
+ROWS_AT_ONCE = 1_024
+TOKENS_AT_ONCE = 1 << 18
 
 
 def to_matrix(column: pa.Array, dtype: type = np.float64) -> np.ndarray:
@@ -31,6 +35,17 @@ def to_matrix(column: pa.Array, dtype: type = np.float64) -> np.ndarray:
     return flat.reshape(len(column), width).astype(dtype, copy=False)
 
 
+def sliced(made: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """A function of columns that is given a few rows of a batch at a time."""
+
+    @functools.wraps(made)
+    def run(*columns: pa.Array) -> pa.Array:
+        starts = range(0, max(len(columns[0]), 1), ROWS_AT_ONCE)
+        return pa.concat_arrays([made(*[c.slice(start, ROWS_AT_ONCE) for c in columns]) for start in starts])
+
+    return run
+
+
 def to_lists(matrix: np.ndarray, valid: np.ndarray) -> pa.Array:
     """List column of the matrix rows; rows that are not valid become null."""
     width = matrix.shape[1] if matrix.ndim == 2 else 0
@@ -50,6 +65,7 @@ def unit(vector: str | Column) -> Column:
     """Scale to unit length."""
 
     @F.arrow_udf("array<float>")
+    @sliced
     def scaled(values: pa.Array) -> pa.Array:
         valid = values.is_valid().to_numpy(zero_copy_only=False)
         matrix = to_matrix(values.drop_null())
@@ -76,11 +92,10 @@ def token_bucket(token: str, dim: int) -> int:
 def embed_hash(text: str | Column, dim: int = VECTOR_SIZE) -> Column:
     """Hashed bag of words: token counts per bucket, scaled to unit length. Needs no model.
 
-    Each distinct token of an Arrow batch is hashed once.
+    Each distinct token of a run of texts is hashed once; a run has about TOKENS_AT_ONCE tokens, or one text.
     """
 
-    @F.arrow_udf("array<float>")
-    def counted(words: pa.Array) -> pa.Array:
+    def run_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
         coded = words.flatten().dictionary_encode()
         buckets = np.array([token_bucket(token, dim) for token in coded.dictionary.to_pylist()], np.int64)
@@ -88,7 +103,19 @@ def embed_hash(text: str | Column, dim: int = VECTOR_SIZE) -> Column:
         norms = np.sqrt(np.bincount(cells // dim, counts.astype(np.float64) ** 2, minlength=len(words)))
         flat = np.zeros(len(words) * dim, np.float32)
         flat[cells] = counts / norms[cells // dim]
-        return to_lists(flat.reshape(len(words), dim), norms > 0)
+        return flat, norms > 0
+
+    @F.arrow_udf("array<float>")
+    def counted(words: pa.Array) -> pa.Array:
+        ends, start = words.offsets.to_numpy()[1:] - words.offsets[0].as_py(), 0
+        vectors, valid = np.zeros((len(words), dim), np.float32), np.zeros(len(words), bool)
+        while start < len(words):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, "right")))
+            flat, valid[start:stop] = run_of(words.slice(start, stop - start))
+            vectors[start:stop] = flat.reshape(-1, dim)
+            start = stop
+        return to_lists(vectors, valid)
 
     return counted(F.coalesce(tokens(text), F.array().cast("array<string>")))
 
@@ -122,6 +149,7 @@ def sign_code(vector: str | Column) -> Column:
     """One bit per dimension (is it positive?), packed: 32 times smaller than the vector."""
 
     @F.arrow_udf("binary")
+    @sliced
     def packed(values: pa.Array) -> pa.Array:
         valid = values.is_valid().to_numpy(zero_copy_only=False)
         codes = iter(np.packbits(to_matrix(values.drop_null()) > 0, axis=1)) if valid.any() else iter(())
@@ -134,6 +162,7 @@ def cosine_score(left: str | Column, right: str | Column) -> Column:
     """(1 + cosine) / 2 of two unit vectors, rounded to 6 digits."""
 
     @F.arrow_udf("double")
+    @sliced
     def scored(a: pa.Array, b: pa.Array) -> pa.Array:
         if len(a) == 0:
             return pa.array([], pa.float64())
