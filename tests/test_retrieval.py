@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,29 @@ def test_exact_search_in_small_units(spark, sides, tiny_limits):
     assert collected(knn.search(queries, index, pivots, 3)) == brute(queries, docs, 3)
 
 
+def test_a_task_makes_matrices_of_few_queries(monkeypatch):
+    monkeypatch.setattr(knn, "SCORES_AT_ONCE", 60)
+    seen = []
+
+    def floats(column):
+        seen.append(len(column))
+        return knn._floats(column)
+
+    rng = np.random.default_rng(5)
+    both = {name: pa.array(rng.standard_normal((30, 4)).tolist(), pa.list_(pa.float32())) for name in ("queries", "docs")}
+    places = {"unit": ["a"] * 15 + ["b"] * 15, "cells": pa.nulls(30, pa.list_(pa.int32()))}
+    queries = pa.table({"qid": range(30), "unit": places["unit"], "cells": places["cells"], "vector": both["queries"]})
+    docs = pa.table({"doc_id": [*range(29, -1, -1)], "cell": pa.array([0] * 30, pa.int32()), "unit": places["unit"], "vector": both["docs"]})
+    by = knn.Comparison("embedding", floats, knn._floats, knn._best_vectors, knn.VECTORS.score)
+    found = knn._compare(2, by)((), queries, docs)
+    assert found.num_rows == 60 and max(seen) == 4
+    left, right = (np.array(both[name].to_pylist()) for name in ("queries", "docs"))
+    for at in range(30):
+        unit = range(15) if at < 15 else range(15, 30)
+        best = sorted(unit, key=lambda j: -(left[at] @ right[j]))[:2]
+        assert {29 - j for j in best} == {d for q, d in zip(found["qid"].to_pylist(), found["doc_id"].to_pylist()) if q == at}
+
+
 def test_more_neighbours_than_documents(spark, sides):
     queries, docs = sides
     few = docs.where("doc_id < 2")
