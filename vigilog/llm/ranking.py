@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ def _splitters(runs: DataFrame, n: int, segments: int) -> np.ndarray:
         keys = keys[np.lexsort((keys[:, 2], keys[:, 1], -keys[:, 0]))]
         return keys[np.arange(1, segments) * len(keys) // segments]
     every = m // segments
-    some = ranked(samples.withColumnRenamed("at", "__at"), "score", "tie").where(F.col("rank") % every == 0)
+    few = max(2, math.isqrt(SAMPLES_FETCHED // 2))  # so that the samples of the samples can be fetched
+    some = ranked(samples.withColumnRenamed("at", "__at"), "score", "tie", segments=few).where(F.col("rank") % every == 0)
     rows = some.orderBy("rank").limit(segments - 1).collect()  # one row a segment
     return np.array([(r["score"], r["tie"], r["__at"]) for r in rows], np.int64)
 
@@ -54,14 +56,14 @@ def _segments(runs: DataFrame, splitters: np.ndarray) -> DataFrame:
     return runs.mapInArrow(dealt, schema)
 
 
-def ranked(rows: DataFrame, score: str, tie: str, most: int | None = None) -> DataFrame:
+def ranked(rows: DataFrame, score: str, tie: str, most: int | None = None, segments: int | None = None) -> DataFrame:
     """The rows with their exact ``rank`` (from 1) by ``score`` descending, then ``tie`` ascending; both are long.
 
     Partitions are sorted where they are and written as runs; regular samples of the runs give splitters; a count
     of each segment says where its ranks begin; the segments are exchanged and sorted each on its own. Only segments that reach
     into the ``most`` highest ranks are exchanged; rows beyond ``most`` have a null rank. Rows equal in both columns are told
     apart by their place in a run, so a key that many rows share is split too. Null scores come last, null ties last of their
-    score. An empty table gives no rows.
+    score. There are ``segments`` of them, else as many as shuffle partitions or more. An empty table gives no rows.
     """
     spark = rows.sparkSession
     worst, last = F.lit(-(2**63) + 1).cast("long"), F.lit(2**63 - 1).cast("long")
@@ -72,7 +74,7 @@ def ranked(rows: DataFrame, score: str, tie: str, most: int | None = None) -> Da
     if not n:
         return rows.withColumn("rank", F.lit(None).cast("long"))
     most = n if most is None else min(most, n)
-    segments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SEGMENT_ROWS))
+    segments = segments or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SEGMENT_ROWS))
     dealt = materialize(_segments(runs, _splitters(runs, n, segments)), "segments")
     sizes = {r["segment"]: r["n"] for r in dealt.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a segment
     before, starts = 0, []
