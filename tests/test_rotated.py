@@ -78,6 +78,12 @@ def test_the_bound_rules_out_most_documents(spark):
     assert recall(collected(find(queries, index, pivots, known, 3)), brute(queries, docs, 3)) >= 0.95
 
 
+def test_a_unit_returns_k_rows_a_query_however_many_it_scores(spark):
+    queries, docs = sides(spark)  # one unit; the bound leaves about a tenth of the documents
+    found = rotated.rotated_candidates(queries, *indexed(docs)[:2], 3, indexed(docs)[2]).where("doc_id IS NOT NULL")
+    assert found.groupBy("qid").count().agg(F.max("count")).first()[0] == 3
+
+
 def test_a_slack_that_rules_nothing_out_gives_the_exact_result(spark):
     queries, docs = sides(spark, 300)
     assert collected(find(queries, *indexed(docs), 3, deviations=100)) == brute(queries, docs, 3)

@@ -277,17 +277,25 @@ def _best_vectors(left: np.ndarray, right: np.ndarray, k: int) -> Found:
     width, keep = len(right), min(k, len(right))
     products = left @ right.T
     kth = np.partition(products, width - keep, axis=1)[:, [width - keep]]
-    margin = np.float32(2 * left.shape[1] * 2.0**-24 + 4e-6)
-    rows, columns = np.nonzero(products >= kth - margin)
+    rows, columns = np.nonzero(products >= kth - margin_of(left.shape[1]))
+    return first_per_row((rows, columns, exact_values(left, right, rows, columns)), keep)
+
+
+def margin_of(size: int) -> np.float32:
+    """How far products in single precision may be off, and apart while their scores agree in 6 digits."""
+    return np.float32(2 * size * 2.0**-24 + 4e-6)
+
+
+def exact_values(left: np.ndarray, right: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Scores of the pairs in millionths, computed in double precision."""
     exact = np.empty(len(rows))
     for start in range(0, len(rows), CANDIDATES_AT_ONCE):
         part = slice(start, start + CANDIDATES_AT_ONCE)
         exact[part] = np.einsum("ij,ij->i", left[rows[part]].astype(np.float64), right[columns[part]].astype(np.float64))
-    values = np.rint((1 + exact) / 2 * 1e6).astype(np.int64)
-    return _first_per_row((rows, columns, values), keep)
+    return np.rint((1 + exact) / 2 * 1e6).astype(np.int64)
 
 
-def _first_per_row(found: Found, k: int) -> Found:
+def first_per_row(found: Found, k: int) -> Found:
     """The k entries of each row with the highest value, then the lowest column."""
     rows, columns, values = found
     order = np.lexsort((columns, -values, rows))
@@ -382,7 +390,7 @@ def _compare(k: int, by: Comparison):
                         found.append((part[rows], np.where(columns < 0, NO_DOCUMENT, place[theirs[columns]]), values))
         rows, columns, values = (np.concatenate(part) for part in zip(*found))
         if by.ranked:
-            rows, columns, values = _first_per_row((rows, columns, values), k)
+            rows, columns, values = first_per_row((rows, columns, values), k)
         taken = by_id[columns] if docs.num_rows else columns
         hits = docs.select(carried).take(pa.array(taken, mask=columns < 0))
         scores = pa.array(by.score(values, width))

@@ -6,13 +6,15 @@ f = <x, u>. For a query q, <x, q - <c, q> c> / f estimates <u, q> without bias,
 of a coordinate on a sphere: its standard deviation is at most |q - <c, q> c| * sqrt((1 - f*f) / (d - 1)) / f (Gao and
 Long, RaBitQ, 2024). ``deviations`` of them, times r, are a document's slack: the nearer to their pivot both are, the less.
 
-A search compares codes only (d / 8 + 16 bytes a document in the shuffle) in two passes:
+A search compares codes in two passes:
 
-1. the ``first * k`` best estimates of a query are scored by full vectors; the k-th of them bounds its k-th score;
+1. the ``first * k`` best estimates of a query in each unit are scored by full vectors; the k-th score of all bounds its k-th score;
 2. a document whose estimate and slack stay below that bound is ruled out, and every other one is scored.
 
-How many are scored follows from the bound alone. Where more than SHARE of the documents that a query meets in a unit (or
-more than MOST of them) are left, codes do not pay: that query is searched with full vectors instead, exactly.
+Documents are scored in the task that compares their codes, so full vectors travel beside the codes and a unit returns k rows
+a query, however many it scored. How many that are follows from the bound alone. Where more than SHARE of the documents that a
+query meets in a unit (or more than MOST of them) are left, codes do not pay: that query is searched with full vectors
+instead, exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.functions.vectors import to_matrix
-from vigilog.operators.knn import NO_DOCUMENT, Comparison, Found, Pivots, rescore, search
+from vigilog.operators.knn import NO_DOCUMENT, Comparison, Found, Pivots, exact_values, first_per_row, margin_of, rank_hits, search
 from vigilog.session import materialize
 
 MOST = 1024
@@ -117,39 +119,80 @@ def read_documents(column: pa.ChunkedArray) -> np.ndarray:
     return np.hstack([raw[:, :numbers].copy().view("<f4"), signs])
 
 
+def _approximations(codes: np.ndarray, size: int, known: Frame) -> np.ndarray:
+    """The turned vectors that the codes stand for: a query's product with one is its estimate."""
+    centres = known.centres[codes[:, 0].astype(np.int64)].astype(np.float32)
+    return centres * codes[:, 1:2] + codes[:, NUMBERS : NUMBERS + size] * (codes[:, 2:3] / np.sqrt(np.float32(size)))
+
+
+def _off_pivots(asked: np.ndarray, known: Frame) -> np.ndarray:
+    """What a query's slack is in each cell, as a multiple of a document's."""
+    to_pivot = asked @ known.centres.T.astype(np.float32)
+    return np.sqrt(np.maximum(1 - to_pivot**2, 0)) / np.sqrt(np.float32(max(asked.shape[1] - 1, 1)))
+
+
 def estimates(left: np.ndarray, right: np.ndarray, known: Frame) -> tuple[np.ndarray, np.ndarray]:
     """Estimated cosines of queries and documents, and the standard deviations they stay within."""
-    asked, size = left[:, 1:], left.shape[1] - 1
-    cells, place = np.unique(right[:, 0].astype(np.int64), return_inverse=True)
-    to_pivot = asked @ known.centres[cells].T.astype(np.float32)
-    off_pivot = np.sqrt(np.maximum(1 - to_pivot**2, 0)) / np.sqrt(np.float32(max(size - 1, 1)))
-    by_signs = asked @ right[:, NUMBERS : NUMBERS + size].T / np.sqrt(np.float32(size))
-    return to_pivot[:, place] * right[:, 1] + by_signs * right[:, 2], off_pivot[:, place] * right[:, 3]
+    asked = left[:, 1:]
+    middle = asked @ _approximations(right, asked.shape[1], known).T
+    return middle, _off_pivots(asked, known)[:, right[:, 0].astype(np.int64)] * right[:, 3]
+
+
+def _whole_queries(column: pa.StructArray) -> np.ndarray:
+    """The bound, the turned vector, then the vector."""
+    return np.hstack([read_queries(column.field("code")), to_matrix(column.field("embedding"), np.float32)])
+
+
+def _whole_documents(column: pa.StructArray, known: Frame) -> np.ndarray:
+    """The cell, the weight of the slack, the approximation, then the vector."""
+    codes, vectors = read_documents(column.field("code")), to_matrix(column.field("embedding"), np.float32)
+    return np.hstack([codes[:, [0, 3]], _approximations(codes, vectors.shape[1], known), vectors])
 
 
-def _best_estimates(left: np.ndarray, right: np.ndarray, k: int, known: Frame) -> Found:
-    """The k documents of each query with the highest estimates, in millionths."""
-    width, keep = len(right), min(k, len(right))
-    values = np.rint(estimates(left, right, known)[0] * 1e6).astype(np.int64)
-    columns = np.argpartition(values, width - keep, axis=1)[:, width - keep :].ravel()
-    rows = np.repeat(np.arange(len(left)), keep)
-    return rows, columns, values[rows, columns]
+def _sides(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The turned queries, their estimates, and a vector's length; the last so many columns of both sides are the vectors."""
+    size = (left.shape[1] - 1) // 2
+    asked = left[:, 1 : 1 + size]
+    return asked, asked @ right[:, 2 : 2 + size].T, size
+
+
+def _best_of(left: np.ndarray, right: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int) -> Found:
+    """The k best of each row's pairs by full vectors: in single precision with a margin, the few that are left in double."""
+    products = (left @ right.T)[rows, columns]
+    order = np.lexsort((-products, rows))
+    rows, columns, products = rows[order], columns[order], products[order]
+    kth = products[np.minimum(np.searchsorted(rows, rows) + k, np.searchsorted(rows, rows, "right")) - 1]
+    near = products >= kth - margin_of(left.shape[1])
+    rows, columns = rows[near], columns[near]
+    return first_per_row((rows, columns, exact_values(left, right, rows, columns)), k)
+
+
+def _best_estimates(left: np.ndarray, right: np.ndarray, k: int, first: int) -> Found:
+    """The k best of each query, by full vectors, among the ``first * k`` documents with the highest estimates."""
+    _, middle, size = _sides(left, right)
+    width, keep = len(right), min(first * k, len(right))
+    rows, columns = np.nonzero(middle >= np.partition(middle, width - keep, axis=1)[:, [width - keep]])
+    return _best_of(left[:, -size:], right[:, -size:], rows, columns, k)
 
 
 def _not_ruled_out(left: np.ndarray, right: np.ndarray, k: int, known: Frame, deviations: float) -> Found:
-    """The documents that may reach a query's bound; NO_DOCUMENT alone where they are too many for codes to pay."""
-    middle, deviation = estimates(left, right, known)
-    upper = middle + deviations * deviation
-    near = upper >= left[:, :1]
-    wide = np.flatnonzero(near.sum(axis=1) > max(k, min(MOST, int(SHARE * len(right)))))
-    near[wide] = False
-    rows, columns = np.nonzero(near)
-    values = np.rint(upper[rows, columns] * 1e6).astype(np.int64)
-    return (
-        np.concatenate([rows, wide]),
-        np.concatenate([columns, np.full(len(wide), NO_DOCUMENT)]),
-        np.concatenate([values, np.zeros(len(wide), np.int64)]),
-    )
+    """The k best of each query, by full vectors, among the documents that may reach its bound.
+
+    NO_DOCUMENT alone where these are too many for codes to pay.
+    """
+    asked, middle, size = _sides(left, right)
+    cells, slack, bound = right[:, 0].astype(np.int64), deviations * right[:, 1], left[:, 0]
+    off_pivot = _off_pivots(asked, known)
+    # first by the widest slack of all, then by its own
+    rows, columns = np.nonzero(middle >= (bound - off_pivot.max(axis=1) * slack.max() - 1e-6)[:, None])
+    near = middle[rows, columns] + off_pivot[rows, cells[columns]] * slack[columns] >= bound[rows]
+    rows, columns = rows[near], columns[near]
+    many = np.bincount(rows, minlength=len(left)) > max(k, min(MOST, int(SHARE * len(right))))
+    few, wide = ~many[rows], np.flatnonzero(many)
+    rows, columns = rows[few], columns[few]
+    found = _best_of(left[:, -size:], right[:, -size:], rows, columns, k)
+    marks = (wide, np.full(len(wide), NO_DOCUMENT), np.zeros(len(wide), np.int64))
+    return tuple(np.concatenate(both) for both in zip(found, marks))
 
 
 def _millionths(values: np.ndarray, _width: int) -> np.ndarray:
@@ -170,19 +213,25 @@ def rotated_candidates(
     probe: int | None = None,
     first: int = 10,
     deviations: float = 2.0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``qid, doc_id`` of the documents that the bound does not rule out; a null ``doc_id`` where a unit has too many of them."""
-    best = partial(_best_estimates, known=known)
+    """``qid, doc_id, <carry>, score`` of each unit's k best documents that the bound does not rule out.
+
+    A null ``doc_id`` where a unit has too many that are not ruled out.
+    """
+    read = partial(_whole_documents, known=known)
+    best = partial(_best_estimates, first=first)
     left = partial(_not_ruled_out, known=known, deviations=deviations)
     asked = queries.where(F.col("embedding").isNotNull()).withColumn("code", _query_code("embedding", known))
-    by_estimate = Comparison("code", read_queries, read_documents, best, _millionths)
-    early = search(_bounded(asked, F.lit(0)), index, pivots, first * k, probe, (), by_estimate).select("qid", "doc_id")
-    reached = rescore(early, asked, index, k, ()).groupBy("qid").agg(F.min("score").alias("__kth"), F.count(F.lit(1)).alias("__n"))
+    coded, both = index.withColumn("__both", F.struct("code", "embedding")), F.struct("code", "embedding")
+    by_estimate = Comparison("__both", _whole_queries, read, best, _millionths)
+    early = search(_bounded(asked, F.lit(0)).withColumn("__both", both), coded, pivots, k, probe, (), by_estimate)
+    reached = early.groupBy("qid").agg(F.min("score").alias("__kth"), F.count(F.lit(1)).alias("__n"))
     # where fewer than k were found, nothing can be ruled out
     bound = F.when(F.col("__n") >= k, F.round((2 * F.col("__kth") - 1) * 1_000_000) - ROUNDING).otherwise(F.lit(-2_000_000))
     told = materialize(_bounded(asked.join(reached, "qid", "left"), bound).select(*asked.columns), "bounded")
-    by_bound = Comparison("code", read_queries, read_documents, left, _millionths, ranked=False)
-    return search(told, index, pivots, k, probe, (), by_bound).select("qid", "doc_id")
+    by_bound = Comparison("__both", _whole_queries, read, left, _millionths, ranked=False)
+    return search(told.withColumn("__both", both), coded, pivots, k, probe, carry, by_bound)
 
 
 def search_rotated(
@@ -205,9 +254,9 @@ def search_rotated(
     """
     if not pivots.count:
         return search(queries, index, pivots, k, probe, carry)
-    found = materialize(rotated_candidates(queries, index, pivots, k, known, probe, first, deviations), "not-ruled-out")
+    found = materialize(rotated_candidates(queries, index, pivots, k, known, probe, first, deviations, carry), "not-ruled-out")
     wide = found.where("doc_id IS NULL").select("qid").distinct()
     narrow = found.where("doc_id IS NOT NULL").join(wide, "qid", "left_anti")
-    by_codes = rescore(narrow, queries, index, k, carry)
+    by_codes = rank_hits(narrow, k, F.col("score").desc())
     by_vectors = search(queries.join(wide, "qid", "left_semi"), index, pivots, k, probe, carry)
     return by_codes.unionByName(by_vectors)
