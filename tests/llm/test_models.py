@@ -187,6 +187,15 @@ def test_ids_are_those_of_the_library(spark):
     assert sentencepiece_lattice.encode(nothing(spark), model).count() == 0
 
 
+def test_requests_are_exchanged_once_and_texts_move_once(spark):
+    encoded = sentencepiece_lattice.encode(documents(spark), sentencepiece_lattice.Pieces.load(PIECES), chunk_bytes=1 << 17)
+    encoded.collect()
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+    with_texts = [line for line in plan.split("\n") if "Exchange hashpartitioning(chunk" in line]
+    assert len(with_texts) == 2 and "requests" not in plan  # texts and answers, by chunk
+
+
 def test_best_paths_are_those_of_a_unigram_model(spark, tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(PIECES, "rb") as data:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from vigilog.llm.common import let, materialize, parts
+from vigilog.llm.common import let, parts
 
 BLANK = "▁"
 #: Words of up to so many characters go through the lattice, whose cuts are the bits of a long; longer
@@ -195,27 +195,29 @@ def _shard(word: str, shards: int) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % shards
 
 
+def _chunks_of(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[pa.Array], list[str | None]]]:
+    """The number, keys and texts of a task's chunks: the same ones whenever its rows come in the same order."""
+    number, size, keys, texts = TaskContext.get().partitionId() << 32, 0, [], []
+    for batch in batches:
+        for k, value in enumerate(batch.column(1).to_pylist()):
+            keys.append(batch.column(0).slice(k, 1))
+            texts.append(value)
+            size += len(value or "")
+            if size >= chunk_bytes:
+                yield number, keys, texts
+                number, size, keys, texts = number + 1, 0, [], []
+    if texts:
+        yield number, keys, texts
+
+
 def _chunked(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
     schema = StructType([StructField("chunk", LongType()), StructField("keys", ArrayType(docs.schema[key].dataType)), StructField("texts", BinaryType())])
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, keys, texts = TaskContext.get().partitionId() << 32, 0, [], []
-
-        def row() -> pa.RecordBatch:
+        for number, keys, texts in _chunks_of(batches, chunk_bytes):
             every = pa.concat_arrays(keys)
             lists = pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)
-            return pa.RecordBatch.from_arrays([pa.array([number]), lists, pa.array([_stored(texts)], pa.binary())], schema.names)
-
-        for batch in batches:
-            for k, value in enumerate(batch.column(1).to_pylist()):
-                keys.append(batch.column(0).slice(k, 1))
-                texts.append(value)
-                size += len(value or "")
-                if size >= chunk_bytes:
-                    yield row()
-                    number, size, keys, texts = number + 1, 0, [], []
-        if texts:
-            yield row()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), lists, pa.array([_stored(texts)], pa.binary())], schema.names)
 
     return docs.select(key, text).mapInArrow(chunked, schema)
 
@@ -223,8 +225,8 @@ def _chunked(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFram
 def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``key, ids, round_trip`` for every row: its piece ids, and whether decoding them gives the text again.
 
-    Texts are packed into chunks, which move once; each chunk sends every shard the distinct words it
-    needs. A shard's distinct words are cut by the lattice (the merge rule for BPE models, the best path for
+    Texts are packed into chunks, which move once, to where their answers come; each chunk sends every shard the distinct words it
+    needs, once, from where it is made. A shard's distinct words are cut by the lattice (the merge rule for BPE models, the best path for
     unigram models), and the answers go back to the chunks. The input should be a stored table, so that a chunk that
     is made again is the same.
 
@@ -236,19 +238,14 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
     asked = StructType([StructField("shard", IntegerType()), StructField("chunk", LongType()), StructField("words", BinaryType())])
     blob = pa.binary()
 
-    def ask(group: tuple, rows: pa.Table) -> pa.Table:
-        wanted: list[list[str]] = [[] for _ in range(n)]
-        words: set[str] = set()
-        for value in _restored(rows.column("texts")[0].as_py()):
-            words.update(segments(value or ""))
-        for word in sorted(words):
-            wanted[_shard(word, n)].append(word)
-        return pa.Table.from_arrays(
-            [pa.array(range(n), pa.int32()), pa.array([group[0].as_py()] * n, pa.int64()), pa.array(map(_stored, wanted), blob)], asked.names
-        )
-
-    # written, as both the words and the answers start from it
-    requests = materialize(chunks.groupBy("chunk").applyInArrow(ask, asked), "requests")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, texts in _chunks_of(batches, chunk_bytes):
+            wanted: list[list[str]] = [[] for _ in range(n)]
+            for word in sorted({word for value in texts for word in segments(value or "")}):
+                wanted[_shard(word, n)].append(word)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(n), pa.int32()), pa.array([number] * n, pa.int64()), pa.array(map(_stored, wanted), blob)], asked.names
+            )
     found = StructType([StructField("shard", IntegerType()), StructField("number", IntegerType()), StructField("word", StringType())])
 
     def short(rows: pa.Table) -> list[str]:
@@ -262,6 +259,8 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
         columns = [pa.array([group[0].as_py()] * len(words), pa.int32()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.string())]
         return pa.Table.from_arrays(columns, found.names)
 
+    # one exchange, which the words and the answers both read
+    requests = docs.select(key, text).mapInArrow(ask, asked).repartition(n, "shard")
     words = requests.groupBy("shard").applyInArrow(distinct, found).repartition(n, "shard")
     cut = cut_words(words, model)
     answered = StructType([StructField("chunk", LongType()), StructField("shard", IntegerType()), StructField("ids", BinaryType())])
