@@ -130,6 +130,20 @@ def test_packed_pieces_give_the_ids_back(spark):
     assert len(sequences) <= 1.1 * total / 1024 + 3
 
 
+def test_ids_move_in_16_bits_where_they_fit_and_come_out_in_32(spark):
+    docs = spark.createDataFrame([(k, "a" * k + ("z" if k % 2 else ""), "en", "s", k) for k in range(1, 40)], DOCS)
+
+    def load():
+        return lambda text: [70_000 if letter == "z" else 65_535 for letter in text]
+
+    moved = packing.token_pieces(docs, load, "doc_id", "text", 16, 2, narrow=True).collect()
+    assert all(len(r.ids) == r.length * (4 if r.doc_id % 2 else 2) for r in moved)
+    got = {}
+    for r in sorted(packing.pack(docs, load, size=16).collect(), key=lambda r: (r.doc_id, r.piece)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == {k: [65_535] * k + [70_000] * (k % 2) + [2] for k in range(1, 40)}
+
+
 def test_packing_nothing(spark):
     assert packing.pack(nothing(spark), public_bpe()).count() == 0
 

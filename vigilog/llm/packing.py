@@ -16,6 +16,8 @@ from vigilog.llm.common import parts
 SEQUENCE = 1024
 END_ID = 2
 PART_BYTES = 24 << 20
+#: Pieces whose ids have 32 bits at a time.
+PIECES_AT_ONCE = 1024
 
 Encode = Callable[[str], list]
 
@@ -48,10 +50,13 @@ def byte_bpe(ranks: str, vocabulary: str, pattern: str) -> Callable[[], Encode]:
     return load
 
 
-def token_pieces(docs: DataFrame, load: Callable[[], Encode], key: str, text: str, longest: int, end_id: int) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, load: Callable[[], Encode], key: str, text: str, longest: int, end_id: int, narrow: bool = False
+) -> DataFrame:
     """``key, piece, start, length, ids``: the token ids (little-endian unsigned 32-bit) of each document's pieces.
 
-    A document of more than ``longest`` ids is cut so that all pieces but the first are full.
+    A document of more than ``longest`` ids is cut so that all pieces but the first are full. If ``narrow``, the ids of
+    documents whose ids allow it have 16 bits.
     """
     schema = StructType(
         [
@@ -72,7 +77,7 @@ def token_pieces(docs: DataFrame, load: Callable[[], Encode], key: str, text: st
                 for place, value in enumerate(some.column(1)):
                     ids = encode(value.as_py() or "")
                     ids.append(end_id)
-                    stored = np.array(ids, dtype="<u4")
+                    stored = np.array(ids, dtype="<u2" if narrow and max(ids) < 1 << 16 else "<u4")
                     start, piece = 0, 0
                     while start < len(stored):
                         end = start + ((len(stored) - start) % longest or longest)
@@ -93,6 +98,13 @@ def token_pieces(docs: DataFrame, load: Callable[[], Encode], key: str, text: st
     return docs.select(key, text).mapInArrow(cut, schema)
 
 
+def _widened(some: pa.RecordBatch) -> pa.RecordBatch:
+    """The pieces with ids of 32 bits each."""
+    lengths, stored = some.column("length").to_pylist(), some.column("ids")
+    ids = [np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}").astype("<u4").tobytes() for x, n in zip(stored, lengths)]
+    return some.set_column(some.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
+
+
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The bin and the place in it of each item; every length is from 1 to ``size``.
 
@@ -173,7 +185,7 @@ def pack(
     together, so a part that is computed again may place them otherwise: write the result once.
     """
     docs = docs.select(key, text)
-    pieces = token_pieces(docs, load, key, text, size, end_id)
+    pieces = token_pieces(docs, load, key, text, size, end_id, narrow=True)  # a part's ids are held, and moved, in half the bytes
     dealt = pieces.repartition(parts(docs, text, part_bytes))
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
@@ -185,6 +197,6 @@ def pack(
         bins, places = best_two_fit(found.column("length").to_numpy(), size)
         bins = bins + (TaskContext.get().partitionId() << 32)
         found = found.append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(places))
-        yield from found.to_batches(4096)
+        yield from map(_widened, found.to_batches(PIECES_AT_ONCE))
 
     return dealt.mapInArrow(packed, schema)
