@@ -35,7 +35,8 @@ def _splitters(runs: DataFrame, n: int, segments: int) -> np.ndarray:
         return keys[np.arange(1, segments) * len(keys) // segments]
     every = m // segments
     few = max(2, math.isqrt(SAMPLES_FETCHED // 2))  # so that the samples of the samples can be fetched
-    some = ranked(samples.withColumnRenamed("at", "__at"), "score", "tie", segments=few).where(F.col("rank") % every == 0)
+    runs = samples.coalesce(few).withColumnRenamed("at", "__at")  # every run gives a sample, so there must be few runs too
+    some = ranked(runs, "score", "tie", segments=few).where(F.col("rank") % every == 0)
     rows = some.orderBy("rank").limit(segments - 1).collect()  # one row a segment
     return np.array([(r["score"], r["tie"], r["__at"]) for r in rows], np.int64)
 
