@@ -157,6 +157,15 @@ def test_trees_and_thresholds_come_from_all_candidates(spark, monkeypatch):
     assert seen[0].count() < n / 2  # candidates alike are one row
 
 
+def test_trees_stand_in_the_plan_once(spark):
+    docs = rows_of(spark, [*TRICKY[:7], "call 4539148803436467 4539148803436467 now"])
+    selector = pii.Selector([("digits", 13.0625, -1.0, ("luhn", 0.5, -0.5, 1.0))], [1.0], {"card": 0.5})
+    spans = pii.find_spans(docs, selector)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("13.0625") == 1 and plan.count("is_email") <= 2 * len(pii.KINDS)
+    assert [tuple(s) for s in spans.orderBy(F.desc("doc_id")).first().spans] == [(5, 2, 21), (22, 2, 38)]
+
+
 def test_redaction(spark):
     docs = rows_of(spark, [*TRICKY[:7], "no", "x a@b.co y"])
     found = pii.find_spans(docs, pii.Selector())

@@ -192,19 +192,26 @@ def features(text: Column, kind: str, span: Column) -> Column:
 
 
 def candidates(text: Column, score=None) -> Column:
-    """All candidates as ``start, end, kind`` with ``label`` and ``features``, or with ``score``, a function of the features."""
+    """All candidates as ``start, end, kind`` with ``label`` and ``features``, or with ``score``, a function of the features.
 
-    def of(rank: int, kind: str, pattern: str) -> Column:
+    Features stand in the plan once for each kind and the score, which may be large, once.
+    """
+
+    def of(rank: int, kind: str) -> Column:
         def described(span: Column) -> Column:
             made = [span["start"].alias("start"), span["end"].alias("end"), F.lit(rank).alias("kind")]
             if score is None:
-                label = F.coalesce(evidence(text, kind, span), F.lit(False)).cast("double").alias("label")
-                return F.struct(*made, label, features(text, kind, span).alias("features"))
-            return F.struct(*made, let(features(text, kind, span), score).alias("score"))
+                made.append(F.coalesce(evidence(text, kind, span), F.lit(False)).cast("double").alias("label"))
+            return F.struct(*made, features(text, kind, span).alias("features"))
 
-        return F.transform(_look(text, kind, pattern), described)
+        return F.transform(F.concat(*[_look(text, kind, pattern) for pattern in CANDIDATES[kind]]), described)
 
-    return F.concat(*[of(rank, kind, pattern) for rank, kind in enumerate(KINDS) for pattern in CANDIDATES[kind]])
+    every = F.concat(*[of(rank, kind) for rank, kind in enumerate(KINDS)])
+    if score is None:
+        return every
+    return F.transform(
+        every, lambda c: F.struct(*[c[name].alias(name) for name in ("start", "end", "kind")], score(c["features"]).alias("score"))
+    )
 
 
 @dataclass(frozen=True)
