@@ -1,13 +1,14 @@
 """Joins on shingle sets against all pairs, their bounds, and how their work grows with a group of near copies."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import edge_rows, edges, lower, nothing, words
 
-from vigilog.llm import neardup, prefix_join, setjoin
+from vigilog.llm import neardup, prefix_join, setjoin, strings
 from vigilog.llm.neardup import near_duplicates
 from vigilog.llm.prefix_join import _meets, jaccard_join, least_common, prefix_of
 
@@ -184,3 +185,19 @@ def test_only_the_result_of_the_pipeline_is_left(spark):
     done = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     left = set(os.listdir(folder)) - before
     assert len(left) == 1 and left.pop().startswith("packing") and done.count() > 0
+
+
+def test_texts_are_taken_a_little_at_a_time():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(VOCABULARY, k=700)) if k % 9 else None for k in range(1_500)] + ["long " * 200_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = [part.column(1).to_pylist() for part in setjoin.in_parts(batch, 1)]
+    assert [t for part in parts for t in part] == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= setjoin.TEXT_AT_ONCE for part in parts)
+    strings._powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    tracemalloc.start()
+    for part in setjoin.in_parts(batch.slice(0, 1_500), 1):
+        setjoin.shingle_sets(part.column(1).to_pylist(), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20

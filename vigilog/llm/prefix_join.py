@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from vigilog.llm.common import materialize
-from vigilog.llm.setjoin import classes_of, linked, named, shingle_sets, signatures, verified
-from vigilog.llm.strings import gathered
+from vigilog.llm.setjoin import classes_of, in_parts, linked, named, shingle_sets, signatures, verified
 from vigilog.session import tidy
 
 SHINGLE = 3
@@ -22,6 +21,8 @@ PARITIES = 2
 #: Counters of token frequencies. They only order tokens and estimate costs, so their collisions cost time, never links.
 SLOTS = 1 << 20
 BLOCK = 1 << 12
+#: Tokens that a task gathers before it counts them.
+TOKENS_AT_ONCE = 1 << 18
 #: The most tokens that a prefix asks for, and the cost of carrying a token further, in that of comparing one token of a pair.
 MOST_MATCHES = 8
 CARRIED = 0.05
@@ -34,12 +35,20 @@ def slot_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total, held, n = np.zeros(SLOTS, np.int64), [np.zeros(0, np.uint64)], 0
+
+        def add() -> None:
+            nonlocal total
+            total += np.bincount((np.concatenate(held) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for begin, end in gathered([len(t or "") for t in texts]):
-                tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts[begin:end], SHINGLE)])
-                total += np.bincount((tokens % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for part in in_parts(batch, 0):
+                sets = shingle_sets(part.column(0).to_pylist(), SHINGLE)
+                held, n = held + sets, n + sum(map(len, sets))
+                if n >= TOKENS_AT_ONCE:
+                    add()
+                    held, n = held[:1], 0
+        add()
         blocks = [part.tobytes() for part in total.reshape(-1, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "counts"])
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, LongType, StructField, StructType
@@ -23,9 +24,10 @@ from vigilog.llm.graph import components
 from vigilog.llm.strings import gathered, sequence_hashes, word_hashes
 
 UNIT = 256
-#: Pairs of places in units of one task, and 64-bit words of parities that it holds at once.
+#: Pairs of places in units of one task, and 64-bit words of parities and bytes of texts that it works on at once.
 BUNDLE_ROWS = 20_000
-WORDS_AT_ONCE = 1 << 21
+WORDS_AT_ONCE = 1 << 18
+TEXT_AT_ONCE = 1 << 18
 BROADCAST_ROWS = 500_000
 #: How many others of different components a class is compared with in each round, in how many of its lists; after these, with all in all.
 ROUNDS = (2, 32)
@@ -45,6 +47,12 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return [shingle_set(words[firsts[k] : firsts[k + 1]], size) for k in range(len(texts))]
 
 
+def in_parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about TEXT_AT_ONCE bytes of its texts, one row at least; only a slice's texts need be Python strings."""
+    for begin, end in gathered(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), TEXT_AT_ONCE):
+        yield batch.slice(begin, end - begin)
+
+
 def digest(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
@@ -104,10 +112,8 @@ def signatures(
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for begin, end in gathered([len(t or "") for t in texts]):
-                sets = shingle_sets(texts[begin:end], size)
-                part = batch.slice(begin, end - begin)
+            for part in in_parts(batch, 2):
+                sets = shingle_sets(part.column(2).to_pylist(), size)
                 own = [
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) for s in sets], pa.binary()),
@@ -144,10 +150,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for begin, end in gathered([len(t or "") for t in texts]):
-                part = batch.slice(begin, end - begin)
-                sets = shingle_sets(texts[begin:end], size)
+            for part in in_parts(batch, 2):
+                sets = shingle_sets(part.column(2).to_pylist(), size)
                 own = [(c, s.tobytes()) for c, s, name in zip(part.column(0).to_pylist(), sets, part.column(1).to_pylist()) if digest(s) == name]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], schema.names)
 
