@@ -127,6 +127,43 @@ def test_costly_prefixes_are_longer():
     assert prefix_of(tokens, rare)[1] == 1 and prefix_of(tokens, frequent)[1] == prefix_join.MOST_MATCHES
 
 
+@pytest.mark.parametrize("percent, each", [(75, 4), (90, 2)])
+def test_coarse_parities_hide_no_link_and_tell_unrelated_sets_apart(percent, each):
+    rng = np.random.default_rng(percent)
+    for n in (1, 20, 400, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        others = [np.unique(np.concatenate((a[k:], rng.integers(0, 2**63, k).astype(np.uint64)))) for k in {0, n // 50, n // 20, n // 10, n // 8, n}]
+        bits = [setjoin.coarser(setjoin.parities(x, each)) for x in (a, *others)]
+        assert all(len(x) <= max(8, each * n // 16) for x in bits)
+        for b, held in zip(others, bits[1:]):
+            common = len(np.intersect1d(a, b))
+            link = 100 * common >= percent * (len(a) + len(b) - common)
+            allowed = setjoin.may_link((np.array([len(a)]), np.array([len(b)])), ([bits[0]], [held]), percent)[0][0]
+            assert allowed or not link
+            assert not allowed or common or n < 400
+    assert setjoin.coarser(None) is None
+
+
+def test_unrelated_classes_that_share_lists_are_not_fetched(spark, monkeypatch):
+    # each two texts share a passage, so that they share tokens of their prefixes and have sizes that allow a link
+    rng, n, rows = random.Random(6), 16, []
+    shared = {(i, j): " ".join(rng.choices(VOCABULARY, k=60)) for i in range(n) for j in range(i)}
+    for k in range(n):
+        mine = [text for pair, text in shared.items() if k in pair]
+        rng.shuffle(mine)
+        rows.append((k, " ".join(mine)))
+    seen, plain_materialize = {}, setjoin.materialize
+
+    def counting(df, name, *rest):
+        made = plain_materialize(df, name, *rest)
+        seen[name] = seen.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(setjoin, "materialize", counting)
+    assert found(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows, 3, 90)
+    assert seen["lists"] >= n and seen["fetched"] == 0, seen
+
+
 def verified_pairs(monkeypatch):
     counts = []
     plain_verified = setjoin.verified

@@ -4,7 +4,8 @@ Rows with one set form a class and only classes are compared. An operator puts c
 shared token) such that any two classes that link share a list. Each list's members first meet its first class only.
 Then, in lists whose members still lie in several components, members of different components meet, in units
 of UNIT by UNIT classes: first, in a few of its lists, each with the few whose parities are nearest, then, as what links has merged,
-with more, at last with all in all its lists. Before two sets are compared in full, their sizes and their parities must allow the link.
+with more, at last with all in all its lists. Before two sets are compared in full, their sizes and their parities must allow the link;
+first their parities over few places, so that pairs that share a list by chance move little.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BROADCAST_ROWS = 500_000
 #: How many others of different components a class is compared with in each round, in how many of its lists; after these, with all in all.
 ROUNDS = (2, 32)
 LISTS = 4
+#: How many times fewer places (64 at least) the parities have that every pair of a list meets by.
+COARSER = 4
 
 Payload = Callable[[list[np.ndarray]], list[pa.Array]]
 Meets = Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]
@@ -79,6 +82,14 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def coarser(bits: bytes | None) -> bytes | None:
+    """A set's parities over COARSER times fewer places, 64 at least; like all parities they never hide a link."""
+    if bits is None:
+        return None
+    words = np.frombuffer(bits, np.uint64)[None]
+    return folded(words, max(1, words.shape[1] // COARSER)).tobytes()
+
+
 def may_link(
     sizes: tuple[np.ndarray, np.ndarray], bits: tuple[list[bytes], list[bytes]], percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +117,20 @@ def may_link(
 def signatures(
     docs: DataFrame, key: str, text: str, size: int, each: int, payload: dict[str, DataType], made: Payload
 ) -> DataFrame:
-    """For each row its key, a hash of its text, its set's size ``n``, digest ``set`` and parities ``bits``, and the payload."""
-    own = [StructField("n", LongType()), StructField("set", BinaryType()), StructField("bits", BinaryType())]
+    """For each row its key, a hash of its text, its set's size ``n``, digest ``set``, parities ``bits`` and ``coarse``, and the payload."""
+    own = [StructField("n", LongType()), *(StructField(c, BinaryType()) for c in ("set", "bits", "coarse"))]
     schema = StructType([docs.schema[key], StructField("text_hash", LongType()), *own, *(StructField(c, t) for c, t in payload.items())])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_parts(batch, 2):
                 sets = shingle_sets(part.column(2).to_pylist(), size)
+                bits = [parities(s, each) for s in sets]
                 own = [
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) for s in sets], pa.binary()),
-                    pa.array([parities(s, each) for s in sets], pa.binary()),
+                    pa.array(bits, pa.binary()),
+                    pa.array(map(coarser, bits), pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, *made(sets)], schema.names)
 
@@ -125,10 +138,10 @@ def signatures(
 
 
 def classes_of(signed: DataFrame, key: str, payload: list[str]) -> DataFrame:
-    """One row ``cid, doc, text_hash, set, n, bits`` and the payload for each different set; ``doc, text_hash`` lead to one of its rows."""
+    """One row ``cid, doc, text_hash, set, n, bits, coarse`` and the payload for each different set; ``doc, text_hash`` lead to one of its rows."""
     row = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("doc"), "text_hash")
-    grouped = signed.where("n > 0").groupBy("set").agg(F.min(row).alias("row"), *[F.first(c).alias(c) for c in ("n", "bits", *payload)])
-    named = grouped.select("set", "row.doc", "row.text_hash", "n", "bits", *payload)
+    grouped = signed.where("n > 0").groupBy("set").agg(F.min(row).alias("row"), *[F.first(c).alias(c) for c in ("n", "bits", "coarse", *payload)])
+    named = grouped.select("set", "row.doc", "row.text_hash", "n", "bits", "coarse", *payload)
     return materialize(named.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
@@ -174,21 +187,30 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     return materialize(beside.select("a", "b", "left", "right").mapInArrow(compared, "a long, b long"), "links")
 
 
-def _met(pairs: DataFrame, classes: DataFrame, percent: int, carried: list[str], meets: Meets | None, bits: bool) -> DataFrame:
-    """The distinct pairs that sizes, parities (if ``bits``) and ``meets`` allow."""
-    kept = ["n", *["bits"] * bits, *carried]
+def _met(pairs: DataFrame, classes: DataFrame, percent: int, carried: list[str], meets: Meets | None, coarse: bool) -> DataFrame:
+    """The distinct pairs that sizes, parities and ``meets`` allow; parities over few places (if ``coarse``) are tried before all is fetched."""
+    pairs = pairs.select("a", "b").distinct()
+    if coarse:
+        pairs = _allowed(pairs, classes, percent, "coarse", [], None)
+    pairs = materialize(pairs, "met")
+    wanted = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "asked")
+    few = wanted.count() <= BROADCAST_ROWS
+    fetched = classes.select("cid", "n", "bits", *carried).join(F.broadcast(wanted) if few else wanted, "cid")
+    return _allowed(pairs, materialize(fetched, "fetched"), percent, "bits", carried, meets)
+
+
+def _allowed(pairs: DataFrame, classes: DataFrame, percent: int, bits: str, carried: list[str], meets: Meets | None) -> DataFrame:
+    kept = ["n", bits, *carried]
     sides = [classes.select(F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in kept]) for s in "ab"]
     close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    rows = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b").where(close)
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").where(close)
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table, m = pa.Table.from_batches([batch]), batch.num_rows
             both = pa.table({c: pa.chunked_array([table[f"{c}_a"].combine_chunks(), table[f"{c}_b"].combine_chunks()]) for c in kept})
-            keep = np.arange(m)
-            if bits:
-                n, held = both["n"].to_numpy(), both["bits"].to_pylist()
-                keep = np.flatnonzero(may_link((n[:m], n[m:]), (held[:m], held[m:]), percent)[0])
+            n, held = both["n"].to_numpy(), both[bits].to_pylist()
+            keep = np.flatnonzero(may_link((n[:m], n[m:]), (held[:m], held[m:]), percent)[0])
             if meets is not None:
                 keep = keep[meets(both, keep, m + keep)]
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], ["a", "b"])
@@ -197,7 +219,7 @@ def _met(pairs: DataFrame, classes: DataFrame, percent: int, carried: list[str],
 
 
 def _across(units: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs of members of a unit in different components that sizes and parities allow.
+    """Pairs of members of a unit in different components that sizes and parities over few places allow.
 
     Each member meets the ``most`` nearest of these in a unit.
     """
@@ -207,7 +229,7 @@ def _across(units: DataFrame, percent: int, most: int | None) -> DataFrame:
         table = table.combine_chunks()
         unit = table["unit"].combine_chunks().dictionary_encode().indices.to_numpy()
         left, right, cid, label, n = (table[c].to_numpy() for c in ("left", "right", "cid", "label", "n"))
-        bits = table["bits"].to_pylist()
+        bits = table["coarse"].to_pylist()
         found = [np.zeros((0, 3), np.int64)]
 
         def settle(pairs: list[np.ndarray]) -> None:
@@ -277,7 +299,7 @@ def linked(
             pairs = materialize(pairs.groupBy("a", "b").agg(F.min("distance").alias("distance")).withColumn("place", F.row_number().over(near)), "near")
             pairs = pairs.where(F.col("place") <= most)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = verify(pairs if meets is None else _met(pairs, classes, percent, carried, meets, False))
+        more = verify(_met(pairs, classes, percent, carried, meets, False))
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
@@ -310,12 +332,12 @@ def _units(apart: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
     others = F.sequence(F.lit(0), F.col("blocks") - 1) if most is None else F.array("block")
     rows = apart.agg(F.sum(F.size(others)).alias("n")).first()["n"] or 0
     bundles = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUNDLE_ROWS))
-    placed = apart.join(classes.select("cid", "n", "bits"), "cid").withColumn("other", F.explode(others))
+    placed = apart.join(classes.select("cid", "n", "coarse"), "cid").withColumn("other", F.explode(others))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     unit = F.xxhash64("bucket", low, high)
     return placed.select(
         F.pmod(unit, F.lit(bundles)).alias("bundle"), unit.alias("unit"), (F.col("block") == low).alias("left"),
-        (F.col("block") == high).alias("right"), "cid", "label", "n", "bits",
+        (F.col("block") == high).alias("right"), "cid", "label", "n", "coarse",
     )
 
 
