@@ -196,6 +196,34 @@ def test_requests_are_exchanged_once_and_texts_move_once(spark):
     assert len(with_texts) == 2 and "requests" not in plan  # texts and answers, by chunk
 
 
+def test_substrings_stop_at_the_longest_piece_that_can_begin_there(spark, monkeypatch):
+    pieces = ["ab", "abcdef", "abcx", "b", "bc", "cde", "▁a"]
+    words = ["abcdefgh", "abcxabcd", "▁abab", "xyz", "bc"]
+    rows = spark.createDataFrame([(0, k, w) for k, w in enumerate(words)], "shard int, number int, word string")
+    table = spark.createDataFrame([(p, -float(k)) for k, p in enumerate(pieces)], "piece string, score double")
+    for shortest in (1, 2):
+        got = sentencepiece_lattice.lattice(rows, table, 6, shortest)
+        every = {(k, a, b) for k, w in enumerate(words) for a in range(len(w)) for b in range(a + shortest, len(w) + 1)}
+        assert {(r.number, r.start, r.end) for r in got.collect()} == {
+            (k, a, b) for k, a, b in every if words[k][a:b] in pieces or shortest == 1 and b - a == 1
+        }
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "max(" in plan  # the longest piece with the same first characters
+
+
+def test_the_model_is_read_once(spark, monkeypatch):
+    loads, model = spark.sparkContext.accumulator(0), sentencepiece_lattice.Pieces.load(PIECES)
+    plain_load = sentencepiece_lattice.Pieces.load
+
+    def loading(path):
+        loads.add(1)
+        return plain_load(path)
+
+    monkeypatch.setattr(sentencepiece_lattice.Pieces, "load", loading)
+    docs = materialize(more_texts(spark), "texts")
+    assert sentencepiece_lattice.encode(docs, model, chunk_bytes=1 << 17).count() == docs.count() and loads.value == 0
+
+
 def test_best_paths_are_those_of_a_unigram_model(spark, tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(PIECES, "rb") as data:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ BLANK = "▁"
 LATTICE = 48
 CHUNK_BYTES = 24 << 20
 SHARDS_PER_CHUNK = 4
-LEVEL = 6
+LEVEL = 3
+#: Characters of a place in a word by which the longest piece that can begin there is known.
+HEAD = 4
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -78,23 +83,34 @@ class Pieces:
         return found
 
 
-_SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
+_SEGMENT = re.compile(" *[^ \n]+| +|\n+")
 
 
 def segments(text: str) -> list[str]:
-    """The words of a text that no piece crosses: blanks and what follows them, and line ends apart."""
-    return _SEGMENT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    """The words of a text that no piece crosses, with spaces for the model's blanks: blanks and what follows them, and line ends apart."""
+    return _SEGMENT.findall(" " + text.replace(BLANK, " ")) if text else []
+
+
+def numbered(texts: list[str | None]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """The distinct words of texts with their numbers, in the order first met, and each text's words as numbers."""
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    each = [np.fromiter(map(number.__getitem__, found), np.int32, len(found)) for found in (segments(t or "") for t in texts)]
+    return dict(number), each
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int) -> DataFrame:
     """``shard, number, start, end, score``: all pieces of ``shortest`` characters and more in each word.
 
-    Substrings of up to ``longest`` characters are exploded and joined with the pieces by equality. Single characters
-    that are no piece have a null score. The rows keep the partitioning of the words.
+    Substrings of up to ``longest`` characters, and no longer than the longest piece with the same HEAD first characters, are
+    exploded and joined with the pieces by equality. Single characters that are no piece have a null score. The rows keep the
+    partitioning of the words.
     """
     start = words.select("shard", "number", "word", F.explode(F.sequence(F.lit(0), F.length("word") - shortest)).alias("start"))
-    length = F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("word") - F.col("start"))))
-    each = start.select("shard", "number", "word", "start", length.alias("n"))
+    heads = pieces.groupBy(F.substring("piece", 1, HEAD).alias("head")).agg(F.max(F.length("piece")).alias("most"))
+    start = start.withColumn("head", F.substring("word", F.col("start") + 1, F.lit(HEAD))).join(F.broadcast(heads), "head", "left")
+    # without that head, pieces here are shorter than it
+    most = F.greatest(F.lit(shortest), F.least(F.lit(longest), F.length("word") - F.col("start"), F.coalesce("most", F.lit(HEAD - 1))))
+    each = start.select("shard", "number", "word", "start", F.explode(F.sequence(F.lit(shortest), most)).alias("n"))
     each = each.select("shard", "number", "start", "n", F.substring("word", F.col("start") + 1, F.col("n")).alias("piece"))
     edges = each.join(F.broadcast(pieces), "piece", "left" if shortest == 1 else "inner")
     if shortest == 1:
@@ -190,9 +206,7 @@ def _restored(data: bytes):
 
 
 def _shard(word: str, shards: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % shards
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % shards
 
 
 def _chunks_of(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[pa.Array], list[str | None]]]:
@@ -242,7 +256,7 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
         for number, _, texts in _chunks_of(batches, chunk_bytes):
             wanted: list[list[str]] = [[] for _ in range(n)]
             for word in sorted({word for value in texts for word in segments(value or "")}):
-                wanted[_shard(word, n)].append(word)
+                wanted[_shard(word, n)].append(word.replace(" ", BLANK))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(n), pa.int32()), pa.array([number] * n, pa.int64()), pa.array(map(_stored, wanted), blob)], asked.names
             )
@@ -265,33 +279,43 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
     cut = cut_words(words, model)
     answered = StructType([StructField("chunk", LongType()), StructField("shard", IntegerType()), StructField("ids", BinaryType())])
     path, kind_of = model.path, np.uint16 if len(model.ids) < 65_000 else np.uint32
+    ids_of, bytes_at, means = model.ids, model.bytes_at, model.meanings()
 
     def answer(group: tuple, cuts: pa.Table, rows: pa.Table) -> pa.Table:
-        model, library, known = Pieces.load(path), None, {}
-        means, odd = model.meanings(), set()
+        library, known, odd = None, {}, set()
         masks = dict(zip(cuts.column("number").to_pylist(), cuts.column("cuts").to_pylist()))
 
-        def learn(word: str, ids: list[int]) -> None:
-            known[word] = ids
+        def check(word: str, ids: list[int]) -> None:
             if b"".join([means[i] for i in ids]) != word.replace(BLANK, " ").encode("utf-8", "surrogatepass"):
                 odd.add(word)
 
         for number, word in enumerate(short(rows)):
-            mask, ids, at = masks.get(number, -1), [], 0
-            for end in range(1, len(word) + 1):
-                if end == len(word) or mask >> end & 1:
-                    ids += model.spelled(word[at:end])
-                    at = end
-            learn(word, ids)
+            last, ids, at, ordinary = 1 << len(word), [], 0, True
+            left = masks.get(number, -1) & (last - 2) | last
+            while left:
+                end = (left & -left).bit_length() - 1
+                left &= left - 1
+                piece = word[at:end]
+                if piece in ids_of:
+                    ids.append(ids_of[piece])
+                else:
+                    ids += [bytes_at[b] for b in piece.encode("utf-8", "surrogatepass")]
+                    ordinary = False
+                at = end
+            known[word] = ids
+            if not ordinary:  # ordinary pieces stand for what they spell
+                check(word, ids)
         replies = []
         for x in rows.column("words"):
             wanted = _restored(x.as_py())
             for word in wanted:
                 if word not in known:
                     library = library or _Library(path)
-                    learn(word, library.encode(word))
-            flat = np.array([i for w in wanted for i in known[w]], kind_of)
-            replies.append(_stored(([len(known[w]) for w in wanted], flat, [w in odd for w in wanted] if odd else None)))
+                    known[word] = library.encode(word)
+                    check(word, known[word])
+            lists = [known[w] for w in wanted]
+            flat = np.fromiter(chain.from_iterable(lists), kind_of)
+            replies.append(_stored((np.fromiter(map(len, lists), np.int32), flat, [w in odd for w in wanted] if odd else None)))
         shard = [group[0].as_py()] * rows.num_rows
         return pa.Table.from_arrays([rows.column("chunk"), pa.array(shard, pa.int32()), pa.array(replies, blob)], answered.names)
 
@@ -300,8 +324,7 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
 
     def assemble(group: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         texts = _restored(rows.column("texts")[0].as_py())
-        number: dict[str, int] = {}  # of each distinct word, in the order first met
-        each = [np.array([number.setdefault(w, len(number)) for w in segments(t or "")], np.int32) for t in texts]
+        number, each = numbered(texts)
         wanted: list[list[str]] = [[] for _ in range(n)]
         for word in sorted(number):
             wanted[_shard(word, n)].append(word)
@@ -310,7 +333,7 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
             raise RuntimeError("the answers are those of another chunk")
         place = np.array([number[w] for words in wanted for w in words], np.int64)
         lengths, starts, odd = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), np.zeros(len(place), bool)
-        answered = np.array([x for s in range(n) for x in shards[s][0]], np.int64)
+        answered = np.concatenate([shards[s][0] for s in range(n)]).astype(np.int64)
         lengths[place], starts[place] = answered, np.cumsum(answered) - answered
         odd[place] = [x for s in range(n) for x in shards[s][2] or [False] * len(wanted[s])]
         flat = np.concatenate([shards[s][1] for s in range(n)])
@@ -320,7 +343,8 @@ def encode(docs: DataFrame, model: Pieces, key: str = "doc_id", text: str = "tex
         ids = flat[np.repeat(starts[words] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         of_text = np.cumsum([0, *map(len, each)])
         offsets = pa.array(np.concatenate(([0], ends))[of_text], pa.int32())
-        back = [not t or not (odd[w].any() or BLANK in t) for t, w in zip(texts, each)]
+        odd_before = np.concatenate(([0], np.cumsum(odd[words])))[of_text]
+        back = (np.diff(odd_before) == 0) & ~np.array([BLANK in (t or "") for t in texts])
         gone = pa.array([t is None for t in texts])
         lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=gone)
         keys = rows.column("keys").combine_chunks().flatten()
