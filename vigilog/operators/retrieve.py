@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from vigilog.sources.vector_index import load_documents_of, load_index, load_piv
 _NULL_SOURCE = "\u0000"
 #: Before every scope that is a term, so that no source can be taken for ANY_SCOPE.
 _TERM = "="
+#: How many bytes of neighbours' texts ``with_context`` fetches at a time: so many times those of the index, and at least so many.
+TEXTS_AT_ONCE = 1.5
+LEAST_BYTES = 128 << 20
 
 
 def resolve_sources(sources: DataFrame, index_sources: DataFrame) -> DataFrame:
@@ -134,7 +138,35 @@ def retrieve_context(hits: DataFrame, index: DataFrame) -> DataFrame:
     The texts are fetched for the neighbours only. A text that is a neighbour of very many queries is
     a hot key of that join and is spread.
     """
-    kept = materialize(hits.select("qid", "doc_id", "label", "score", "rank"), "hits")
+    return _contexts(_kept(hits), index)
+
+
+def with_context(
+    queries: DataFrame, hits: DataFrame, index: DataFrame, use: Callable[[DataFrame], DataFrame], name: str
+) -> DataFrame:
+    """What ``use`` makes of the queries with their ``context`` (null without neighbours), written.
+
+    A text is fetched once for each query that it is a neighbour of, so all of them may be many times the index's
+    own. They are fetched for a share of the queries at a time, and go when what is made of that share is written:
+    the disk that they take follows the index's texts. ``use`` works row by row and is called for each share.
+    """
+    kept = _kept(hits)
+    sizes = index.select("doc_id", F.octet_length("log").alias("bytes"))
+    wanted = salted_join(kept, sizes, ["doc_id"], ["qid"]).agg(F.sum("bytes")).first()[0] or 0
+    at_once = max(int(TEXTS_AT_ONCE * (sizes.agg(F.sum("bytes")).first()[0] or 0)), LEAST_BYTES)
+    shares = max(1, -(-wanted // at_once))
+    done = []
+    for share in range(shares):
+        asked, found = (df.where(F.pmod(F.xxhash64("qid"), F.lit(shares)) == share) for df in (queries, kept))
+        done.append(materialize(use(asked.join(_contexts(found, index), "qid", "left")), name))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _kept(hits: DataFrame) -> DataFrame:
+    return materialize(hits.select("qid", "doc_id", "label", "score", "rank"), "hits")
+
+
+def _contexts(kept: DataFrame, index: DataFrame) -> DataFrame:
     texts = salted_join(kept, index.select("doc_id", "log"), ["doc_id"], ["qid"])
     entry = F.struct("rank", "log", "label", "score")
     return (

@@ -6,7 +6,7 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -25,17 +25,23 @@ RESULT_FIELDS = [
 
 
 def score_with(
-    df: DataFrame, open_model: Callable[[], Call], id_col: str, partitions: int | None = None, concurrency: int = 1
+    df: DataFrame,
+    open_model: Callable[[], Call],
+    id_col: str,
+    partitions: int | None = None,
+    concurrency: int = 1,
+    without: Sequence[str] = (),
 ) -> DataFrame:
     """Send ``system_prompt`` and ``user_prompt`` of every row to a model.
 
     ``open_model`` runs once per task and returns a function from the two prompts to an HTTP status
     and a body. At most ``partitions * concurrency`` calls run at once. A failing call fills
     ``error`` and does not fail the task. A lost task repeats its calls, so write the result once
-    (``materialize``) before several actions read it.
+    (``materialize``) before several actions read it. Columns that the result does without, like the prompts, do not leave
+    the task.
     """
     spread = df if partitions is None else df.repartition(partitions, id_col)
-    schema = T.StructType([*df.schema.fields, *RESULT_FIELDS])
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in without], *RESULT_FIELDS])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = open_model()
@@ -53,7 +59,7 @@ def score_with(
             for batch in batches:
                 answers = list(each(one, zip(batch["system_prompt"], batch["user_prompt"])))
                 bodies, statuses, errors, seconds = zip(*answers) if answers else ((), (), (), ())
-                yield batch.assign(
+                yield batch.drop(columns=list(without)).assign(
                     raw_response=pd.Series(bodies, batch.index, dtype=object),
                     http_status=pd.Series(statuses, batch.index, dtype="Int64"),
                     error=pd.Series(errors, batch.index, dtype=object),

@@ -14,12 +14,15 @@ from vigilog.functions.responses import read_alert_responses, read_label_respons
 from vigilog.functions.vectors import embed_hash
 from vigilog.operators.knn import Pivots
 from vigilog.operators.metrics import class_report, confusion, overall_report, run_summary
-from vigilog.operators.retrieve import retrieve, retrieve_context
+from vigilog.operators.retrieve import retrieve, with_context
 from vigilog.operators.scoring import Call, score_with
 from vigilog.operators.vote import predict
 from vigilog.session import materialize
 
 
+PROMPTS = ["system_prompt", "user_prompt"]
+
+
 @dataclass(frozen=True)
 class Evaluation:
     """Scored rows (written once) and the tables derived from them."""
@@ -75,7 +78,8 @@ def evaluate_model(
 ) -> Evaluation:
     """A model reads each row on its own."""
     prompted = binary_prompt(rows) if binary else direct_prompt(rows, closed=strict_labels)
-    return _score(prompted, open_model, id_col, strict_labels, binary, partitions, concurrency)
+    answered = materialize(score_with(prompted, open_model, id_col, partitions, concurrency, PROMPTS), "answers")
+    return _read(answered, strict_labels, binary)
 
 
 def evaluate_with_context(
@@ -94,15 +98,16 @@ def evaluate_with_context(
 ) -> Evaluation:
     """A model reads each row together with its labelled neighbours; ``hits`` may come from an earlier search."""
     hits = retrieve(queries, index, pivots, k, size, probe) if hits is None else hits
-    context = retrieve_context(hits, index)
-    rows = queries.drop("embedding").join(context, "qid", "left")
-    prompted = (binary_prompt(rows, with_context=True) if binary else context_prompt(rows)).drop("context")
-    return _score(prompted, open_model, "qid", strict_labels, binary, partitions, concurrency)
 
+    def answers(rows: DataFrame) -> DataFrame:
+        prompted = (binary_prompt(rows, with_context=True) if binary else context_prompt(rows)).drop("context")
+        return score_with(prompted, open_model, "qid", partitions, concurrency, PROMPTS)
 
-def _score(prompted, open_model, id_col, strict_labels, binary, partitions, concurrency) -> Evaluation:
-    answered = materialize(score_with(prompted, open_model, id_col, partitions, concurrency), "answers")
-    scored = read_label_responses(answered, strict_labels).drop("system_prompt", "user_prompt")
+    return _read(with_context(queries.drop("embedding"), hits, index, answers, "answers"), strict_labels, binary)
+
+
+def _read(answered: DataFrame, strict_labels: bool, binary: bool) -> Evaluation:
+    scored = read_label_responses(answered, strict_labels)
     if binary:  # both sides collapse, so that they can be compared
         scored = scored.withColumn("predicted", to_binary("predicted")).withColumn("label", to_binary("label"))
     return Evaluation(scored)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilog.functions.vectors import embed_hash, sign_code, unit
 from vigilog.operators.knn import Pivots, build_index
 from vigilog.operators.sampling import random_split
-from vigilog.session import materialize, spread
+from vigilog.session import Scratch, materialize, spread
 
 SEED = 42
 PIVOTS = 16
@@ -70,7 +70,12 @@ def document_sides(
         F.col("source") if index_source is None else index_source
     )
     rows = rows.select("doc_id", "log_message", source.alias("source"), "label", "split", embed_hash("log_message").alias("embedding"))
-    rows = materialize(rows, "embedded")
-    queries = rows.where("split = 'eval'").select(F.col("doc_id").alias("qid"), "log_message", "source", "label", "embedding")
+    embedded = Scratch(spark)
+    with embedded:
+        rows = materialize(rows, "embedded")
     docs = rows.where("split = 'train'").select("doc_id", F.col("log_message").alias("log"), "source", "label", "embedding")
-    return queries, *build_index(docs, PIVOTS, SEED)
+    index, pivots = build_index(docs, PIVOTS, SEED)
+    queries = rows.where("split = 'eval'").select(F.col("doc_id").alias("qid"), "log_message", "source", "label", "embedding")
+    queries = materialize(queries, "queries")
+    embedded.close()  # both sides are written
+    return queries, index, pivots
