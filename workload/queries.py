@@ -17,7 +17,7 @@ from vigilog.operators import counts, metrics, sampling, sinks
 from vigilog.operators import vote as V
 from vigilog.operators.knn import probe_for, search, search_quantized
 from vigilog.operators.proximity import build_graph, search_graph
-from vigilog.operators.retrieve import retrieve, retrieve_context, retrieve_stored
+from vigilog.operators.retrieve import retrieve, retrieve_context, retrieve_stored, with_context
 from vigilog.operators.rotated import frame, rotated_code, search_rotated
 from vigilog.plans import evaluation
 from vigilog.plans.ingestion import ingest
@@ -614,11 +614,15 @@ def prompt_closed(spark: SparkSession, folder: str) -> DataFrame:
 def prompt_binary_context(spark: SparkSession, folder: str) -> DataFrame:
     """Both forms that put the neighbours into the system text."""
     queries, index, pivots = document_sides(spark, folder)
-    hits = retrieve(queries, index, pivots, K)
-    rows = materialize(queries.join(retrieve_context(hits, index), "qid", "left"), "with-context")
-    forms = {"binary": prompts.binary_prompt(rows, with_context=True), "labelled": prompts.labelled_context_prompt(rows)}
-    each = [prompt_out(df, "qid").withColumn("form", F.lit(name)) for name, df in forms.items()]
-    return each[0].unionByName(each[1])
+    made = {"binary": lambda rows: prompts.binary_prompt(rows, with_context=True), "labelled": prompts.labelled_context_prompt}
+
+    def both(rows: DataFrame) -> DataFrame:
+        for form, prompt in made.items():
+            texts = [F.md5("system_prompt").alias("system_md5"), F.md5("user_prompt").alias("user_md5")]
+            rows = prompt(rows).withColumn(form, F.struct(*texts, F.lit(form).alias("form"))).drop("system_prompt", "user_prompt")
+        return rows.select("qid", F.explode(F.array(*made)).alias("made")).select("qid", "made.*")
+
+    return with_context(queries.drop("embedding"), retrieve(queries, index, pivots, K), index, both, "prompts")
 
 
 @query
