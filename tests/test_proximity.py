@@ -76,3 +76,31 @@ def test_hardly_any_documents(spark, n):
     assert [i for _, i in got.get(0, [])] == list(range(n))
     none = proximity.search_graph(rows_of(spark, np.zeros((0, 4)), "qid"), graph, K)
     assert none.count() == 0
+
+
+def test_edges_stay_in_their_segment_and_all_are_walked(spark, monkeypatch):
+    for limit, rows in (("SEGMENT_ROWS", 100), ("CHUNK_ROWS", 15), ("SEEN_AT_ONCE", 700), ("SCORES_AT_ONCE", 900)):
+        monkeypatch.setattr(proximity, limit, rows, raising=False)
+    rng = np.random.default_rng(5)
+    docs, queries = units(rng, 700, 16), units(rng, 40, 16)
+    graph = proximity.build_graph(rows_of(spark, docs, "doc_id"), edges=8)
+    nodes = {r.node: r for r in graph.nodes.select("segment", "node", "edges").collect()}
+    assert len({r.segment for r in nodes.values()}) == 7 and len(nodes) == 700
+    assert all(nodes[e].segment == r.segment and e != r.node for r in nodes.values() for e in r.edges)
+    ids = np.array([i for i in nodes if nodes[i].segment == 3])
+    scores = docs[ids] @ docs[ids].T - 3 * np.eye(len(ids))
+    assert all(set(ids[row.argsort()[-8:]]) <= set(nodes[i].edges) for i, row in zip(ids, scores))
+    hits = found(proximity.search_graph(rows_of(spark, queries, "qid"), graph, K))
+    assert all(len(hits[q]) == K for q in range(40))
+    assert recall(hits, nearest(queries, docs)) >= 0.99
+
+
+def test_a_bound_from_groups_never_hides_the_best():
+    from vigilog.operators.knn import at_least
+
+    rng = np.random.default_rng(6)
+    for width in (1, 5, 255, 300, 512, 700, 2_000):
+        for k in (1, 3, min(width, 200)):
+            scores = rng.normal(size=(20, width)).round(1).astype(np.float32)
+            kth = np.sort(scores, axis=1)[:, [max(0, width - k)]]
+            assert (at_least(scores, min(k, width)) <= kth).all()

@@ -43,6 +43,7 @@ CHUNK_ROWS = 16_384
 BUNDLE_ROWS = 16_384
 SCORES_AT_ONCE = 1_000_000
 CANDIDATES_AT_ONCE = 20_000
+GROUPS = 256
 MAX_PIVOTS = 8_192
 COPIES_RANKED = 64
 NO_DOCUMENT = -1
@@ -274,13 +275,27 @@ def _best_vectors(left: np.ndarray, right: np.ndarray, k: int) -> Found:
     Single precision finds everything that may be among them: its error is below the margin, which
     also covers scores that agree in 6 digits. The few candidates are scored in double precision.
     """
-    width, keep = len(right), min(k, len(right))
+    keep = min(k, len(right))
     products = left @ right.T
-    kth = np.partition(products, width - keep, axis=1)[:, [width - keep]]
-    rows, columns = np.nonzero(products >= kth - margin_of(left.shape[1]))
+    rows, columns = np.nonzero(products >= at_least(products, keep) - margin_of(left.shape[1]))
     return first_per_row((rows, columns, exact_values(left, right, rows, columns)), keep)
 
 
+def at_least(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that its k-th highest score reaches, as a column.
+
+    The k-th highest of the maxima of groups of columns is one, as each of these is a score, and few others
+    reach it. It takes two passes over the scores, where their exact order takes many.
+    """
+    width = scores.shape[1]
+    groups = max(GROUPS, 4 * k)
+    size = width // groups
+    if size < 2:
+        return np.partition(scores, width - k, axis=1)[:, [width - k]]
+    maxima = scores[:, : groups * size].reshape(len(scores), groups, size).max(axis=2)
+    return np.partition(maxima, groups - k, axis=1)[:, [groups - k]]
+
+
 def margin_of(size: int) -> np.float32:
     """How far products in single precision may be off, and apart while their scores agree in 6 digits."""
     return np.float32(2 * size * 2.0**-24 + 4e-6)

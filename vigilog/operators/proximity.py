@@ -1,14 +1,13 @@
 """Approximate nearest neighbours by a walk over a proximity graph.
 
-The graph is an edge table. Its nodes are the different vectors of the index; copies of a vector are members of one node.
-It is built by neighbour descent: a node first knows the nearest of the few it meets in random blocks; in each round the
-nodes that one node knows, or is known by, are compared with each other, and each keeps the ``edges`` nearest of all it has met. Only pairs
-with an edge of the last round are compared, and rounds end when less than SETTLED of the edges change (ROUNDS at most). A
-walk follows a node's edges, up to ``edges`` others that lead to it, and FAR to random nodes, which connect what would be islands.
-
-A search holds ``beam`` nodes for each query, at first the nearest of ENTRIES seeded nodes. In a round the ``wide`` nearest that are still open
-are closed and what their edges lead to is scored; the search ends when no query has an open node. A query opens a
-node once at most, so it always ends. A round sends ``wide * (2 * edges + FAR)`` vectors a query at most.
+The nodes of the graph are the different vectors of the index; copies of a vector are members of one node. Nodes are dealt into
+segments of about SEGMENT_ROWS by a hash, and edges stay within a segment, so that a task that holds a segment links it or walks
+it whole: no vector moves for an edge. A node knows the ``edges`` nearest of its segment, up to ``edges`` others that know
+it, and the FAR next ones on a random ring through the segment, which connects what would be islands.
+
+A search walks every segment with every query; what it sends are the queries once for each segment, and a segment once for
+each CHUNK_ROWS queries. A walk holds ``beam`` nodes, at first the nearest of ENTRIES seeded nodes. In a round the ``wide``
+nearest that are still open are closed and what their edges lead to is scored; it ends when no node is open. A node is scored once at most, so it always ends.
 """
 
 from __future__ import annotations
@@ -18,92 +17,69 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilog.functions.vectors import cosine_score, to_matrix
+from vigilog.functions.vectors import to_matrix
 from vigilog.operators.joins import salted_join
-from vigilog.operators.knn import rank_hits
-from vigilog.operators.sampling import order_key
+from vigilog.operators.knn import at_least, exact_values, first_per_row, rank_hits
 from vigilog.session import materialize
 
 EDGES = 24
 FAR = 4
-BLOCK = 128
-MEETINGS = 2
-BUNDLE_ROWS = 16_384
-ROUNDS = 12
-SETTLED = 0.005
+SEGMENT_ROWS = 8_192
+CHUNK_ROWS = 32_768
+#: Scores that a task holds at a time, and pairs of queries and nodes of which it knows whether they were scored.
+SCORES_AT_ONCE = 4_000_000
+SEEN_AT_ONCE = 4_000_000
 ENTRIES = 64
 
-FOUND = "node bigint, other bigint, score float"
+LINKED = "segment int, node bigint, embedding array<float>, edges array<bigint>"
 
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes``: ``node, embedding, edges``; ``members``: a row for each document, with its ``node``; and the first nodes of any search."""
+    """``nodes``: ``segment, node, embedding, edges``; ``members``: a row for each document, with its ``node``."""
 
     nodes: DataFrame
     members: DataFrame
-    entries: pa.Table
-
-
-def _nearest_within(edges: int):
-    def nearest(table: pa.Table) -> pa.Table:
-        ids, vectors = table["node"].to_numpy(), to_matrix(table["embedding"]).astype(np.float32)
-        scores = vectors @ vectors.T
-        np.fill_diagonal(scores, -np.inf)
-        keep = min(edges, len(ids) - 1)
-        columns = np.argpartition(-scores, keep - 1, axis=1)[:, :keep].ravel() if keep else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(len(ids)), keep)
-        return pa.table({"node": ids[rows], "other": ids[columns], "score": scores[rows, columns]})
-
-    return nearest
-
-
-def _introduce(table: pa.Table) -> pa.Table:
-    """Pairs of members of one centre that are nearer than the farthest that the first one knows."""
-    table = table.combine_chunks().sort_by("centre")
-    centre, ids = table["centre"].to_numpy(), table["node"].to_numpy()
-    fresh = table["fresh"].to_numpy(zero_copy_only=False)
-    reach, vectors = table["reach"].to_numpy(), to_matrix(table["embedding"]).astype(np.float32)
-    rows, columns, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(centre)) + 1):
-        scores = vectors[part] @ vectors[part].T
-        near = (scores > reach[part][:, None]) & (fresh[part][:, None] | fresh[part][None, :]) & (ids[part][:, None] != ids[part][None, :])
-        i, j = np.nonzero(near)
-        rows.append(ids[part][i])
-        columns.append(ids[part][j])
-        values.append(scores[i, j])
-    pairs, first = np.unique(np.stack((np.concatenate(rows), np.concatenate(columns))), axis=1, return_index=True)
-    return pa.table({"node": pairs[0], "other": pairs[1], "score": np.concatenate(values)[first]})
-
-
-def _best(found: DataFrame, edges: int) -> DataFrame:
-    """The ``edges`` nearest others of each node; an edge is fresh if it was not known before."""
-    once = found.groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
-    return _few(once, edges, F.col("score").desc())
-
-
-def _turned(near: DataFrame) -> DataFrame:
-    """Edges from where they lead to where they come from."""
-    rest = [c for c in near.columns if c not in ("node", "other")]
-    return near.select(F.col("other").alias("node"), F.col("node").alias("other"), *rest)
-
-
-def _few(near: DataFrame, edges: int, *order: Column) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("node").orderBy(*order, "other"))
-    return near.withColumn("place", place).where(F.col("place") <= edges).drop("place")
-
-
-def _descend(near: DataFrame, nodes: DataFrame, edges: int, turn: int, bundles: int) -> DataFrame:
-    """What the members of each node's neighbourhood learn of each other."""
-    around = near.unionByName(_few(_turned(near), edges, F.xxhash64("node", "other", F.lit(turn))))
-    around = around.groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max("fresh").alias("fresh"))
-    reach = near.groupBy("node").agg(F.when(F.count(F.lit(1)) >= edges, F.min("score")).otherwise(F.lit(-2.0)).cast("float").alias("reach"))
-    beside = salted_join(around, nodes.join(reach, "node"), ["node"], ["centre"])
-    bundled = beside.withColumn("bundle", F.pmod(F.xxhash64("centre"), F.lit(bundles)))
-    return bundled.groupBy("bundle").applyInArrow(_introduce, FOUND)
+    segments: int
+    seed: int
+
+
+def _nearest(vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its ``count`` nearest other rows: row, other, score."""
+    keep = min(count, len(vectors) - 1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    step = max(1, SCORES_AT_ONCE // len(vectors))
+    for start in range(0, len(vectors) if keep else 0, step):
+        scores = vectors[start : start + step] @ vectors.T
+        own = np.arange(len(scores))
+        scores[own, start + own] = -np.inf
+        rows, columns = np.nonzero(scores >= at_least(scores, keep))
+        values = scores[rows, columns]
+        rows, columns, values = first_per_row((rows, columns, values), keep)
+        found.append((rows + start, columns, values))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _link(edges: int, seed: int):
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        """The nodes of one segment with their edges."""
+        table = table.combine_chunks().sort_by("node")
+        ids, count = table["node"].to_numpy(), table.num_rows
+        rows, others, scores = _nearest(to_matrix(table["embedding"], np.float32), edges)
+        one_way = ~np.isin(others * count + rows, rows * count + others)
+        turned, back, _ = first_per_row((others[one_way], rows[one_way], scores[one_way]), edges)
+        ring = np.random.default_rng([seed, key[0].as_py()]).permutation(count)
+        steps = range(1, min(FAR, count - 1) + 1)
+        near = [rows * count + others, turned * count + back, *[ring * count + np.roll(ring, -step) for step in steps]]
+        pairs = np.unique(np.concatenate(near))
+        ends = np.searchsorted(pairs, np.arange(count + 1) * count).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[pairs % count]))
+        return pa.table([table["segment"], table["node"], table["embedding"], listed], names=["segment", "node", "embedding", "edges"])
+
+    return link
 
 
 def build_graph(docs: DataFrame, edges: int = EDGES, seed: int = 42, carry: Sequence[str] = ("label",)) -> Graph:
@@ -117,68 +93,90 @@ def build_graph(docs: DataFrame, edges: int = EDGES, seed: int = 42, carry: Sequ
     nodes = docs.groupBy(copy.alias("copy")).agg(F.min("doc_id").alias("node"), F.min_by("embedding", "doc_id").alias("embedding"))
     nodes = materialize(nodes, "nodes")
     members = salted_join(docs.select("doc_id", *carry, copy.alias("copy")), nodes.select("copy", "node"), ["copy"], ["doc_id"])
-    members, nodes = materialize(members.select("node", "doc_id", *carry), "members"), nodes.select("node", "embedding")
-
-    count = nodes.count()
-    blocks, bundles = max(1, -(-count // BLOCK)), max(1, -(-count * 2 * edges // BUNDLE_ROWS))
-    placed = [nodes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed + t)), F.lit(blocks))) for t in range(MEETINGS)]
-    met = [p.groupBy("block").applyInArrow(_nearest_within(edges), FOUND) for p in placed]
-    first = met[0]
-    for other in met[1:]:
-        first = first.unionByName(other)
-    near = materialize(_best(first.withColumn("fresh", F.lit(True)), edges), "edges")
-    for turn in range(ROUNDS):
-        found = _descend(near, nodes, edges, turn, bundles).withColumn("fresh", F.lit(True))
-        near = materialize(_best(near.withColumn("fresh", F.lit(False)).unionByName(found), edges), "edges")
-        if near.where("fresh").count() <= SETTLED * count * edges:
-            break
-
-    known = near.select("node", "other", "score")
-    one_way = _turned(known).join(known.select("node", "other"), ["node", "other"], "left_anti")
-    both = known.unionByName(_few(one_way, edges, F.col("score").desc()))
-    both = both.groupBy("node").agg(F.collect_set("other").alias("near"))
-    # neighbours in a random order of a random block
-    order = Window.partitionBy("block").orderBy(F.xxhash64("node", F.lit(seed)), "node")
-    strangers = F.filter(F.array(*[F.lead("node", s).over(order) for s in range(1, FAR + 1)]), lambda x: x.isNotNull())
-    far = placed[0].select("node", "embedding", strangers.alias("far"))
-    none = F.array().cast("array<bigint>")
-    whole = far.join(both, "node", "left").select("node", "embedding", F.array_union("far", F.coalesce("near", none)).alias("edges"))
-    whole = materialize(whole, "graph")
-    entries = whole.select("node", "embedding").orderBy(order_key(seed, "node"), "node").limit(ENTRIES).toArrow()
-    return Graph(whole, members, entries)
-
-
-def _first_beam(vector: str, entries: pa.Table, beam: int) -> Column:
-    """The nearest entries of a query, best first: ``score, minus`` (the node's number, negated, so that ties go by the lower one), ``open``."""
-    ids, known = entries["node"].to_numpy(), to_matrix(entries["embedding"])
-
-    @F.arrow_udf("array<double>")
-    def scored(vectors: pa.Array) -> pa.Array:
-        scores = np.rint((1 + to_matrix(vectors) @ known.T) / 2 * 1e6) / 1e6 if len(vectors) else np.zeros((0, len(ids)))
-        ends = np.arange(len(vectors) + 1, dtype=np.int32) * len(ids)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))
-
-    nodes = F.lit([int(-n) for n in ids]).cast("array<bigint>")
-    paired = F.zip_with(scored(vector), nodes, lambda s, n: F.struct(s.alias("score"), n.alias("minus"), F.lit(True).alias("open")))
-    return F.slice(F.sort_array(paired, asc=False), 1, beam)
-
-
-def _walk(state: DataFrame, graph: Graph, beam: int, wide: int) -> DataFrame:
-    """One round: of each query's open nodes the nearest are closed, and what they lead to takes its place in the beam."""
-    chosen = F.slice(F.filter("beam", lambda x: x["open"]), 1, wide)
-    state = state.withColumn("chosen", F.transform(chosen, lambda x: -x["minus"]))
-    opened = state.select("qid", F.explode("chosen").alias("node"))
-    led = salted_join(opened, graph.nodes.select("node", "edges"), ["node"], ["qid"])
-    led = led.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("led"))
-    held = F.transform("beam", lambda x: -x["minus"])
-    new = state.join(led, "qid").select("qid", F.col("embedding").alias("__query"), F.explode(F.array_except("led", held)).alias("node"))
-    new = salted_join(new, graph.nodes.select("node", F.col("embedding").alias("__doc")), ["node"], ["qid"])
-    met = F.struct(cosine_score("__query", "__doc").alias("score"), (-F.col("node")).alias("minus"), F.lit(True).alias("open"))
-    new = new.select("qid", met.alias("met")).groupBy("qid").agg(F.collect_list("met").alias("met"))
-    closed = F.transform("beam", lambda x: x.withField("open", x["open"] & ~F.array_contains("chosen", -x["minus"])))
-    merged = F.when(F.col("met").isNull(), closed).otherwise(F.concat(closed, "met"))
-    best = F.slice(F.sort_array(merged, asc=False), 1, beam)
-    return state.join(new, "qid", "left").select("qid", "embedding", best.alias("beam"))
+    members = materialize(members.select("node", "doc_id", *carry), "members")
+
+    segments = max(1, -(-nodes.count() // SEGMENT_ROWS))
+    segment = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(segments)).cast("int")
+    placed = nodes.select(segment.alias("segment"), "node", "embedding")
+    linked = placed.groupBy("segment").applyInArrow(_link(edges, seed), LINKED)
+    return Graph(materialize(linked, "graph"), members, segments, seed)
+
+
+def _neighbourhoods(edges: pa.ListArray, ids: np.ndarray) -> np.ndarray:
+    """Where each node's edges lead, as places in ``ids``; -1 stands behind the last one."""
+    sizes = np.diff(edges.offsets.to_numpy())
+    around = np.full((len(ids), max(1, sizes.max())), -1, np.int32)
+    around[np.arange(around.shape[1]) < sizes[:, None]] = np.searchsorted(ids, edges.flatten().to_numpy())
+    return around
+
+
+def _scores(asked: np.ndarray, vectors: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Scores of each query with its places, which end where the next one's begin."""
+    scores = np.empty(len(places), np.float32)
+    for query, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+        if start < end:
+            np.dot(vectors.take(places[start:end], axis=0), asked[query], out=scores[start:end])
+    return scores
+
+
+def _walk(asked: np.ndarray, vectors: np.ndarray, around: np.ndarray, entries: np.ndarray, beam: int, wide: int) -> np.ndarray:
+    """The nodes that each query holds at the end, -1 where there are fewer than ``beam``."""
+    count, queries = len(vectors), len(asked)
+    held, best = np.full((queries, beam), -1, np.int32), np.full((queries, beam), -np.inf, np.float32)
+    is_open = np.zeros((queries, beam), bool)
+    seen = np.zeros(queries * count, np.int32)
+    rows, places = np.repeat(np.arange(queries), len(entries)), np.tile(entries, queries)
+    while len(rows):
+        pairs = rows * count + places
+        new = np.flatnonzero(seen[pairs] == 0)
+        number = np.arange(1, len(new) + 1, dtype=np.int32)
+        seen[pairs[new]] = number
+        once = new[seen[pairs[new]] == number]  # of what is listed twice the last
+        rows, places = rows[once], places[once]
+        values = _scores(asked, vectors, np.bincount(rows, minlength=queries).cumsum(), places)
+        near = np.flatnonzero(values > best.min(axis=1)[rows])  # the others would not stay
+        rows, places, values = rows[near], places[near], values[near]
+        met = np.bincount(rows, minlength=queries)
+        at = beam + np.arange(len(rows)) - np.repeat(met.cumsum() - met, met)
+        more = ((0, 0), (0, int(met.max(initial=0))))
+        pool, score = np.pad(held, more, constant_values=-1), np.pad(best, more, constant_values=-np.inf)
+        opened = np.pad(is_open, more)
+        pool[rows, at], score[rows, at], opened[rows, at] = places, values, True
+        kept = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
+        held, best, is_open = (np.take_along_axis(x, kept, axis=1) for x in (pool, score, opened))
+        few = min(wide, beam)
+        chosen = np.argpartition(np.where(is_open, -best, np.inf), few - 1, axis=1)[:, :few]
+        rows, at = np.nonzero(np.take_along_axis(is_open, chosen, axis=1))
+        at = chosen[rows, at]
+        is_open[rows, at] = False
+        led = around[held[rows, at]]
+        rows, places = np.repeat(rows, (led >= 0).sum(axis=1)), led[led >= 0].astype(np.int64)
+    return held
+
+
+def _walks(k: int, beam: int, wide: int, seed: int):
+    def walks(_key: tuple, queries: pa.Table, nodes: pa.Table) -> pa.Table:
+        """The k nearest nodes that each query of a chunk finds in one segment."""
+        nothing = np.zeros(0, np.int64)
+        found, ids = [(nothing, nothing, nothing)], nothing
+        if queries.num_rows and nodes.num_rows:
+            nodes = nodes.combine_chunks().sort_by("node")
+            ids, vectors = nodes["node"].to_numpy(), to_matrix(nodes["embedding"], np.float32)
+            around = _neighbourhoods(nodes["edges"].combine_chunks(), ids)
+            entries = np.random.default_rng(seed).permutation(len(ids))[:ENTRIES]
+            asked = to_matrix(queries["embedding"], np.float32)
+            step = max(1, SEEN_AT_ONCE // len(ids))
+            for start in range(0, len(asked), step):
+                part = asked[start : start + step]
+                held = _walk(part, vectors, around, entries, beam, wide)
+                rows, at = np.nonzero(held >= 0)
+                places = held[rows, at].astype(np.int64)
+                rows, places, values = first_per_row((rows, places, exact_values(part, vectors, rows, places)), k)
+                found.append((rows + start, places, values))
+        rows, places, values = (np.concatenate(part) for part in zip(*found))
+        return pa.table([queries["qid"].take(pa.array(rows)), pa.array(ids[places]), pa.array(values / 1e6)], names=["qid", "node", "score"])
+
+    return walks
 
 
 def search_graph(
@@ -191,23 +189,16 @@ def search_graph(
     """
     beam = max(beam, k)
     asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
-    if graph.entries.num_rows:
-        asked = asked.withColumn("beam", _first_beam("embedding", graph.entries, beam))
-    else:
-        asked = asked.withColumn("beam", F.array().cast("array<struct<score:double,minus:bigint,open:boolean>>"))
-    walking, done = materialize(asked, "beams"), []
-    is_open = F.exists("beam", lambda x: x["open"])
-    while True:
-        done.append(walking.where(~is_open).select("qid", "beam"))
-        walking = walking.where(is_open)
-        if walking.isEmpty():
-            break
-        walking = materialize(_walk(walking, graph, beam, wide), "beams")
-    ended = done[0]
-    for other in done[1:]:
-        ended = ended.unionByName(other)
-    best = ended.select("qid", F.explode(F.slice("beam", 1, k)).alias("hit"))
-    best = best.select("qid", (-F.col("hit.minus")).alias("node"), F.col("hit.score").alias("score"))
+    chunks = max(1, -(-asked.count() // CHUNK_ROWS))
+    chunk = F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int")
+    left = asked.withColumn("chunk", chunk).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(graph.segments - 1))))
+    right = graph.nodes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    unit = ["segment", "chunk"]
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, node bigint, score double"
+    best = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(_walks(k, beam, wide, graph.seed), schema)
+    # a node has a document at least, and its number is that of the first one
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "node")
+    best = materialize(best, "walked").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
     place = F.row_number().over(Window.partitionBy("node").orderBy("doc_id"))
     members = graph.members.withColumn("place", place).where(F.col("place") <= k)
     listed = members.groupBy("node").agg(F.collect_list(F.struct("doc_id", *carry)).alias("docs"))
